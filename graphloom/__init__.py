@@ -7,3 +7,10 @@ plans       the query catalogue over the test tables, with SQL to check it again
 streaming   Structured Streaming forms of the incremental operators
 llm         operators for training data; nothing outside that subpackage imports it
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run on executors travel with their code, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -40,10 +40,10 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MISSES = """WITH refs AS (
-  SELECT 'edges' AS "table", 'from' AS endpoint, id, "from" AS key, ingested_at AS at FROM edges WHERE "from" IS NOT NULL
+  SELECT 'edges' AS "table", 'from' AS endpoint, id, "from" AS key, ingested_at AS seen FROM edges WHERE "from" IS NOT NULL
   UNION ALL SELECT 'edges', 'to', id, "to", ingested_at FROM edges WHERE "to" IS NOT NULL),
 misses AS (SELECT * FROM refs r WHERE NOT EXISTS (
-  SELECT 1 FROM nodes n WHERE n.id = r.key AND n.ingested_at <= r.at AND (n.deleted_at IS NULL OR n.deleted_at > r.at)))
+  SELECT 1 FROM nodes n WHERE n.id = r.key AND n.ingested_at <= r.seen AND (n.deleted_at IS NULL OR n.deleted_at > r.seen)))
 """
 
 _TREE = r"""WITH RECURSIVE one AS (
@@ -61,7 +61,7 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_paths, p4_d
 SQL = {
     "p2_found": _MISSES + "SELECT DISTINCT id AS edge_id, endpoint FROM misses",
     "p2_report": _MISSES + """SELECT "table", endpoint, month, count(*) AS "references", count(DISTINCT key) AS keys
-FROM (SELECT DISTINCT "table", endpoint, strftime(at, '%Y-%m') AS month, key, id FROM misses) GROUP BY 1, 2, 3""",
+FROM (SELECT DISTINCT "table", endpoint, strftime(seen, '%Y-%m') AS month, key, id FROM misses) GROUP BY 1, 2, 3""",
     "p4_found": _TREE + "SELECT session_id, type, root, CAST(depth AS INTEGER) AS depth FROM tree UNION ALL " + _REST.format(""),
     "p4_paths": _TREE + "SELECT session_id, type, root, CAST(depth AS INTEGER) AS depth, path FROM tree UNION ALL " + _REST.format(", NULL"),
     "p4_descendants": _TREE.replace("path) AS", "up) AS").replace("0, type FROM one a", "0, [type] FROM one a").replace("t.path || ' > ' || c.type", "list_append(t.up, c.type)")
