@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm.encode import encode_corpus
 from graphloom.llm.split import split_oversized
+from graphloom.llm.survivors import STAND_INS, by_posterior, by_trust, candidates, surviving_records
 
 #: Where the vocabulary files of public tokenizers are.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -25,12 +27,41 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return candidates(spark.read.parquet(f"{d}/nodes.parquet"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return by_trust(_candidates(spark, d)).select("id", "attr", "node_key")
+
+
+def p3_fused(spark: SparkSession, d: str) -> DataFrame:
+    return by_posterior(_candidates(spark, d)).withColumn("posterior", F.round("posterior", 6))
+
+
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    shown = F.array_join(F.transform(F.map_entries("attributes"), lambda e: F.concat(e.key, F.lit("="), e.value)), "; ")
+    return surviving_records(by_trust(_candidates(spark, d))).select("id", shown.alias("attributes"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(spark.read.parquet(f"{d}/documents.parquet"), f"{TOKENIZERS}/byte_bpe_50k.json", ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p6_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_fused, p3_records, p6_ids)}
+
+_VALID = "CASE WHEN {0} IS NULL OR isnan({0}) OR {0} < 0 OR {0} > 1 THEN -1 ELSE {0} END"
+_BEST = f"""WITH c AS (
+  SELECT id, node_key, {_VALID.format("confidence")} AS rc, len(list_distinct(list_filter(source_files, lambda f: trim(f) <> ''))) AS nf, ingested_at, unnest(map_entries(attributes)) AS e
+  FROM nodes WHERE id IN (SELECT id FROM nodes GROUP BY id HAVING count(DISTINCT node_key) > 1)),
+best AS (
+  SELECT id, e.key AS attr, node_key, e.value.value AS value FROM c
+  WHERE e.value.value IS NOT NULL AND lower(regexp_replace(e.value.value, '^\\s+|\\s+$', '', 'g')) NOT IN ({", ".join(f"'{x}'" for x in STAND_INS)})
+  QUALIFY row_number() OVER (PARTITION BY id, e.key ORDER BY {_VALID.format("e.value.confidence")} DESC, rc DESC, coalesce(nf, 0) DESC, ingested_at DESC NULLS LAST, node_key) = 1)
+"""
 
 SQL = {
     "p1_found": r"SELECT DISTINCT source_file, chunk_index FROM chunks WHERE len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^ \t\n\r0-9A-Za-z_]')) > 500",
+    "p3_found": _BEST + "SELECT id, attr, node_key FROM best",
+    "p3_records": _BEST + "SELECT id, string_agg(attr || '=' || value, '; ' ORDER BY attr) AS attributes FROM best GROUP BY id",
 }
