@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.encode import encode_corpus
+from graphloom.llm.leaks import leaked_items
 from graphloom.llm.split import split_oversized
 from graphloom.llm.survivors import STAND_INS, by_posterior, by_trust, candidates, surviving_records
 
@@ -48,7 +49,20 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(spark.read.parquet(f"{d}/documents.parquet"), f"{TOKENIZERS}/byte_bpe_50k.json", ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_fused, p3_records, p6_ids)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items that leaked, into how many documents, and the largest share of them found in one."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.max("share"), 6).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_fused, p3_records, p6_ids, p7_found, p7_items)}
 
 _VALID = "CASE WHEN {0} IS NULL OR isnan({0}) OR {0} < 0 OR {0} > 1 THEN -1 ELSE {0} END"
 _BEST = f"""WITH c AS (
