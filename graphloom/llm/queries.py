@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.encode import encode_corpus
 from graphloom.llm.leaks import leaked_items
 from graphloom.llm.split import split_oversized
+from graphloom.llm.subjects import subject_shares, train_rules
 from graphloom.llm.survivors import STAND_INS, by_posterior, by_trust, candidates, surviving_records
 
 #: Where the vocabulary files of public tokenizers are.
@@ -62,7 +63,21 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.max("share"), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_fused, p3_records, p6_ids, p7_found, p7_items)}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels, areas = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "subject_labels", "subjects"))
+    return subject_shares(docs, train_rules(docs, labels, areas))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Of the whole corpus: documents and sentences of each subject."""
+    return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("n").alias("sentences"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_fused, p3_records, p6_ids, p7_found, p7_items, p8_found, p8_composition)}
 
 _VALID = "CASE WHEN {0} IS NULL OR isnan({0}) OR {0} < 0 OR {0} > 1 THEN -1 ELSE {0} END"
 _BEST = f"""WITH c AS (
