@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.encode import encode_corpus
 from graphloom.llm.leaks import leaked_items
+from graphloom.llm.names import entities, entity_pairs, name_forms
 from graphloom.llm.split import split_oversized
 from graphloom.llm.subjects import subject_shares, train_rules
 from graphloom.llm.survivors import STAND_INS, by_posterior, by_trust, candidates, surviving_records
@@ -46,6 +47,21 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return surviving_records(by_trust(_candidates(spark, d))).select("id", shown.alias("attributes"))
 
 
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    return entities(name_forms(spark.read.parquet(f"{d}/nodes.parquet").select("id", "type", "attributes", "aliases")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return entity_pairs(_entities(spark, d))
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """One row per id: its entity, named by its least id, and the number of ids of that entity."""
+    of = _entities(spark, d)
+    sizes = of.groupBy("entity").agg(F.min("id").alias("entity_id"), F.count("*").alias("ids"))
+    return of.join(sizes, "entity").select("id", "entity_id", "ids")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(spark.read.parquet(f"{d}/documents.parquet"), f"{TOKENIZERS}/byte_bpe_50k.json", ["doc_id"])
 
@@ -77,7 +93,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("n").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_fused, p3_records, p6_ids, p7_found, p7_items, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_fused, p3_records, p5_found, p5_entities, p6_ids, p7_found, p7_items, p8_found, p8_composition)}
 
 _VALID = "CASE WHEN {0} IS NULL OR isnan({0}) OR {0} < 0 OR {0} > 1 THEN -1 ELSE {0} END"
 _BEST = f"""WITH c AS (
