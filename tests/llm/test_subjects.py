@@ -17,7 +17,7 @@ def text(rng, areas):
 def test_sentences():
     assert sentences("---\na: b\n---\nOne. Two? three says X! Four\nfive") == ["One.", "Two? three says X!", "Four", "five"]
     assert sentences(None) == sentences("") == sentences(" \n ") == []
-    assert words("Über die Klasse, 3 Mal a") == ["über", "die", "klasse", "mal"]
+    assert words("Über die Klasse, 3 Mal a X-ray") == ["über", "die", "klasse", "mal", "ray"]
 
 
 def test_learned_rules_and_held_out_accuracy(spark):
