@@ -106,7 +106,7 @@ def without_counter(stem: Column) -> Column:
 def without_fence(answer: Column) -> Column:
     """What stands inside a Markdown code fence, or all of it where there is none."""
     inner = F.regexp_extract(answer, r"(?s)```[a-zA-Z]*\s*\n?(.*?)```", 1)
-    return F.trim(F.when(answer.contains("```"), inner).otherwise(answer))
+    return F.regexp_replace(F.when(answer.contains("```"), inner).otherwise(answer), f"^{WS}+|{WS}+$", "")
 
 
 def seconds_of(clock: Column) -> Column:

@@ -1,0 +1,67 @@
+import random
+
+from pyspark.sql import functions as F
+
+from graphloom.operators import graph as G
+from graphloom.operators.components import connected_components
+
+EDGE = "id string, type string, src string, dst string, confidence double"
+
+
+def edges_of(spark, pairs):
+    return spark.createDataFrame([(f"e{i}", "t", a, b, 0.5) for i, (a, b) in enumerate(pairs)], EDGE)
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(1)
+    pairs = [(f"v{rng.randint(0, 120)}", f"v{rng.randint(0, 120)}") for _ in range(70)] + [(f"p{i}", f"p{i + 1}") for i in range(50)] + [(None, "v1"), ("z", "z")]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a and b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = {r.vertex: r.component for r in connected_components(edges_of(spark, pairs), "src", "dst").collect()}
+    groups = {}
+    for v in parent:
+        groups.setdefault(find(v), set()).add(v)
+    assert got == {v: min(g) for g in groups.values() for v in g}
+    assert connected_components(edges_of(spark, []).select("src", "dst"), "src", "dst").count() == 0
+
+
+def test_shortest_path_prefers_direction(spark):
+    e = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("a", "x"), ("d", "x"), ("q", "r")])
+    path = lambda a, b, m=5: [r.id for r in G.shortest_path(e, a, b, m).orderBy("hop").collect()]
+    assert path("a", "d") == ["a", "b", "c", "d"]  # against the edges it would be shorter
+    assert path("d", "a") == ["d", "x", "a"]
+    assert path("a", "q") == [] and path("a", "a") == ["a"] and path("a", "d", 2) == []
+
+
+def test_within_hubs_orphans_and_depth_first(spark):
+    e = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("b", "b"), ("a", "e")])
+    n = spark.createDataFrame([(x, "T", x.upper(), 0.5) for x in "abcdez"], "id string, type string, name string, confidence double")
+    got = {(r.id, r.hop) for r in G.within(e, n.where("id = 'c'").select("id"), 2).collect()}
+    assert got == {("c", 0), ("b", 1), ("d", 1), ("a", 2)}
+    assert [(r.id, r.degree) for r in G.hubs(e, 2).collect()] == [("b", 4), ("a", 2)]
+    assert [r.id for r in G.orphans(n, e).collect()] == ["z"]
+    assert G.depth_first(e, "a", 2) == ["a", "b", "c", "e"]
+    s = G.statistics(n, e).first()
+    assert (s.nodes, s.edges, s.components, s.loops) == (6, 5, 2, 1)
+    assert {r.other for r in G.neighbours(e, "b").collect()} == {"a", "b", "c"} and G.neighbours(e, "b").count() == 4
+
+
+def test_search_order_and_excerpt(spark):
+    names = spark.createDataFrame([("1", "T", "Ann Lee"), ("2", "T", "Ann"), ("3", "T", "Joann"), ("3", "T", "annual"), ("4", "U", "Bob")], "id string, type string, name string")
+    attrs = spark.createDataFrame([("4", "U", "met Ann"), ("2", "T", "ann")], "id string, type string, value string")
+    assert [(r.id, r.score) for r in G.search(names, attrs, "ann").collect()] == [("2", 100), ("1", 80), ("3", 80), ("4", 40)]
+    assert [r.id for r in G.search(names, attrs, "ann", "U").collect()] == ["4"]
+    assert [(r.id, r.score) for r in G.context_seeds(names, attrs, "who is Bob?").collect()] == [("4", 60)]
+    t = spark.createDataFrame([("x" * 50 + "Ann" + "y" * 50 + "(Ann)" + "z" * 200,), ("nothing",)], "t string")
+    got = [r[0] for r in t.select(G.excerpt(F.col("t"), F.array(F.lit("ann"), F.lit("")), 5, 10, 100)).collect()]
+    assert got == ["xxxxxAnnyyyyyyy\n---\nyyyy(Ann)zzzzzz", "nothing"]
