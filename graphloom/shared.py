@@ -54,11 +54,11 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     spark = left.sparkSession
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = left.groupBy(*keys).count()
-    total = left.count()
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    if not total or most * parts <= total:
+        return left.join(right, keys, how)
     hot = counts.where(F.col("count") * parts > total).select(*keys, F.lit(True).alias("_hot"))
     known = [r.asDict() for r in hot.drop("_hot").collect()]
-    if not known:
-        return left.join(right, keys, how)
     hot = F.broadcast(spark.createDataFrame([tuple(r[k] for k in keys) + (True,) for r in known], hot.schema))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c, kind in left.dtypes if not kind.startswith("map")]), F.lit(parts)).cast("int")).otherwise(F.lit(0))
     salts = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
