@@ -137,3 +137,15 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame, keep: bool = True, scope:
         return good
     a = edges.join(on("src"), [*scope, "src"], "left_anti")
     return a.unionByName(edges.join(on("src"), [*scope, "src"], "left_semi").join(on("dst"), [*scope, "dst"], "left_anti"))
+
+
+def remap_ids(index: DataFrame, renamed: DataFrame, column: str = "id") -> DataFrame:
+    """An index of chunks and ids after renames (old, new): ids without one stay."""
+    return salted_lookup(index.withColumnRenamed(column, "old"), renamed.select("old", "new"), ["old"]).withColumn(column, F.coalesce("new", "old")).drop("old", "new")
+
+
+def names_to_review(inventory: DataFrame, least: int = 2, most: int = 500) -> DataFrame:
+    """Types with at least `least` names, and the first `most` of these: what one request of the language model may hold. The rest is asked in further requests, by position."""
+    big = inventory.where(F.size("names") >= least)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("names") - 1) / most).cast("int")), lambda k: F.slice("names", k * most + 1, most))
+    return big.select("type", F.posexplode(parts).alias("request", "names"))

@@ -73,3 +73,30 @@ def edge_listing(properties: DataFrame) -> DataFrame:
 def rendered(tree: DataFrame) -> DataFrame:
     """session_id, type, depth, line, path: an indented line for each concept; sorted by path they read as a tree."""
     return tree.select("session_id", "type", "depth", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col("type")).alias("line"), F.array_join("path", " > ").alias("path"))
+
+
+def fold_proposals(proposals: list[list[dict]], synonyms: set[tuple[str, str]] = frozenset(), locked: frozenset[str] = frozenset(), reserved: frozenset[str] = frozenset({"relationship"})) -> list[dict]:
+    """Concepts of ordered proposals as one schema, with a thesaurus: a proposal joins the first concept whose name is equal, equal in snake case, or a synonym.
+
+    Matching over synonyms is not transitive, so the order counts and the fold is sequential; it runs on the driver over a
+    schema, which is small by nature. merge_proposals() is the distributed form without a thesaurus. Attributes are joined in
+    first-seen order; a missing parent is filled unless the concept is locked; entries that are no records are skipped.
+    """
+    import re
+
+    norm = lambda x: re.sub(r"[\s\-_]+", "_", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", x)).lower()
+    out: list[dict] = []
+    for proposal in proposals:
+        for c in proposal:
+            if not isinstance(c, dict) or not isinstance(c.get("type"), str) or c["type"].lower() in reserved:
+                continue
+            name = c["type"]
+            same = next((o for o in out if o["type"] == name or norm(o["type"]) == norm(name) or (norm(o["type"]), norm(name)) in synonyms or (norm(name), norm(o["type"])) in synonyms), None)
+            attrs = [a for a in c.get("attributes") or [] if isinstance(a, str)]
+            if same is None:
+                out.append({"type": name, "parent": c.get("parent"), "attributes": list(dict.fromkeys(attrs))})
+            else:
+                same["attributes"] = list(dict.fromkeys([*same["attributes"], *attrs]))
+                if same["parent"] is None and same["type"] not in locked:
+                    same["parent"] = c.get("parent")
+    return out

@@ -13,7 +13,7 @@ EDGE = f"id string, type string, `from` string, `to` string, confidence double,
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """source_file, content, sha256, token_count of all *.md below a folder."""
+    """source_file, content, sha256, token_count of all *.md below a folder. Empty files have no row: Spark's reader leaves them out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
     return manifest(raw.select(F.regexp_replace(F.col("path"), "^.*?" + "\\Q" + folder.rstrip("/").split(":")[-1] + "\\E/?", "").alias("source_file"), F.decode("content", "UTF-8").alias("content")))
 
