@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import clamp, display_name
+from graphloom.operators import assemble as A
 from graphloom.operators import graph as G
 from graphloom.operators import ontology as O
 from graphloom.operators import orphans as P
@@ -297,3 +298,34 @@ def inc_surgical_topk(spark, d):
 def inc_backfill_topk(spark, d):
     k = spark.createDataFrame([("law", "lawyer"), ("care", "nurse"), ("care", "coach")], "name string, prefix string")
     return P.backfill_chunks(k, mentions(spark, d), 4)
+
+
+_RENAMED = f"ren AS (SELECT id AS old, min(regexp_replace(lower(type), '[^a-z0-9]', '', 'g') || '-' || id) AS new FROM nodes WHERE type <> 'Person' GROUP BY 1)"
+
+
+@query(f"WITH {MENTIONS}, {_RENAMED} SELECT coalesce(new, id) AS id, source_file, chunk_index FROM m1 LEFT JOIN ren ON old = id")
+def nrm_remap(spark, d):
+    ren = table(spark, d, "nodes").where("type <> 'Person'").select(F.col("id").alias("old"), F.concat(F.regexp_replace(F.lower("type"), "[^a-z0-9]", ""), F.lit("-"), "id").alias("new")).groupBy("old").agg(F.min("new").alias("new"))
+    return A.remap_ids(mentions(spark, d), ren)
+
+
+@query("WITH n AS (SELECT DISTINCT type, attributes['name'].value AS name FROM nodes WHERE attributes['name'].value <> ''), k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY name) - 1 AS k, count(*) OVER (PARTITION BY type) AS c FROM n) SELECT type, CAST(k // 40 AS INTEGER) AS request, count(*) AS names, min(name) AS first FROM k WHERE c >= 2 GROUP BY 1, 2")
+def nrm_requests(spark, d):
+    n = table(spark, d, "nodes").select("type", F.try_element_at("attributes", F.lit("name")).getField("value").alias("name"))
+    r = A.names_to_review(A.name_inventory(n), 2, 40)
+    return r.select("type", "request", F.size("names").cast("long").alias("names"), F.get("names", F.lit(0)).alias("first"))
+
+
+@query(f"WITH {GRAPH}, {WEAK}, o AS (SELECT DISTINCT n.id, n.attributes['name'].value AS name, unnest(n.source_files) AS source_file FROM nodes n JOIN orp USING (id)), h AS (SELECT o.id, c.source_file, c.chunk_index FROM o JOIN chunks c USING (source_file) WHERE name <> '' AND contains(lower(c.text), lower(name))) SELECT id, arg_min(source_file, (source_file, chunk_index)) AS source_file, arg_min(chunk_index, (source_file, chunk_index)) AS chunk_index FROM h GROUP BY 1")
+def orp_recovered(spark, d):
+    """The chunks cut earlier stand for those that failed."""
+    n, _ = graph(spark, d)
+    o = table(spark, d, "nodes").join(G.orphans(n, strong_edges(spark, d)).select("id"), "id", "left_semi")
+    o = o.select("id", F.try_element_at("attributes", F.lit("name")).getField("value").alias("name"), "source_files")
+    return P.recovered(o, table(spark, d, "chunks").select("source_file", "chunk_index", "text"))
+
+
+@query("WITH RECURSIVE l AS (SELECT DISTINCT type, parent FROM concepts), anc(type, ancestor) AS ((SELECT type, type FROM l UNION SELECT type, parent FROM l WHERE parent IS NOT NULL) UNION SELECT l.type, x.ancestor FROM l JOIN anc x ON x.type = l.parent) SELECT * FROM anc")
+def sch_closure(spark, d):
+    """Of all sessions at once, with several parents to a type and loops."""
+    return O.closure(table(spark, d, "concepts").select("type", "parent").distinct())
