@@ -7,7 +7,7 @@ Occurrence tables: nodes (source_file, pos, raw_id, type, name, confidence, alia
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import canonical, clamp, edge_id, edge_key, slug, stable_id
@@ -48,13 +48,17 @@ def mean_or_max(c: str, how: str) -> Column:
 
 
 def merge_nodes(nodes: DataFrame, how: str = "mean") -> DataFrame:
-    """One row per stable_id: type and name of the first occurrence, mean or greatest confidence, files of all occurrences in order, aliases (sorted, without the name; null if none)."""
+    """One row per stable_id: type and name of the first occurrence, mean or greatest confidence, aliases (sorted, without the name; null if none), occurrences. The files are in node_files()."""
     first = lambda c: F.min_by(c, F.struct(*OCC))
-    aliases = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>"))))))
-    files = F.transform(F.array_sort(F.collect_list(F.struct(*OCC))), lambda o: o.source_file)
-    out = nodes.groupBy("stable_id").agg(first("type").alias("type"), first("name").alias("name"), mean_or_max("confidence", how).alias("confidence"), files.alias("source_files"), aliases.alias("a"), F.count("*").alias("occurrences"))
-    kept = F.filter("a", lambda a: a.isNotNull() & ~a.eqNullSafe(F.col("name")))
-    return out.withColumn("aliases", F.when(F.size(kept) > 0, kept)).drop("a")
+    out = nodes.groupBy("stable_id").agg(first("type").alias("type"), first("name").alias("name"), mean_or_max("confidence", how).alias("confidence"), F.count("*").alias("occurrences"))
+    each = nodes.select("stable_id", F.explode("aliases").alias("a")).where("a is not null").distinct().groupBy("stable_id").agg(F.array_sort(F.collect_list("a")).alias("a"))
+    kept = F.filter("a", lambda a: ~a.eqNullSafe(F.col("name")))
+    return out.join(each, "stable_id", "left").withColumn("aliases", F.when(F.size(kept) > 0, kept)).drop("a")
+
+
+def node_files(nodes: DataFrame) -> DataFrame:
+    """stable_id, source_file, occurrences: where a node stands, in long form, since a node may stand in a large part of all files."""
+    return nodes.groupBy("stable_id", "source_file").agg(F.count("*").alias("occurrences"))
 
 
 def merge_attributes(attrs: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,8 +101,8 @@ def dedup_in_file(attrs: DataFrame) -> DataFrame:
 
 
 def name_inventory(nodes: DataFrame) -> DataFrame:
-    """type, names: the distinct names of each type, sorted."""
-    return nodes.where("name <> ''").select("type", "name").distinct().groupBy("type").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    """type, name: the distinct names of each type, in long form."""
+    return nodes.where("name <> ''").select("type", "name").distinct()
 
 
 def check_name_map(names: DataFrame, norm_map: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +149,8 @@ def remap_ids(index: DataFrame, renamed: DataFrame, column: str = "id") -> DataF
 
 
 def names_to_review(inventory: DataFrame, least: int = 2, most: int = 500) -> DataFrame:
-    """Types with at least `least` names, and the first `most` of these: what one request of the language model may hold. The rest is asked in further requests, by position."""
-    big = inventory.where(F.size("names") >= least)
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("names") - 1) / most).cast("int")), lambda k: F.slice("names", k * most + 1, most))
-    return big.select("type", F.posexplode(parts).alias("request", "names"))
+    """type, request, names: the sorted names of every type with at least `least`, `most` to a request of the language model."""
+    w = Window.partitionBy("type")
+    k = inventory.withColumn("request", F.floor((F.row_number().over(w.orderBy("name")) - 1) / most).cast("int"))
+    big = inventory.groupBy("type").count().where(F.col("count") >= least).select("type")
+    return k.join(big, "type", "left_semi").groupBy("type", "request").agg(F.array_sort(F.collect_list("name")).alias("names"))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.text import WS, without_counter
+from graphloom.shared import cut
 
 
 def without_frontmatter(text: Column) -> Column:
@@ -45,47 +49,55 @@ def chunk_count(n: Column, window: int, overlap: int) -> Column:
     return F.greatest(F.lit(1), F.ceil((n - overlap) / (window - overlap))).cast("int")
 
 
-def _fold(sizes: Column, budget: int) -> Column:
-    """Batch numbers of items taken in order: an item that doesn't fit opens the next batch, a larger one than the budget has its own."""
-
-    def step(acc: Column, size: Column) -> Column:
-        fits = (acc.used + size <= budget) | (acc.used == 0)
-        b = F.when(fits, acc.b).otherwise(acc.b + 1)
-        return F.struct(F.when(fits, acc.used + size).otherwise(size).cast("long").alias("used"), b.alias("b"), F.concat(acc.out, F.array(b)).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("b"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(sizes, start, step).out
-
-
 def pack(items: DataFrame, group: list[str], order: list[str], size: str, budget: int) -> DataFrame:
-    """group, order and batch (from 0 in each group): greedy packing in order within each group. A group's items come together in one row, so groups are files or folders, which are bounded."""
-    g = items.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("_size")))).alias("_i"))
-    b = g.withColumn("_b", _fold(F.transform("_i", lambda i: i["_size"]), budget))
-    z = b.select(*group, F.explode(F.arrays_zip("_i", "_b")).alias("z"))
-    return z.select(*group, *[F.col(f"z._i.{c}").alias(c) for c in order], F.col("z._i._size").alias(size), F.col("z._b").alias("batch"))
+    """group, order, size and batch (from 0 in each group): greedy packing in order within each group.
+
+    An item that doesn't fit opens the next batch; one larger than the budget has its own. Groups are sorted within
+    partitions and streamed: a task keeps the running size of one batch and collects no group, however large.
+    """
+    rows = items.select(*group, *order, F.col(size).cast("long").alias(size))
+    schema = T.StructType([*rows.schema, T.StructField("batch", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used, number = None, 0, 0
+        for b in batches:
+            out = []
+            for *key, n in zip(*(b.column(c).to_pylist() for c in (*group, size))):
+                n = n or 0
+                if key != last:
+                    last, used, number = key, 0, 0
+                if used and used + n > budget:
+                    used, number = 0, number + 1
+                used += n
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], schema.names)
+
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)
+
+
+def running_totals(rows: DataFrame, order: str, size: str, tasks: int) -> DataFrame:
+    """rows with `before`: the sum of `size` over all rows earlier in the order. Ranges are written once, summed, and their totals added up, so no task sees all rows."""
+    ranged = cut(rows.repartitionByRange(tasks, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    per = ranged.groupBy("_range").agg(F.sum(size).alias("n"))
+    first = per.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_first"))  # `tasks` rows
+    w = Window.partitionBy("_range").orderBy(order)
+    return ranged.join(F.broadcast(first), "_range").withColumn("before", F.col("_first") + F.sum(size).over(w) - F.col(size)).drop("_range", "_first")
 
 
 def pack_pooled(items: DataFrame, order: list[str], size: str, budget: int, tasks: int = 64) -> DataFrame:
     """order, size, batch: packing of one ordered list over all files.
 
-    The list is cut at multiples of tasks' shares by running totals, which are sums over files first; each stretch is
-    packed by itself, so that no task sees the whole list. A stretch's last batch may stay partly empty: at most
-    `tasks` batches more than a single pass would make.
+    The list is cut at files into stretches of a share of all tokens each, by running totals; each stretch is packed by
+    itself. A stretch's last batch may stay partly empty: at most `tasks` batches more than a single pass would make.
     """
     file = order[0]
     per_file = items.groupBy(file).agg(F.sum(size).alias("_n"))
     total = per_file.agg(F.sum("_n")).first()[0] or 0
     share = max(budget * 8, math.ceil(total / tasks))
-    w = Window.orderBy(file)  # one row per file
-    stretch = per_file.select(file, F.floor((F.sum("_n").over(w) - F.col("_n")) / share).cast("int").alias("stretch"))
-    p = pack(items.join(stretch, file), ["stretch"], order, size, budget)
-    return _numbered(p, order, size)
-
-
-def _numbered(p: DataFrame, order: list[str], size: str) -> DataFrame:
-    """Batches numbered through all stretches: the numbers of batches of earlier stretches added up."""
+    stretch = running_totals(per_file, file, "_n", tasks).select(file, F.floor(F.col("before") / share).cast("int").alias("stretch"))
+    p = cut(pack(items.join(stretch, file), ["stretch"], order, size, budget), "packed")
     per = p.groupBy("stretch").agg((F.max("batch") + 1).alias("n"))
-    first = per.select("stretch", (F.sum("n").over(Window.orderBy("stretch")) - F.col("n")).alias("before"))  # at most `tasks` rows and a few
+    first = per.select("stretch", (F.sum("n").over(Window.orderBy("stretch")) - F.col("n")).alias("before"))  # `tasks` rows and a few
     return p.join(F.broadcast(first), "stretch").select(*order, size, (F.col("before") + F.col("batch")).cast("int").alias("batch"))
 
 

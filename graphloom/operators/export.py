@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import attribute_key, label_name, relation_name, turtle_local, turtle_text
+from graphloom.shared import salted_lookup
 
 PREFIXES = ("@prefix : <http://example.org/graph#> .", "@prefix owl: <http://www.w3.org/2002/07/owl#> .", "@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .", "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .", "@prefix skos: <http://www.w3.org/2004/02/skos/core#> .")
 
+#: Neighbours in one line of an adjacency list; a hub has several lines.
+LINE_ENDS = 1000
+
 
 def json_lines(rows: DataFrame) -> DataFrame:
     """line: every row as a JSON object; nulls inside attributes are kept, missing aliases are not written."""
@@ -100,19 +104,27 @@ def render_table(nodes: DataFrame, degree: DataFrame) -> DataFrame:
     return d.select("id", (F.col("k") % 10).cast("int").alias("colour"), F.round(10 + 30 * F.col("deg") / F.col("top"), 1).alias("size"), F.when(F.col("deg") >= 0.15 * F.col("top"), 15).otherwise(0).alias("label_size"))
 
 
-def notes(nodes: DataFrame, attributes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, note: a Markdown note per node: front matter, attributes but the name, outgoing and incoming links. Hot nodes get long notes; their links are the only thing collected."""
+def note_lines(nodes: DataFrame, attributes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, section, line of the Markdown note of every node: 0 front matter and title, 1 attributes but the name, 2 outgoing and 3 incoming links. Lines, not whole notes, since a hub's links may be a large part of all."""
     title = nodes.select("id", F.coalesce(F.nullif("name", F.lit("")), F.col("id")).alias("title"))
-    attr = attributes.where("value is not null and attr <> 'name'").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("- **"), "attr", F.lit("**: "), "value"))), "\n").alias("attrs"))
-    named = title.select(F.col("id").alias("other"), "title")
+    head = nodes.select("id", "type").join(title, "id").select("id", F.lit(0).alias("section"), F.concat(F.lit("---\ntype: "), "type", F.lit("\nid: "), "id", F.lit("\n---\n# "), "title").alias("line"))
+    attr = attributes.where("value is not null and attr <> 'name'").select("id", F.lit(1), F.concat(F.lit("- **"), "attr", F.lit("**: "), "value"))
+
+    def links(a: str, b: str, section: int) -> DataFrame:
+        e = edges.select(F.col(a).alias("id"), F.col(b).alias("other"), "type").distinct().join(nodes.select("id"), "id", "left_semi")
+        e = salted_lookup(e, title.select(F.col("id").alias("other"), "title"), ["other"])
+        return e.select("id", F.lit(section), F.concat(F.lit("- "), "type", F.lit(" [["), F.coalesce("title", "other"), F.lit("]]")))
+
+    return head.union(attr.distinct()).union(links("src", "dst", 2)).union(links("dst", "src", 3))
 
-    def links(a: str, b: str, out: str) -> DataFrame:
-        e = edges.select(F.col(a).alias("id"), F.col(b).alias("other"), "type").distinct().join(named, "other", "left")
-        return e.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "type", F.lit(" [["), F.coalesce("title", "other"), F.lit("]]")))), "\n").alias(out))
 
-    j = nodes.select("id", "type").join(title, "id").join(attr, "id", "left").join(links("src", "dst", "o"), "id", "left").join(links("dst", "src", "i"), "id", "left")
-    part = lambda head, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"\n\n## {head}\n"), F.col(c))).otherwise("")
-    return j.select("id", F.concat(F.lit("---\ntype: "), "type", F.lit("\nid: "), "id", F.lit("\n---\n# "), "title", part("Attributes", "attrs"), part("Outgoing", "o"), part("Incoming", "i")).alias("note"))
+def note(lines: DataFrame, node_id: str) -> DataFrame:
+    """note: one node's note as one text."""
+    mine = lines.where(F.col("id") == node_id)
+    heads = F.create_map(*[F.lit(x) for x in (1, "\n\n## Attributes\n", 2, "\n\n## Outgoing\n", 3, "\n\n## Incoming\n")])
+    per = mine.groupBy("section").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: F.concat(F.when(x.section > 0, F.element_at(heads, x.section)).otherwise(""), x.text))
+    return per.agg(F.array_join(whole, "").alias("note"))
 
 
 def note_index(nodes: DataFrame) -> DataFrame:
@@ -137,7 +149,8 @@ def graph_lines(nodes: DataFrame, edges: DataFrame, fmt: str) -> DataFrame:
         "edgelist": ("", F.lit(None).cast("string"), F.concat_ws(" ", "src", "dst"), ""),
     }
     if fmt == "adjacency":
-        return e.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("dst")), " ").alias("d")).select(F.lit(2).alias("section"), F.concat_ws(" ", "src", "d").alias("line"))
+        part = F.floor((F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1) / LINE_ENDS)
+        return e.withColumn("p", part).groupBy("src", "p").agg(F.array_join(F.array_sort(F.collect_list("dst")), " ").alias("d")).select(F.lit(2).alias("section"), F.concat_ws(" ", "src", "d").alias("line"))
     head, node, edge, tail = forms[fmt]
     spark = nodes.sparkSession
     middle = {"gexf": "</nodes><edges>", "pajek": "*arcs"}.get(fmt, "")

@@ -99,13 +99,12 @@ def str_type_names(spark, d):
 
 def _merged_nodes(how):
     agg = "avg" if how == "mean" else "max"
-    return f"""WITH {OCC} SELECT stable_id, arg_min(type, (source_file, pos)) AS type, round({agg}({CLAMP("confidence")}), 6) AS confidence, count(*) AS occurrences,
-  string_agg(source_file, ',' ORDER BY source_file, pos) AS source_files FROM occ GROUP BY stable_id"""
+    return f"""WITH {OCC} SELECT stable_id, arg_min(type, (source_file, pos)) AS type, round({agg}({CLAMP("confidence")}), 6) AS confidence, count(*) AS occurrences FROM occ GROUP BY stable_id"""
 
 
 def _nodes(spark, d, how):
     n = A.merge_nodes(occurrences(spark, d), how)
-    return n.select("stable_id", "type", F.round("confidence", 6).alias("confidence"), "occurrences", F.array_join("source_files", ",").alias("source_files"))
+    return n.select("stable_id", "type", F.round("confidence", 6).alias("confidence"), "occurrences")
 
 
 @query(_merged_nodes("mean"))
@@ -118,6 +117,11 @@ def asm_nodes_max(spark, d):
     return _nodes(spark, d, "max")
 
 
+@query(f"WITH {OCC} SELECT stable_id, source_file, count(*) AS occurrences FROM occ GROUP BY 1, 2")
+def asm_node_files(spark, d):
+    return A.node_files(occurrences(spark, d))
+
+
 @query(f"""WITH {OCC}, f AS (SELECT stable_id, arg_min_null(name, (source_file, pos)) AS name FROM occ GROUP BY 1), a AS (SELECT DISTINCT stable_id, unnest(aliases) AS alias FROM occ)
 SELECT stable_id, string_agg(alias, '|' ORDER BY alias) AS aliases FROM a JOIN f USING (stable_id) WHERE alias IS DISTINCT FROM name AND alias IS NOT NULL GROUP BY 1""")
 def asm_alias_union(spark, d):
@@ -174,8 +178,7 @@ def flt_dangling_edges(spark, d):
 
 @query(f"WITH {OCC} SELECT type, count(DISTINCT name) AS names, min(name) AS first, max(name) AS last FROM occ WHERE name <> '' GROUP BY 1")
 def nrm_inventory(spark, d):
-    n = A.name_inventory(occurrences(spark, d))
-    return n.select("type", F.size("names").cast("long").alias("names"), F.get("names", F.lit(0)).alias("first"), F.element_at("names", -1).alias("last"))
+    return A.name_inventory(occurrences(spark, d)).groupBy("type").agg(F.count("*").alias("names"), F.min("name").alias("first"), F.max("name").alias("last"))
 
 
 #: A map of names made from the records: every alias of a record stands for its name.

@@ -74,10 +74,14 @@ def snk_vault_index(spark, d):
     return X.note_index(graph(spark, d)[0])
 
 
-@query()
+@query(f"""WITH {GRAPH}, {ATTR}, t AS (SELECT id, type, coalesce(nullif(name, ''), id) AS title FROM gn), u AS (SELECT DISTINCT src, dst, type FROM ge)
+SELECT id, 0 AS section, '---\ntype: ' || type || '\nid: ' || id || '\n---\n# ' || title AS line FROM t
+UNION ALL SELECT DISTINCT id, 1, '- **' || attr || '**: ' || value FROM ax WHERE value IS NOT NULL AND attr <> 'name'
+UNION ALL SELECT src, 2, '- ' || u.type || ' [[' || coalesce(title, dst) || ']]' FROM u LEFT JOIN t ON t.id = dst WHERE src IN (SELECT id FROM gn)
+UNION ALL SELECT dst, 3, '- ' || u.type || ' [[' || coalesce(title, src) || ']]' FROM u LEFT JOIN t ON t.id = src WHERE dst IN (SELECT id FROM gn)""")
 def snk_vault_notes(spark, d):
     n, e = graph(spark, d)
-    return X.notes(n, attributes(spark, d), e)
+    return X.note_lines(n, attributes(spark, d), e)
 
 
 @query(f"""WITH {GRAPH}, deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM ge UNION ALL SELECT dst FROM ge) GROUP BY 1), k AS (SELECT type, row_number() OVER (ORDER BY type) - 1 AS k FROM (SELECT DISTINCT type FROM gn)), m AS (SELECT greatest(max(degree), 1) AS top FROM deg)
@@ -87,7 +91,7 @@ def snk_html_render(spark, d):
     return X.render_table(n, G.degrees(e))
 
 
-@query(f"WITH {GRAPH} SELECT 2 AS section, src || ' ' || string_agg(DISTINCT dst, ' ' ORDER BY dst) AS line FROM ge GROUP BY src")
+@query(f"WITH {GRAPH} , p AS (SELECT src, dst, (row_number() OVER (PARTITION BY src ORDER BY dst) - 1) // 1000 AS p FROM (SELECT DISTINCT src, dst FROM ge)) SELECT 2 AS section, src || ' ' || string_agg(dst, ' ' ORDER BY dst) AS line FROM p GROUP BY src, p")
 def snk_adjacency(spark, d):
     return X.graph_lines(*graph(spark, d), "adjacency")
 

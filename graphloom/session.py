@@ -67,7 +67,7 @@ class Session:
 
     def note(self, node_id: str) -> DataFrame:
         near = self.edges.where((F.col("src") == node_id) | (F.col("dst") == node_id))
-        return X.notes(self.entities, self.attributes, near).where(F.col("id") == node_id)
+        return X.note(X.note_lines(self.entities, self.attributes, near), node_id)
 
     def turtle(self) -> DataFrame:
         alias = self.nodes.select("id", F.explode("aliases").alias("alias"))

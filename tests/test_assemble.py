@@ -54,7 +54,7 @@ def test_nodes_edges_and_endpoints(spark):
     schema = "source_file string, pos int, raw_id string, type string, name string, confidence string, aliases array<string>"
     nodes = A.with_stable_ids(spark.createDataFrame([("b", 0, "n1", "P", "Ann", "0.4", ["A."]), ("a", 1, "n1", "P", "ann", "0.8", None), ("a", 0, "n2", "P", "", "bad", ["Ann"])], schema))
     m = {r.stable_id: r for r in A.merge_nodes(nodes).collect()}
-    assert m["p-ann"].name == "ann" and m["p-ann"].source_files == ["a", "b"] and abs(m["p-ann"].confidence - 0.6) < 1e-9 and m["p-ann"].aliases == ["A."]
+    assert m["p-ann"].name == "ann" and m["p-ann"].occurrences == 2 and A.node_files(nodes).where("stable_id = 'p-ann'").count() == 2 and abs(m["p-ann"].confidence - 0.6) < 1e-9 and m["p-ann"].aliases == ["A."]
     assert m["p-n2"].confidence == 0.0 and m["p-n2"].aliases == ["Ann"]
     e = spark.createDataFrame([("a", 0, "k", "n1", "Ann", 0.5), ("a", 1, "k", "p-n2", "zzz", 0.7), ("b", 0, "k", "n1", "Ann", 1.5)], "source_file string, pos int, type string, src string, dst string, confidence double")
     r = A.resolve_endpoints(e, nodes)
