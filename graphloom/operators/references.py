@@ -65,11 +65,11 @@ def orphan_references(refs: DataFrame, parents: DataFrame, cell_rows: int = CELL
     included. A reference without time is an orphan. No parents: all are orphans; no references: no rows. Repeated
     references stay repeated.
 
-    Keys are cut into ranges of their 64-bit hash, about cell_rows references each. A range that holds more, because of
+    Keys are cut into ranges of their 64-bit hash, of about cell_rows references and parents at most. A range that holds more, because of
     hot keys, is salted: its references are split over several cells and its parents repeated in each. The hot ranges
     are fewer than references / cell_rows, which bounds what is broadcast.
     """
-    n = max(1, refs.count())
+    n = max(1, refs.count(), parents.count())
     ranges = max(1, 2 ** int(np.ceil(np.log2(n / cell_rows))) if n > cell_rows else 1)
     spread = lambda d: d.withColumn("h", F.xxhash64("key")).withColumn("cell", F.floor((F.shiftrightunsigned("h", 33)) * F.lit(ranges) / F.lit(2**31)).cast("int"))
     refs, parents = spread(refs), spread(parents)

@@ -205,7 +205,7 @@ def stream_append(spark, d):
 
     from graphloom.streaming.append import append_stream
 
-    root = f"{shared_dir(spark)}/graphloom/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents")
     folder, name = os.path.split(f"{d}/documents.parquet")
     for run in range(2):

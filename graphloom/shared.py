@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df written as a table in the shared folder and read again: its lineage ends there, and the copy outlives any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._graphloom_path = path
@@ -39,9 +39,17 @@ def drop(df: DataFrame | None) -> None:
     """Deletes what cut() wrote for df, once nothing reads it any more."""
     path = getattr(df, "_graphloom_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all that this application cut, at its end: results that were not written elsewhere go with it."""
+    _delete(spark, f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", parts: int | None = None) -> DataFrame:
