@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.shared import cut, drop, trimmed
+from graphloom.shared import cut, drop, salted_lookup, trimmed
 
 #: Values that stand for "unknown", compared without case and surrounding blanks.
 STAND_INS = ("", "-", "--", "?", "??", "n/a", "na", "nan", "nil", "no data", "none", "not available", "not known", "null", "tba", "tbd", "undefined", "unknown")
@@ -71,18 +71,21 @@ def by_posterior(cands: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             c = c.withColumn("a", F.lit(0.8))
         else:
             c = c.join(accuracy, "source", "left")
-        c = cut(c.groupBy("id", "attr", "v").agg(F.collect_list(F.struct("a", "source", "w", "b")).alias("s")), "votes")  # at most one row per source
-        lead = c.select("*", F.array_max(F.transform("s", lambda s: F.struct(s.a.alias("a"), s.source.alias("source")))).source.alias("lead"), F.explode("s").alias("x")).select("id", "attr", "v", "lead", "x.*")
+        c = cut(c.select("id", "attr", "v", "source", "w", "b", "a"), "votes")
+        leads = c.groupBy("id", "attr", "v").agg(F.max(F.struct("a", "source")).alias("m")).select("id", "attr", "v", F.col("m.source").alias("lead"))
+        lead = salted_lookup(c, leads, ["id", "attr", "v"], "inner")
         if copies is None:
             lead = lead.withColumn("dep", F.lit(0.0))
         else:
             lead = lead.join(copies, ["source", "lead"], "left").withColumn("dep", F.when(F.col("source") == F.col("lead"), 0.0).otherwise(F.coalesce("dep", F.lit(0.0))))
         vote = F.col("w") * F.log(n * F.col("a") / (1 - F.col("a"))) * (1 - COPY_RATE * F.col("dep"))
         values = lead.groupBy("id", "attr", "v").agg(F.sum(vote).alias("score"), F.count("*").alias("n_sources"), F.max("b").alias("b"))
-        total = values.groupBy("id", "attr").agg(F.max("score").alias("top"), F.collect_list("score").alias("all"))
-        odds = F.aggregate("all", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("top")))
-        unseen = F.greatest(F.lit(n + 1) - F.size("all"), F.lit(0)) * F.exp(-F.col("top"))
-        posterior = values.join(total.select("id", "attr", "top", (odds + unseen).alias("z")), ["id", "attr"]).withColumn("posterior", F.exp(F.col("score") - F.col("top")) / F.col("z"))
+        values = cut(values, "values")
+        tops = values.groupBy("id", "attr").agg(F.max("score").alias("top"), F.count("*").alias("k"))
+        scaled = values.join(tops, ["id", "attr"]).withColumn("odds", F.exp(F.col("score") - F.col("top")))
+        unseen = F.greatest(F.lit(n + 1) - F.max("k"), F.lit(0)) * F.exp(-F.max("top"))
+        total = scaled.groupBy("id", "attr").agg((F.sum("odds") + unseen).alias("z"))
+        posterior = scaled.join(total, ["id", "attr"]).withColumn("posterior", F.col("odds") / F.col("z"))
         posterior = cut(posterior.select("id", "attr", "v", "posterior", "n_sources", "b"), "posterior")
         if k + 1 < rounds:
             judged = lead.select("id", "attr", "v", "source", "lead").join(posterior.select("id", "attr", "v", "posterior"), ["id", "attr", "v"])
