@@ -134,7 +134,7 @@ def train_rules(docs: DataFrame, labels: DataFrame, subjects: DataFrame, labelle
     mine = cut(clean_labels(labels, subjects), "labels")
     chosen = mine.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     per_doc = mine.join(chosen, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("classes"))
-    text = docs.join(per_doc, "doc_id").select("text", "classes").where("text is not null")
+    text = docs.select("doc_id", "text").join(per_doc, "doc_id").select("text", "classes").where("text is not null")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -28,7 +28,7 @@ def test_learned_rules_and_held_out_accuracy(spark):
     labels = [(i, rng.choice(truth[i]) if rng.random() > 0.1 else rng.choice(names)) for i in range(250)]
     labels = [(i, s.upper() if i % 7 == 0 else s[:-1] if i % 11 == 0 else s + " ") for i, s in labels] + [(902, None), (9999, "law"), (3, "weather")]
     schema = "doc_id long, text string"
-    d = spark.createDataFrame(docs, schema)
+    d = spark.createDataFrame([(*r, "x", "y", 1) for r in docs], schema + ", classes string, subject string, of int")
     areas = spark.createDataFrame([(n, "") for n in names], "subject string, description string")
     lab = spark.createDataFrame([(i, s, "r") for i, s in labels], "doc_id long, subject string, rater string")
     rules = train_rules(d, lab, areas)
