@@ -213,7 +213,7 @@ def best_passage(d: np.ndarray, i: np.ndarray, rare: np.ndarray, size: int) -> f
     not a common one. Shingles that agree one after the other make a piece, which counts if three of them are rare. A
     passage is a chain of pieces in order with at most LOOSE letters between them on both sides, but for one
     interruption of up to BREAK letters in the document. It holds if its pieces contain at least DENSE of the rare
-    shingles between its ends, so sentences that share no more than their build make none.
+    shingles between its ends, so sentences that share no more than their build make none. All pieces take part, however many.
     """
     o = np.lexsort((d, d - i))
     d, i = d[o], i[o]
@@ -222,40 +222,49 @@ def best_passage(d: np.ndarray, i: np.ndarray, rare: np.ndarray, size: int) -> f
     long = np.diff(np.append(head, len(d)))
     some = weight >= 3
     d0, i0, n, weight = d[head][some], i[head][some], long[some] + SHINGLE - 1, weight[some]
-    if len(d0) > 300:  # pieces of three shingles are everywhere in very long texts; the others carry a passage
-        some = weight >= np.partition(weight, -300)[-300]
-        d0, i0, n, weight = d0[some], i0[some], n[some], weight[some]
     o = np.argsort(d0, kind="stable")
     d0, i0, n, weight = d0[o].tolist(), i0[o].tolist(), n[o].tolist(), weight[o].tolist()
-    before_i = np.concatenate([[0], np.cumsum(rare)])
-    best, reach = 0.0, BREAK + LOOSE + max(n, default=0)
-    state: list[list[tuple[int, int] | None]] = []  # by interruptions: rare shingles in pieces, where the passage starts in the item
+    before_i = np.concatenate([[0], np.cumsum(rare)]).tolist()
+    near = LOOSE + SHINGLE
+    best = 0.0
+    ended: dict[int, list[int]] = {}  # pieces by where they end in the item: a next one looks at two entries only
+    state: list[tuple[list[tuple[int, int]], list[tuple[int, int]]]] = []  # by interruptions: see _longest()
     for k in range(len(d0)):
-        mine: list[tuple[int, int] | None] = [(weight[k], i0[k]), None]
-        for j in range(k - 1, -1, -1):
-            if d0[k] - d0[j] > reach:
-                break
-            gap_d, gap_i = d0[k] - d0[j] - n[j], i0[k] - i0[j] - n[j]
-            if gap_d > BREAK + LOOSE or gap_i > LOOSE or gap_i <= -SHINGLE or gap_d <= -SHINGLE:
+        mine: tuple[list[tuple[int, int]], list[tuple[int, int]]] = ([(weight[k], i0[k])], [])
+        slot = (i0[k] - LOOSE) // near
+        for at in (slot, slot + 1):
+            if at not in ended:
                 continue
-            far = gap_d > LOOSE
-            for broken in (0, 1):
-                old = state[j][broken]
-                if old is None or (far and broken):
+            ended[at] = [j for j in ended[at] if d0[k] - d0[j] - n[j] <= BREAK + LOOSE]  # the others are too far back for all that follow
+            for j in ended[at]:
+                gap_d, gap_i = d0[k] - d0[j] - n[j], i0[k] - i0[j] - n[j]
+                if gap_i > LOOSE or gap_i <= -SHINGLE or gap_d <= -SHINGLE:
                     continue
-                to = broken or int(far)
-                new = (old[0] + weight[k], old[1])
-                if mine[to] is None or new > mine[to]:
-                    mine[to] = new
-        state.append(mine)
-        for s in mine:
-            if s is not None:
-                end = i0[k] + n[k]
-                if s[0] >= DENSE * (before_i[min(end - SHINGLE + 1, len(rare))] - before_i[s[1]]):
-                    best = max(best, (end - s[1]) / size)
+                far = gap_d > LOOSE
+                for broken in (0,) if far else (0, 1):
+                    mine[broken or int(far)].extend((w + weight[k], s) for w, s in state[j][broken])
+        state.append((_longest(mine[0], before_i), _longest(mine[1], before_i)))
+        ended.setdefault((i0[k] + n[k]) // near, []).append(k)
+        end = i0[k] + n[k]
+        upto = before_i[min(end - SHINGLE + 1, len(rare))]
+        for w, s in state[k][0] + state[k][1]:
+            if w >= DENSE * (upto - before_i[s]):
+                best = max(best, (end - s) / size)
     return best
 
 
+def _longest(chains: list[tuple[int, int]], before: list[int]) -> list[tuple[int, int]]:
+    """Of chains (rare shingles in pieces, start in the item) with one end those that may grow to the longest passage: no other starts as early and is as dense."""
+    if len(chains) < 2:
+        return chains
+    kept, most = [], -1.0
+    for w, s in sorted(chains, key=lambda c: (c[1], -c[0])):
+        if w + DENSE * before[s] > most:
+            kept.append((w, s))
+            most = w + DENSE * before[s]
+    return kept
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, share of every document that holds a passage of an item of at least a third of it.
 

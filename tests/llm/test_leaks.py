@@ -62,3 +62,27 @@ def test_minhash_finds_what_exact_search_finds():
     pairs = set(own.search(own.masked(np.concatenate(grams)), doc).tolist())
     exact = {d * 40 + i for d in range(len(docs)) for i in range(40) if own.share(grams[d], i) >= LEAST}
     assert len(exact) > 150 and exact <= pairs
+
+
+def test_light_pieces_among_many_heavy_ones():
+    """An altered passage is a chain of light pieces; hundreds of heavier scattered ones must not hide it."""
+    rng = random.Random(4)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+    fresh = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    scattered = "".join(item[a : a + 40] + fresh(30) for a in (rng.randrange(2960) for _ in range(400)))
+    altered = "".join(item[a : a + 30] + fresh(1) for a in range(600, 1848, 31))
+    own = Items([1], [item])
+    assert own.share(shingles(scattered.encode()), 0) < LEAST
+    for text in (altered, scattered + altered, scattered + fresh(2000) + altered + fresh(2000) + scattered):
+        assert own.share(shingles(text.encode()), 0) >= 0.4
+
+
+def test_thin_start_does_not_hide_a_dense_passage():
+    """A chain that reaches farther back over thin pieces has more shingles and is not dense enough; the passage after them is."""
+    rng = random.Random(5)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+    fresh = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    thin = "".join(item[a : a + 15] + fresh(100) for a in range(0, 1495, 115))
+    dense = "".join(item[a : a + 30] + fresh(1) for a in range(1495, 2735, 31))
+    own = Items([1], [item])
+    assert own.share(shingles((thin + dense).encode()), 0) >= 0.4
