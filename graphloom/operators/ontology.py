@@ -24,27 +24,27 @@ def flatten(concepts: DataFrame) -> DataFrame:
     return all_.groupBy("session_id", "type").agg(F.flatten(lists).alias("attributes"))
 
 
-def closure(links: DataFrame) -> DataFrame:
-    """type, ancestor of all (type, parent) rows: reflexive and transitive, by squaring until nothing is new. A type may have several parents; loops do no harm."""
-    pairs = cut(links.select(F.col("type").alias("type"), F.col("type").alias("ancestor")).unionByName(links.where("parent is not null").select("type", F.col("parent").alias("ancestor"))).distinct(), "closure")
+def closure(links: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """type, ancestor of all (type, parent) rows: reflexive and transitive, by squaring until nothing is new. A type may have several parents; loops do no harm. by: columns, such as session_id, that links don't lead across."""
+    pairs = cut(links.select(*by, F.col("type").alias("type"), F.col("type").alias("ancestor")).unionByName(links.where("parent is not null").select(*by, "type", F.col("parent").alias("ancestor"))).distinct(), "closure")
     n = pairs.count()
     while True:
-        step = pairs.join(pairs.select(F.col("type").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("type", F.col("next").alias("ancestor"))
+        step = pairs.join(pairs.select(*by, F.col("type").alias("ancestor"), F.col("ancestor").alias("next")), [*by, "ancestor"]).select(*by, "type", F.col("next").alias("ancestor"))
         more = cut(pairs.unionByName(step).distinct(), "closure")
         m = more.count()
         drop(pairs)
         pairs = more
         if m == n:
-            known = links.select("type").distinct()
-            return pairs.join(known, "type", "left_semi")
+            known = links.select(*by, "type").distinct()
+            return pairs.join(known, [*by, "type"], "left_semi")
         n = m
 
 
-def compatible(anc: DataFrame, properties: DataFrame) -> DataFrame:
-    """a, b: pairs of types that some property joins, in either direction, through any of their ancestors."""
+def compatible(anc: DataFrame, properties: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """a, b: pairs of types that some property joins, in either direction, through any of their ancestors. by: columns of anc within which they meet."""
     p = properties.select("domain", "range").distinct()
-    x = p.join(anc.select(F.col("type").alias("a"), F.col("ancestor").alias("domain")), "domain").join(anc.select(F.col("type").alias("b"), F.col("ancestor").alias("range")), "range").select("a", "b").distinct()
-    return x.unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    x = p.join(anc.select(*by, F.col("type").alias("a"), F.col("ancestor").alias("domain")), "domain").join(anc.select(*by, F.col("type").alias("b"), F.col("ancestor").alias("range")), [*by, "range"]).select(*by, "a", "b").distinct()
+    return x.unionByName(x.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
 def history(concepts: DataFrame) -> DataFrame:

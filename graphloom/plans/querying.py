@@ -228,6 +228,12 @@ def sch_compatible_pairs(spark, d):
     return O.compatible(O.closure(links), properties(spark, d).where("name in ('leads', 'owns')"))
 
 
+@query()
+def sch_compatible_all(spark, d):
+    """Of all properties, through all parent links of each session; hierarchies of different sessions don't mix. No SQL: tested against brute force."""
+    return O.compatible(O.closure(table(spark, d, "concepts"), ("session_id",)), properties(spark, d), ("session_id",))
+
+
 @query("SELECT domain AS type, string_agg(name || ' -> ' || range, '; ' ORDER BY name, range) AS outgoing FROM (SELECT DISTINCT e.type AS name, n.type AS domain, m.type AS range FROM edges e JOIN (SELECT DISTINCT id, type FROM nodes) n ON n.id = e.\"from\" JOIN (SELECT DISTINCT id, type FROM nodes) m ON m.id = e.\"to\") GROUP BY 1")
 def sch_edge_listing(spark, d):
     return O.edge_listing(properties(spark, d))
