@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -12,12 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.operators.components import connected_components
+from graphloom.shared import cut, drop
+
 #: Letters of a shingle; blanks, signs and line breaks are taken out of the texts before.
 SHINGLE = 12
 #: Hash functions, and how many minima a window must share with an item to be looked at.
 HASHES, AGREE = 16, 2
-#: A shingle that stands in so many items is a line of instruction or a stock phrase: it finds nothing.
+#: A shingle that stands in so many different items is a line of instruction or a stock phrase: it finds nothing.
 COMMON_ITEMS = 4
+#: Copies of an item count as one there: texts that agree in half of BANDS x ROWS MinHashes, looked at if they agree in all of a band.
+BANDS, ROWS = 32, 4
 #: Share of an item that a passage must span: a third, less the letters at its ends that may be altered.
 LEAST = 0.3
 #: Letters that may be altered between two pieces of a passage; letters of other text that may interrupt it once.
@@ -33,6 +39,7 @@ _TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SIGNS = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
 _MORE_SIGNS = re.compile("[\u0080-\u00bf\u02b0-\u036f\u2000-\u206f\u20d0-\u20ff\u3000-\u303f\ufe00-\ufe0f\ufeff-\ufeff]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+_COPY_MULTIPLIERS = (np.random.default_rng(13).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _MULTIPLIERS = (np.random.default_rng(12).integers(1, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -67,13 +74,16 @@ class Items:
 
     WIDTH = 22
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], common: np.ndarray | None = None):
+        """common: sorted shingles that find nothing, from all passes; if None, they are counted over these texts."""
         self.ids, self.words = ids, [max(1, len(t.split())) for t in texts]
         self.data = [letters(t) for t in texts]
         self.grams = [shingles(d) for d in self.data]
-        each = [np.unique(g) for g in self.grams]
-        all_grams, n = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
-        self.common = all_grams[n >= COMMON_ITEMS]
+        if common is None:
+            each = [np.unique(g) for g in self.grams]
+            all_grams, n = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
+            common = all_grams[n >= COMMON_ITEMS]
+        self.common = common
         self.common_bits = _bits(self.common, self.WIDTH)
         self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         by: dict[int, list[int]] = {}
@@ -265,31 +275,86 @@ def _longest(chains: list[tuple[int, int]], before: list[int]) -> list[tuple[int
     return kept
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, t) with a key k that equal letters share."""
+    for b in batches:
+        keys = [hashlib.md5(letters(t)).hexdigest() for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.string())], ["i", "t", "k"])
+
+
+def _text_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k and g, each different shingle of its text, of (k, t)."""
+    for b in batches:
+        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            g = np.unique(shingles(letters(t)))
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(g.view(np.int64))], ["k", "g"])
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k, its MinHashes and their bands, of (k, t); texts too short for a shingle have none."""
+    for b in batches:
+        keys, low, bands = [], [], []
+        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            g = shingles(letters(t))
+            if len(g):
+                mine = np.array([(g * m).max() for m in _COPY_MULTIPLIERS])
+                keys.append(k)
+                low.append(mine.view(np.int64).tolist())
+                bands.append([hashlib.md5(bytes([n]) + x.tobytes()).hexdigest() for n, x in enumerate(mine.reshape(BANDS, ROWS))])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(low, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.string()))], ["k", "low", "bands"])
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """The shingles, sorted, that stand in COMMON_ITEMS or more of the texts (k, t; different letters), where near-copies count as one.
+
+    Near-copies agree in half of their MinHashes. Texts meet the least one of each band; links are closed by components.
+    """
+    signs = cut(texts.mapInArrow(_signatures, "k string, low array<long>, bands array<string>"), "signatures")
+    band = signs.select("k", F.explode("bands").alias("band"))
+    least = band.groupBy("band").agg(F.min("k").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
+    met = band.join(least, "band").where("k <> lead").select("k", "lead").distinct()
+    both = met.join(signs.select("k", "low"), "k").join(signs.select(F.col("k").alias("lead"), F.col("low").alias("other")), "lead")
+    links = cut(both.where(F.size(F.filter(F.zip_with("low", "other", lambda a, b: a == b), lambda x: x)) * 2 >= BANDS * ROWS).select("k", "lead"), "links")
+    stands = texts.mapInArrow(_text_shingles, "k string, g long")
+    groups = None
+    if not links.isEmpty():
+        groups = connected_components(links, "k", "lead")
+        stands = stands.join(groups.withColumnRenamed("vertex", "k"), "k", "left").select("g", F.coalesce("component", "k").alias("k")).distinct()
+    found = stands.groupBy("g").count().where(F.col("count") >= COMMON_ITEMS).select("g").toArrow()["g"].to_numpy()
+    for d in (signs, links, groups):
+        drop(d)
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, share of every document that holds a passage of an item of at least a third of it.
 
     Texts are compared as streams of letters and digits without case, accents, signs, blanks or line ends. Items are
     partitioned by size; a document is cut into windows of a third of the items of each class, half overlapping, and the
-    window's HASHES minima are looked up among those of the items' windows. Shingles of COMMON_ITEMS items or more find
-    nothing, so that lines of instruction and stock phrases don't count. Pairs that agree in AGREE minima are verified
+    window's HASHES minima are looked up among those of the items' windows. Shingles of COMMON_ITEMS different items or more
+    find nothing, so that lines of instruction and stock phrases don't count; they are counted over all items before the
+    passes, and copies and near-copies of an item count as one (common_shingles). Pairs that agree in AGREE minima are verified
     by their exact shingles in order (best_passage).
 
-    Null, empty and very short texts on either side match nothing; repeated documents count each; repeated items too.
-    No shuffle of documents: the items go to all tasks, PASS_BYTES of them in each pass over the corpus.
+    Null, empty and very short texts on either side match nothing; repeated documents count each; repeated items too:
+    a text is searched for once, for all its items. No shuffle of documents: the items go to all tasks, PASS_BYTES of them in each pass over the corpus.
     """
     spark = docs.sparkSession
 
     known = items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t is not null and i is not null")
     total = known.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = max(1, -(-int(total) // PASS_BYTES))
+    keyed = known.mapInArrow(_keyed, T.StructType([known.schema["i"], T.StructField("t", T.StringType()), T.StructField("k", T.StringType())]))
+    texts = cut(keyed.groupBy("k").agg(F.min("t").alias("t"), F.collect_set("i").alias("i")), "items")  # the ids of a text, which go to all tasks anyway
+    common = spark.sparkContext.broadcast(common_shingles(texts.select("k", "t")))
     schema = T.StructType([docs.select(doc_id).schema[0], items.select(item_id).schema[0], T.StructField("share", T.DoubleType())])
     out = None
     for p in range(passes):
-        part = known.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == p).distinct().orderBy("i", "t").toArrow()
+        part = texts.where(F.pmod(F.xxhash64("k"), F.lit(passes)) == p).orderBy("k").toArrow()
         sent = spark.sparkContext.broadcast((part["i"].to_pylist(), part["t"].to_pylist()))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = Items(*sent.value)
+            own = Items(*sent.value, common.value)
             for batch in batches:
                 ids, texts, lo = batch.column(0), [letters(t) for t in batch.column(1).to_pylist()], 0
                 rows, found, shares = [], [], []
@@ -305,13 +370,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
                         d, i = divmod(pair, len(own.ids))
                         s = own.share(grams[d], i)
                         if s >= LEAST:
-                            rows.append(lo + d)
-                            found.append(own.ids[i])
-                            shares.append(s)
+                            rows.extend([lo + d] * len(own.ids[i]))
+                            found.extend(own.ids[i])
+                            shares.extend([s] * len(own.ids[i]))
                     lo = hi
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(found, pa.int64()).cast(part_type), pa.array(shares, pa.float64())], [doc_id, item_id, "share"])
 
-        part_type = part["i"].type
+        part_type = part["i"].type.value_type
         one = docs.select(doc_id, text).where(F.length(text) >= SHINGLE).mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
+    drop(texts)
     return out

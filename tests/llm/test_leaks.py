@@ -86,3 +86,21 @@ def test_thin_start_does_not_hide_a_dense_passage():
     dense = "".join(item[a : a + 30] + fresh(1) for a in range(1495, 2735, 31))
     own = Items([1], [item])
     assert own.share(shingles((thin + dense).encode()), 0) >= 0.4
+
+
+def test_copies_and_near_copies_of_an_item_are_found(spark, monkeypatch):
+    """Six ids of one text, five near-copies of another, and a line of instruction in all, which is no leak in one pass or in several."""
+    rng = random.Random(7)
+    line = " ".join(words(rng, 60))
+    texts = [" ".join(words(rng, 90)) for _ in range(8)]
+    near = [" ".join(w if rng.random() < 0.98 else "other" for w in texts[1].split()) for _ in range(5)]
+    items = [(k, f"{line} {texts[0]}" if k % 2 else f"{line.upper()}, {texts[0]}!") for k in range(6)]
+    items += [(10 + k, f"{line} {t}") for k, t in enumerate(near)] + [(20 + k, f"{line} {t}") for k, t in enumerate(texts[2:])]
+    around = [" ".join(words(rng, 200)) for _ in range(5)]
+    docs = [(k, f"{around[k]} {t} {around[k]}") for k, t in enumerate(texts[:4])] + [(9, f"{around[4]} {line} {around[4]}")]
+    want = {(0, k) for k in range(6)} | {(1, 10 + k) for k in range(5)} | {(2, 20), (3, 21)}
+    rows, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (8_000_000, 2000):
+        monkeypatch.setattr(leaks, "PASS_BYTES", size)
+        got = [(r.doc_id, r.item_id) for r in leaked_items(rows, it).collect()]
+        assert set(got) == want and len(got) == len(want)
