@@ -47,3 +47,21 @@ def test_repeated_rows_and_ties(spark):
     one = by_posterior(candidates(spark.createDataFrame(rows, NODE))).first()
     again = by_posterior(candidates(spark.createDataFrame(rows * 3, NODE))).first()
     assert (one.value, one.n_sources, one.node_key) == (again.value, again.n_sources, again.node_key) == ("x", 2, 1)
+
+
+def test_copies_are_found_where_a_third_source_leads(spark):
+    """Five sources copy each other, and every false value they share is led by another, more accurate source that they met never before."""
+    rows, key = [], 0
+    for i in range(205):
+        wrong, contested = i % 10 < 3, i >= 200
+        values = {f"good{k}": "right" if contested or (i + 7 * k) % 20 else f"odd{k}" for k in range(3 if contested else 9)}
+        values |= {f"copy{k}": "wrong" if wrong or contested else "right" for k in range(5)}
+        if wrong or contested:
+            values[f"z{i}"] = "wrong"
+        else:
+            values |= {f"z{k}": "right" for k in range(205) if (k % 10 < 3 or k >= 200) and (k + i) % 20 == 0}
+        for s, v in values.items():
+            key += 1
+            rows.append(node(key, f"e{i}", 0.8, {"v": (v, 0.8)}, (s,)))
+    got = {r.id: r.value for r in by_posterior(candidates(spark.createDataFrame(rows, NODE))).collect()}
+    assert len(got) == 205 and all(v == "right" for v in got.values())
