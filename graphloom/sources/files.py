@@ -123,7 +123,7 @@ def markdown_to_html(text: Column) -> Column:
     """Paragraphs and headings of a Markdown text as HTML, for round trips in tests and queries."""
     from graphloom.functions.text import html_text
 
-    lines = F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike("^# "), F.concat(F.lit("<h1>"), html_text(F.substring(x, 3, 100000)), F.lit("</h1>"))).when(F.trim(x) == "", F.lit("")).otherwise(F.concat(F.lit("<p>"), html_text(x), F.lit("</p>"))))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike("^# "), F.concat(F.lit("<h1>"), html_text(F.substr(x, F.lit(3))), F.lit("</h1>"))).when(F.trim(x) == "", F.lit("")).otherwise(F.concat(F.lit("<p>"), html_text(x), F.lit("</p>"))))
     return F.array_join(lines, "\n")
 
 
