@@ -16,8 +16,8 @@ from graphloom.shared import cut, drop, trimmed
 
 #: Labelled documents that rules are mined from; of more, those whose ids hash lowest.
 LABELLED = 20_000
-#: Sentences a rule must hold in, at least, and as a share of all sentences of the sample; its confidence.
-SUPPORT, SUPPORT_SHARE, CONFIDENCE = 6, 8e-5, 0.6
+#: Sentences a rule must hold in, at least, however large the sample, which LABELLED bounds; its confidence.
+SUPPORT, CONFIDENCE = 6, 0.6
 #: Sentences to each part of the items that FP-growth mines apart; every part gets its own copy of the sentences with its items.
 PART_ROWS = 250_000
 #: Share of the sentences on any subject that makes a document deal with one.
@@ -88,13 +88,12 @@ def _mine(rows: DataFrame, total: int) -> list[tuple[list[str], str, float]]:
 
     Words whose best class is hardly likelier than without them are left out first: they can't lead to a rule.
     """
-    support = max(SUPPORT, math.ceil(SUPPORT_SHARE * total))
     per = cut(rows.select("class", F.explode("words").alias("w")).groupBy("w", "class").count(), "words")
     sizes = {r["class"]: r["count"] for r in rows.groupBy("class").count().collect()}
     prior = F.create_map(*[x for c, k in sizes.items() for x in (F.lit(c), F.lit(k / total))])
     lift = F.col("count") / F.col("n") / F.element_at(prior, F.col("class"))
-    stats = per.join(per.groupBy("w").agg(F.sum("count").alias("n")).where(F.col("n") >= support), "w")
-    good = stats.where((F.col("class") != NONE) & (lift > 2) & (F.col("count") >= support / 2) & (F.col("count") - F.col("n") * F.element_at(prior, F.col("class")) > 2 * F.sqrt(F.col("n") * F.element_at(prior, F.col("class"))))).select("w").distinct()
+    stats = per.join(per.groupBy("w").agg(F.sum("count").alias("n")).where(F.col("n") >= SUPPORT), "w")
+    good = stats.where((F.col("class") != NONE) & (lift > 2) & (F.col("count") >= SUPPORT / 2) & (F.col("count") - F.col("n") * F.element_at(prior, F.col("class")) > 2 * F.sqrt(F.col("n") * F.element_at(prior, F.col("class"))))).select("w").distinct()
     keep = {r["w"] for r in good.collect()}  # words of at least SUPPORT sentences of a bounded sample
     sent = rows.sparkSession.sparkContext.broadcast(keep)
 
@@ -105,7 +104,7 @@ def _mine(rows: DataFrame, total: int) -> list[tuple[list[str], str, float]]:
         return pd.Series([["=" + c, *(w for w in x if w in sent.value)] for x, c in zip(ws, cs)])
 
     baskets = cut(rows.select(only("words", "class").alias("items")).where(F.size("items") > 1), "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=(support - 0.5) / max(1, baskets.count()), numPartitions=max(2, total // PART_ROWS)).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=(SUPPORT - 0.5) / max(1, baskets.count()), numPartitions=max(2, total // PART_ROWS)).fit(baskets)
     few = F.size(F.filter("items", lambda x: ~x.startswith("="))).between(1, 2)
     freq = {frozenset(r["items"]): r["freq"] for r in model.freqItemsets.where(few).toLocalIterator()}
     drop(per)

@@ -54,3 +54,15 @@ def test_labels_and_empty_tables(spark):
 def test_evidence():
     r = Rules([(["a"], "x", 0.7), (["b"], "y", 0.9), (["a", "b"], "x", 0.95)])
     assert r.subject(["a"]) == "x" and r.subject(["b"]) == "y" and r.subject(["b", "a", "a"]) == "x" and r.subject(["c"]) is None
+
+
+def test_rare_words_give_rules_in_a_large_sample_too(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.llm.subjects import NONE, _mine
+
+    few = [("a", ["quasar", f"x{k}"]) for k in range(12)] + [("b", ["ledger", f"y{k}"]) for k in range(12)]
+    many = spark.range(200_000).select(F.lit(NONE).alias("class"), F.array().cast("array<string>").alias("words"))
+    rows = spark.createDataFrame(few, "class string, words array<string>").unionByName(many)
+    rules = {(tuple(words), c) for words, c, _ in _mine(rows, 200_024)}
+    assert {(("quasar",), "a"), (("ledger",), "b")} <= rules
