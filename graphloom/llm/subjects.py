@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +19,10 @@ from graphloom.shared import cut, drop, trimmed
 
 #: Labelled documents that rules are mined from; of more, those whose ids hash lowest.
 LABELLED = 20_000
-#: Sentences a rule must hold in, at least, however large the sample, which LABELLED bounds; its confidence.
-SUPPORT, CONFIDENCE = 6, 0.6
+#: Sentences a rule must hold in, at least, however large the sample, which LABELLED bounds; its confidence; what it must add to that of all rules it contains.
+SUPPORT, CONFIDENCE, GAIN = 6, 0.6, 0.02
+#: Words of a rule, at most: see the README for what longer ones change.
+LENGTH = 2
 #: Sentences to each part of the items that FP-growth mines apart; every part gets its own copy of the sentences with its items.
 PART_ROWS = 250_000
 #: Share of the sentences on any subject that makes a document deal with one.
@@ -25,13 +30,21 @@ SHARE = 0.25
 NONE = "(none)"
 
 _FRONT = re.compile(r"\A﻿?(---|\+\+\+)[ \t]*\r?\n.*?\r?\n\1[ \t]*(\r?\n|\Z)", re.S)
-_END = re.compile(r"[\r\n]+|(?<=[.!?…。])[\"'”»)\]]*\s+(?=[^\W\d_a-zß-öø-ÿ]|[\d¿¡(\[\"'“„«-])")
+_LINES = re.compile(r"[\r\n]+")
+_END = re.compile(r"[.!?…。][\"'”»)\]]*\s+(?=[^\W\d_a-zß-öø-ÿ]|[\d¿¡(\[\"'“„«-])")
 _WORD = re.compile(r"\w\w+")
 
 
 def sentences(text: str | None) -> list[str]:
     """Lines and sentences of a text after its front matter. A question mark inside a sentence, before a small letter, ends none."""
-    return [s for s in _END.split(_FRONT.sub("", text, count=1)) if s and not s.isspace()] if text else []
+    out = []
+    for line in _LINES.split(_FRONT.sub("", text, count=1)) if text else ():
+        a = 0
+        for m in _END.finditer(line):
+            out.append(line[a : m.end()].rstrip())
+            a = m.end()
+        out.append(line[a:])
+    return [s for s in out if s and not s.isspace()]
 
 
 def words(sentence: str) -> list[str]:
@@ -49,9 +62,10 @@ def clean_labels(labels: DataFrame, subjects: DataFrame) -> DataFrame:
 
 
 class Rules:
-    """Words, and rules {one or two words} -> log odds per subject."""
+    """Words, and rules {words} -> log odds per subject."""
 
     def __init__(self, rules: list[tuple[list[str], str, float]]):
+        self.given = rules
         self.one: dict[str, list[tuple[str, float]]] = {}
         self.more: dict[str, list[tuple[frozenset[str], str, float]]] = {}
         for items, subject, confidence in rules:
@@ -83,52 +97,95 @@ class Rules:
         return self.known[mine]
 
 
-def _mine(rows: DataFrame, total: int) -> list[tuple[list[str], str, float]]:
-    """Rules from rows of words (an array) and class: mined with the class as an item among the words, pruned, confidences smoothed.
-
-    Words whose best class is hardly likelier than without them are left out first: they can't lead to a rule.
+def telling_words(rows: DataFrame) -> list[str]:
+    """Words that may lead to a rule, of rows of words and classes: those of SUPPORT sentences at least whose best class is clearly likelier with them than without."""
+    per = rows.select(F.explode("classes").alias("class"), F.col("words").alias("ws")).select("class", F.explode("ws").alias("w")).groupBy("w", "class").count()
+    sizes = {r["class"]: r["count"] for r in rows.select(F.explode("classes").alias("class")).groupBy("class").count().collect()}
+    total = sum(sizes.values())
+    if not total:
+        return []
+    prior = F.element_at(F.create_map(*[x for c, k in sizes.items() for x in (F.lit(c), F.lit(k / total))]), F.col("class"))
+    stats = per.groupBy("w").agg(F.sum("count").alias("n"), F.collect_list(F.struct("class", "count")).alias("c")).where(F.col("n") >= SUPPORT).select("w", "n", F.inline("c"))  # as many as there are subjects
+    expected = F.col("n") * prior
+    good = stats.where((F.col("class") != NONE) & (F.col("count") > 2 * expected) & (F.col("count") >= SUPPORT / 2) & (F.col("count") - expected > 2 * F.sqrt(expected)))
+    return sorted(r["w"] for r in good.select("w").distinct().collect())  # words of at least SUPPORT sentences of a bounded sample
+
+
+def frequent_sets(baskets: DataFrame, least: int, length: int = LENGTH) -> list[tuple[str, ...]]:
+    """The sorted sets of 2 to `length` items that stand together in `least` rows of baskets (column items) at least, by parallel FP-growth."""
+    n = baskets.count()
+    if n < least:
+        return []
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, numPartitions=max(2, n // PART_ROWS)).fit(baskets)
+    few = model.freqItemsets.where(F.size("items").between(2, length)).select(F.array_sort("items").alias("items"))
+    return sorted(tuple(r["items"]) for r in few.toLocalIterator())
+
+
+def _contained(items: list[str], nodes: dict) -> Iterator[tuple[str, ...]]:
+    """The sets of a prefix tree that sorted items contain. All prefixes of a frequent set are in the tree, since they are as frequent."""
+    stack = [((), 0, nodes)]
+    while stack:
+        found, k, node = stack.pop()
+        for i in range(k, len(items)):
+            below = node.get(items[i])
+            if below is not None:
+                more = (*found, items[i])
+                yield more
+                stack.append((more, i + 1, below))
+
+
+def count_sets(baskets: DataFrame, sets: list[tuple[str, ...]], rules: list[tuple[list[str], str, float]] | None = None) -> list[tuple[tuple[str, ...], str, float]]:
+    """How sure each of the sets makes a class: (set, class, smoothed confidence), of SUPPORT sentences and hardly less than CONFIDENCE at least.
+
+    baskets: items (sorted), classes and n, the number of such sentences. A sentence has all its classes, or with rules one
+    of its own: the one they point to, but for one that its document does not carry although it carries several.
+    Counted in every task and added up.
     """
-    per = cut(rows.select("class", F.explode("words").alias("w")).groupBy("w", "class").count(), "words")
-    sizes = {r["class"]: r["count"] for r in rows.groupBy("class").count().collect()}
-    prior = F.create_map(*[x for c, k in sizes.items() for x in (F.lit(c), F.lit(k / total))])
-    lift = F.col("count") / F.col("n") / F.element_at(prior, F.col("class"))
-    stats = per.join(per.groupBy("w").agg(F.sum("count").alias("n")).where(F.col("n") >= SUPPORT), "w")
-    good = stats.where((F.col("class") != NONE) & (lift > 2) & (F.col("count") >= SUPPORT / 2) & (F.col("count") - F.col("n") * F.element_at(prior, F.col("class")) > 2 * F.sqrt(F.col("n") * F.element_at(prior, F.col("class"))))).select("w").distinct()
-    keep = {r["w"] for r in good.collect()}  # words of at least SUPPORT sentences of a bounded sample
-    sent = rows.sparkSession.sparkContext.broadcast(keep)
-
-    @F.pandas_udf("array<string>")
-    def only(ws, cs):
-        import pandas as pd
-
-        return pd.Series([["=" + c, *(w for w in x if w in sent.value)] for x, c in zip(ws, cs)])
-
-    baskets = cut(rows.select(only("words", "class").alias("items")).where(F.size("items") > 1), "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=(SUPPORT - 0.5) / max(1, baskets.count()), numPartitions=max(2, total // PART_ROWS)).fit(baskets)
-    few = F.size(F.filter("items", lambda x: ~x.startswith("="))).between(1, 2)
-    freq = {frozenset(r["items"]): r["freq"] for r in model.freqItemsets.where(few).toLocalIterator()}
-    drop(per)
-    drop(baskets)
-    found: dict[tuple[frozenset[str], str], float] = {}
-    for items, n in freq.items():
-        left = frozenset(x for x in items if x[0] != "=")
-        if len(left) + 1 == len(items):
-            (c,) = items - left
-            found[left, c[1:]] = (n + 0.5) / (freq[left] + 1.0)
+    sent = baskets.sparkSession.sparkContext.broadcast((sets, rules))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, given = sent.value
+        tree: dict = {}
+        for s in sets:
+            node = tree
+            for w in s:
+                node = node.setdefault(w, {})
+        rules = None if given is None else Rules(given)
+        count: dict[tuple[tuple[str, ...], str], int] = {}
+        for b in batches:
+            for items, classes, n in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if rules is not None:
+                    own = rules.subject(items)
+                    classes = [NONE if own is None else own if own in classes or len(classes) < 3 else classes[0]]
+                for s in _contained(items, tree):
+                    for c in classes:
+                        count[s, c] = count.get((s, c), 0) + n
+        s, c, n = ([s for s, _ in count], [c for _, c in count], list(count.values()))
+        yield pa.RecordBatch.from_arrays([pa.array(s, pa.list_(pa.string())), pa.array(c, pa.string()), pa.array(n, pa.int64())], ["s", "c", "n"])
+
+    part = baskets.select("items", "classes", "n").mapInArrow(run, "s array<string>, c string, n long")
+    n = part.groupBy("s", "c").agg(F.sum("n").alias("n")).groupBy("s").agg(F.sum("n").alias("all"), F.collect_list(F.struct("c", "n")).alias("x")).select("s", "all", F.inline("x"))  # as many as there are classes
+    sure = n.select("s", "c", ((F.col("n") + 0.5) / (F.col("all") + 1.0)).alias("p")).where((F.col("n") >= SUPPORT) & (F.col("p") > CONFIDENCE - GAIN))
+    return [(tuple(r["s"]), r["c"], r["p"]) for r in sure.toLocalIterator()]  # no more than there are sets
+
+
+def prune(sure: list[tuple[tuple[str, ...], str, float]]) -> list[tuple[list[str], str, float]]:
+    """Rules of CONFIDENCE, without those that add no more than GAIN to the confidence of a rule for the same class that they contain."""
+    known = {(s, c): p for s, c, p in sure}
     out = []
-    for (left, c), conf in found.items():
-        general = max((found.get((frozenset([x]), c), 0.0) for x in left), default=0.0) if len(left) > 1 else 0.0
-        if conf >= CONFIDENCE and conf > general + 0.02:
-            out.append((sorted(left), c, min(conf, 0.995)))
+    for (s, c), p in known.items():
+        within = max((known.get((x, c), 0.0) for k in range(1, len(s)) for x in combinations(s, k)), default=0.0)
+        if p >= CONFIDENCE and p > within + GAIN:
+            out.append((list(s), c, min(p, 0.995)))
     return sorted(out)
 
 
-def train_rules(docs: DataFrame, labels: DataFrame, subjects: DataFrame, labelled: int = LABELLED, rounds: int = 2) -> Rules:
+def train_rules(docs: DataFrame, labels: DataFrame, subjects: DataFrame, labelled: int = LABELLED, rounds: int = 2, length: int = LENGTH) -> Rules:
     """Rules from at most `labelled` labelled documents.
 
-    In the first round every sentence of a document has the document's labels for classes, one row for each label. Then
-    the rules found give each sentence its own class, the one they point to if its document carries that label or has no
-    better one, NONE where no rule matches; rules mined from these classes have confidences that hold for sentences.
+    Sets of words are mined once from their sentences, which are then kept as distinct baskets of telling words. In the
+    first round every sentence of a document has the document's labels for classes. Then the rules found give each sentence
+    its own class, NONE where no rule matches; the sets are counted again with these classes, so that confidences hold for sentences.
     """
     mine = cut(clean_labels(labels, subjects), "labels")
     chosen = mine.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
@@ -137,35 +194,38 @@ def train_rules(docs: DataFrame, labels: DataFrame, subjects: DataFrame, labelle
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, classes = [], []
-            for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            rows, of = [], []
+            for k, t in enumerate(b.column(0).to_pylist()):
                 for s in sentences(t):
-                    w = list(dict.fromkeys(words(s)))
+                    w = sorted(set(words(s)))
                     if w:
                         rows.append(w)
-                        classes.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string())), pa.array(classes, pa.list_(pa.string()))], ["words", "classes"])
+                        of.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string())), b.column(1).take(pa.array(of, pa.int64()))], ["words", "classes"])
 
     rows = cut(text.mapInArrow(split, "words array<string>, classes array<string>"), "sentences")
-    one = rows.select("words", F.explode("classes").alias("class"))
-    total = one.count()
-    found = _mine(one, total) if total else []
-    for _ in range(rounds - 1 if found else 0):
-        sent = docs.sparkSession.sparkContext.broadcast(Rules(found))
-
-        @F.pandas_udf("string")
-        def own(ws, cs):
-            import pandas as pd
-
-            rules = sent.value
-            return pd.Series([s if (s := rules.subject(list(w))) is None or s in c or len(c) < 3 else c[0] for w, c in zip(ws, cs)])
-
-        again = cut(rows.select("words", F.coalesce(own("words", "classes"), F.lit(NONE)).alias("class")), "again")
-        found = _mine(again, again.count())
-        drop(again)
-    for d in (rows, mine):
+    telling = telling_words(rows)
+    sent = docs.sparkSession.sparkContext.broadcast(telling)
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sent.value, pa.string())
+        for b in batches:
+            lists = b.column(0)
+            flat = lists.flatten()
+            coded = flat.dictionary_encode()
+            keep = np.asarray(pc.is_in(coded.dictionary, value_set=known))[np.asarray(coded.indices)] if len(flat) else np.zeros(0, bool)
+            upto = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(upto, pa.int32()), flat.filter(pa.array(keep))), b.column(1)], ["items", "classes"])
+
+    baskets = cut(rows.mapInArrow(only, "items array<string>, classes array<string>").where(F.size("items") > 0), "baskets")
+    sets = [*[(w,) for w in telling], *frequent_sets(baskets.select("items").where(F.size("items") > 1), SUPPORT, length)]
+    counted = cut(baskets.groupBy("items", "classes").agg(F.count("*").alias("n")), "counted")
+    rules = None
+    for _ in range(rounds):
+        rules = prune(count_sets(counted, sets, rules))
+    for d in (rows, mine, baskets, counted):
         drop(d)
-    return Rules(found)
+    return Rules(rules)
 
 
 def subject_shares(docs: DataFrame, rules: Rules, least: float = SHARE) -> DataFrame:
@@ -174,11 +234,11 @@ def subject_shares(docs: DataFrame, rules: Rules, least: float = SHARE) -> DataF
     Null, empty and blank texts, and texts without such sentences, give no rows. Repeated documents are judged each.
     No shuffle: the rules, bounded by the labelled sample's size over SUPPORT, go to all tasks.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(rules)
+    sent = docs.sparkSession.sparkContext.broadcast(rules.given)
     schema = T.StructType([docs.select("doc_id").schema[0], T.StructField("subject", T.StringType()), T.StructField("n", T.LongType()), T.StructField("of", T.LongType()), T.StructField("share", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = sent.value
+        rules = Rules(sent.value)
         for b in batches:
             at, rows = [], []
             for k, t in enumerate(b.column(1).to_pylist()):

@@ -59,10 +59,37 @@ def test_evidence():
 def test_rare_words_give_rules_in_a_large_sample_too(spark):
     from pyspark.sql import functions as F
 
-    from graphloom.llm.subjects import NONE, _mine
-
-    few = [("a", ["quasar", f"x{k}"]) for k in range(12)] + [("b", ["ledger", f"y{k}"]) for k in range(12)]
-    many = spark.range(200_000).select(F.lit(NONE).alias("class"), F.array().cast("array<string>").alias("words"))
-    rows = spark.createDataFrame(few, "class string, words array<string>").unionByName(many)
-    rules = {(tuple(words), c) for words, c, _ in _mine(rows, 200_024)}
-    assert {(("quasar",), "a"), (("ledger",), "b")} <= rules
+    from graphloom.llm.subjects import NONE, count_sets, frequent_sets, prune, telling_words
+
+    few = [(["a"], ["quasar", f"x{k}"]) for k in range(12)] + [(["b"], ["ledger", f"y{k}"]) for k in range(12)]
+    many = spark.range(200_000).select(F.array(F.lit(NONE)).alias("classes"), F.array().cast("array<string>").alias("words"))
+    rows = spark.createDataFrame(few, "classes array<string>, words array<string>").unionByName(many)
+    telling = telling_words(rows)
+    assert telling == ["ledger", "quasar"]
+    baskets = rows.select(F.array_intersect("words", F.lit(telling)).alias("items"), "classes").where(F.size("items") > 0).groupBy("items", "classes").agg(F.count("*").alias("n"))
+    assert {(*r[0], r[1]) for r in prune(count_sets(baskets, [(w,) for w in telling]))} == {("quasar", "a"), ("ledger", "b")}
+    assert frequent_sets(baskets.select("items"), 6) == []
+
+
+def test_sets_and_redundant_rules(spark):
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    from graphloom.llm.subjects import count_sets, frequent_sets, prune
+
+    rng = random.Random(4)
+    rows = [(sorted(rng.sample("abcdefg", rng.randint(1, 5))),) for _ in range(200)]
+    counts = Counter(x for (items,) in rows for k in (2, 3) for x in combinations(items, k))
+    baskets = spark.createDataFrame(rows, "items array<string>")
+    sets = frequent_sets(baskets, 20, 3)
+    assert sets == sorted(s for s, n in counts.items() if n >= 20)
+    assert frequent_sets(baskets, 20) == [s for s in sets if len(s) == 2]
+    # a and b together mean x, apart nothing; c always means y, so c with d tells no more
+    many = [(["a", "b"], ["x"], 40), (["a"], ["y"], 40), (["b"], ["z"], 40), (["c"], ["y"], 30), (["c", "d"], ["y"], 30), (["d"], ["z"], 90), (["e"], ["x"], 5)]
+    table = spark.createDataFrame(many, "items array<string>, classes array<string>, n long")
+    rules = prune(count_sets(table, [("a",), ("b",), ("c",), ("d",), ("e",), ("a", "b"), ("c", "d")]))
+    assert [(s, c) for s, c, _ in rules] == [(["a", "b"], "x"), (["c"], "y"), (["d"], "z")]
+    # with rules a sentence has one class of its own
+    own = count_sets(table, [("c",), ("d",)], [(["c"], "y", 0.9)])
+    assert {(s, c) for s, c, _ in own} == {(("c",), "y"), (("d",), "(none)")}
