@@ -1,4 +1,4 @@
-"""Variant spellings of names: forms of a name, metric-space joins of the forms, and the entities they make."""
+"""Variant spellings of names: forms of a name, a metric-space join of the forms, and the entities they make."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
-from graphloom.shared import cut, drop
+from graphloom.shared import cut, drop, salted_lookup
 
 PERSONS = ("Person", "SoftwareEngineer", "Researcher", "Lawyer", "Coach", "Nurse", "Teacher")
 ORGANISATIONS = ("Organization", "Company", "Institute", "Club")
@@ -38,8 +38,6 @@ KINDS = (
 SHORT_KINDS = {"intl": "international", "labs": "laboratories", "mfg": "manufacturing", "ptnrs": "partners", "rlys": "railways", "svcs": "services", "tech": "technologies"}
 GENERAL = frozenset({"", "unknown", "n/a", "none", "-", "?", "tbd", "not available", "boss", "the boss", "team lead", "client a", "the company", "hq"})
 
-#: Keys of one cell of a join. Larger blocks are partitioned by pivots, PIVOTS at most.
-CELL, PIVOTS = 500, 64
 _KIND_WORDS = {w: k for k in KINDS for w in k.split()}
 
 
@@ -128,7 +126,10 @@ def _kind_of(token: str, raw: str) -> str | None:
 
 
 def organisation_forms(name: str) -> list[tuple[str, str, str]]:
-    """(full, kind of business, coined part) of an organisation's name, whatever their order; its legal form doesn't count. Nothing without both."""
+    """(full, kind of business, coined part) of an organisation's name, whatever their order; its legal form doesn't count.
+
+    A name of several words of which none is a known kind stands for all of them, in any order. One word alone gives nothing.
+    """
     name = _plain(name).strip()
     if name.lower() in GENERAL or "@" in name:
         return []
@@ -150,7 +151,9 @@ def organisation_forms(name: str) -> list[tuple[str, str, str]]:
             if coined[-1].endswith(tail) and len(coined[-1]) > len(tail) + 2:
                 coined[-1] = coined[-1][: -len(tail)]
                 kinds = k.split()
-    return [("full", " ".join(sorted(set(kinds))), "".join(coined))] if coined and kinds and len("".join(coined)) > 2 else []
+    if not kinds:
+        return [("full", "", "".join(sorted(coined)))] if len(coined) > 1 else []
+    return [("full", " ".join(sorted(set(kinds))), "".join(coined))] if len("".join(coined)) > 2 else []
 
 
 def name_forms(nodes: DataFrame, persons: tuple[str, ...] = PERSONS, organisations: tuple[str, ...] = ORGANISATIONS) -> DataFrame:
@@ -170,74 +173,75 @@ def name_forms(nodes: DataFrame, persons: tuple[str, ...] = PERSONS, organisatio
     return rows.mapInArrow(run, "id string, sort string, mode string, part string, stem string").distinct()
 
 
-def metric_cells(keyed: DataFrame, block: str, key: str, radius: int, cell: int = CELL) -> DataFrame:
-    """block, key, cell, home: keys of each block, in one cell where there are at most `cell`, else partitioned by pivots.
+def pivot_cells(key: Column) -> Column:
+    """The cells (array of long) of a key: two keys within one edit of each other share one.
 
-    Pivots are keys of the block whose hash is lowest, about one per cell / 4 keys and PIVOTS at most. A key's home is the
-    cell of its nearest pivot; it is repeated in all cells whose pivot is at most 2 * radius farther, so by the triangle
-    inequality any two keys within the radius meet in the home of either.
+    Pivots are the strings aaa..., bbb..., one for every character and longer than any key. The distance of a key to a pivot
+    is its length less how often the character stands in it, whatever the order, so these distances need no edit matrix. A
+    cell is the tuple of the distances to all pivots in rings of width one, shown as a sum of hashes. By the triangle
+    inequality one edit moves no distance by more than one, and that to the nearest string of any set of characters neither:
+    so of two keys within one edit, either lacks at most one character of the other. A key is at home in its own cell and
+    repeated in those of one character less, as many as it has different ones: there it meets every key within the radius.
     """
-    n = keyed.groupBy(block).agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    small = keyed.join(n, block)
-    one = small.where(F.col("n") <= cell).select(block, key, F.lit(0).alias("cell"))
-    big = small.where(F.col("n") > cell)
-    share = F.least(F.lit(4.0) / cell, F.lit(float(PIVOTS)) / F.col("n"))
-    chosen = big.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.ceil(share * (1 << 20)))
-    pivots = chosen.groupBy(block).agg(F.slice(F.array_sort(F.collect_set(key)), 1, 4 * PIVOTS).alias("pivots"))
-    far = F.transform("pivots", lambda p: F.levenshtein(F.col(key), p))
-    at = big.join(F.broadcast(pivots), block, "left").withColumn("far", F.coalesce(far, F.array(F.lit(0))))  # blocks above `cell` are fewer than keys / cell
-    near = F.filter(F.sequence(F.lit(0), F.size("far") - 1), lambda i: F.get("far", i) <= F.array_min("far") + 2 * radius)
-    return one.unionByName(at.select(block, key, F.explode(near).alias("cell")))
-
-
-def near_keys(keys: DataFrame, cell: int = CELL) -> DataFrame:
-    """a, b: pairs of keys (columns sort, part, stem) that differ by one edit at most: a letter more, less or other, or two swapped.
-
-    One edit leaves one part and one end of the other unharmed, so keys meet in blocks of: the part and the stem's first
-    three letters, the part and its last three, the whole stem; and short stems in one of the part alone. Within a block a
-    join of the Levenshtein metric's radius 2 runs in each cell of metric_cells(); a swap is a distance of 2 with the same letters.
+    letters = F.filter(F.split(key, ""), lambda c: c != "")
+    far = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 40))
+    home = F.aggregate(letters, F.lit(0).cast("long"), lambda acc, c: acc + far(c))
+    return F.concat(F.array(home), F.transform(F.array_distinct(letters), lambda c: home - far(c)))
+
+
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether the Damerau-Levenshtein distance of two texts is one: a letter more, less or other, or two neighbours swapped."""
+    d = F.levenshtein(a, b, 2)
+    differ = F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    first, second = F.get(differ, F.lit(0)), F.get(differ, F.lit(1))
+    swapped = (F.size(differ) == 2) & (second == first + 1) & (F.substring(a, first, F.lit(1)) == F.substring(b, second, F.lit(1))) & (F.substring(b, first, F.lit(1)) == F.substring(a, second, F.lit(1)))
+    return (d == 1) | ((d == 2) & (F.length(a) == F.length(b)) & swapped)
+
+
+def near_keys(keys: DataFrame) -> DataFrame:
+    """a, b (a < b): pairs of the distinct texts in column `key` that differ by one edit: a metric-space join of radius one.
+
+    Keys are partitioned by their distances to the pivots and repeated over the borders (pivot_cells); inside each cell the
+    exact metric decides. No pair is lost, and a cell holds only keys of almost the same letters, however many keys there are.
     """
-    key = F.concat_ws(" ", "sort", "part", "stem")
-    b = lambda kind, *cols: F.concat_ws("|", F.lit(kind), "sort", *cols)
-    blocks = F.array(b("f", "part", F.substring("stem", 1, 3)), b("l", "part", F.substring("stem", -3, 3)), b("s", "stem"), F.when(F.length("stem") < 8, b("x", "part")))
-    keyed = cut(keys.select(key.alias("key"), F.explode(blocks).alias("block")).where("block is not null"), "blocks")
-    cells = cut(metric_cells(keyed, "block", "key", 2, cell), "cells")
-    other = cells.select("block", "cell", F.col("key").alias("other"))
-    d = F.levenshtein("key", "other", 2)
-    letters = lambda c: F.array_sort(F.split(c, ""))
-    pairs = cells.join(other, ["block", "cell"]).where(F.col("key") < F.col("other")).where(F.abs(F.length("key") - F.length("other")) <= 1).withColumn("d", d)
-    pairs = pairs.where((F.col("d") == 1) | ((F.col("d") == 2) & (F.length("key") == F.length("other")) & (letters(F.col("key")) == letters(F.col("other")))))
-    out = cut(pairs.select(F.col("key").alias("a"), F.col("other").alias("b")).distinct(), "near")
+    cells = cut(keys.select("key", F.explode(pivot_cells(F.col("key"))).alias("cell")), "cells")
+    pairs = cells.join(cells.select("cell", F.col("key").alias("other")), "cell").where((F.col("key") < F.col("other")) & (F.abs(F.length("key") - F.length("other")) <= 1))
+    out = cut(pairs.where(one_edit(F.col("key"), F.col("other"))).select(F.col("key").alias("a"), F.col("other").alias("b")).distinct(), "near")
     drop(cells)
-    drop(keyed)
     return out
 
 
-def entities(forms: DataFrame, cell: int = CELL) -> DataFrame:
+def entities(forms: DataFrame) -> DataFrame:
     """id, entity: ids whose names mean the same person or organisation share an entity.
 
-    Ids are linked through full forms they share or that differ by one edit, and what is linked is closed under linking.
+    Ids are linked through full forms they share or that differ by one edit, and what is linked is closed under linking:
+    over distinct forms only, which are linked where they are near or stand under one id.
     An id that has no full form goes to the one entity that its alternatives or its first letter with the family name
     allow; if there are several it stays alone, if there is none it joins the ids of the same first letter and family name.
     """
-    forms = cut(forms, "forms")
-    key = F.concat_ws(" ", "sort", "part", "stem")
+    forms = cut(forms.withColumn("key", F.concat_ws(" ", "sort", "part", "stem")), "forms")
     full = forms.where("mode = 'full'")
-    near = near_keys(full.select("sort", "part", "stem").distinct(), cell)
-    links = full.select(F.concat(F.lit("i "), "id").alias("a"), F.concat(F.lit("k "), key).alias("b")).unionByName(near.select(F.concat(F.lit("k "), "a").alias("a"), F.concat(F.lit("k "), "b").alias("b")))
-    comp = cut(connected_components(links), "components")
-    named = comp.where(F.col("vertex").startswith("i ")).select(F.substring("vertex", 3, 1 << 20).alias("id"), F.col("component").alias("entity"))
-    known = full.select("sort", "part", "stem").distinct().join(comp.select(F.expr("substring(vertex, 3)").alias("k"), "component", "vertex").where(F.col("vertex").startswith("k ")), key == F.col("k")).select("sort", "part", "stem", "component")
+    keys = cut(full.select("key", "sort", "part", "stem").distinct(), "keys")
+    near = near_keys(keys)
+    first = cut(full.groupBy("id").agg(F.min("key").alias("key"), F.max("key").alias("last")), "first")
+    several = full.select("id", F.col("key").alias("b")).join(first.where("key <> last").select("id", F.col("key").alias("a")), "id").where("a <> b").select("a", "b").distinct()
+    links = cut(near.select("a", "b").unionByName(several), "links")
+    comp = connected_components(links)
+    known = cut(keys.join(comp.withColumnRenamed("vertex", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")), "known")
+    named = cut(salted_lookup(first.select("id", "key"), known.select("key", "component"), ["key"], "inner").select("id", F.concat(F.lit("k "), "component").alias("entity")), "named")
     rest = forms.where("mode <> 'full'").join(named, "id", "left_anti")
     whole = rest.select("id", "sort", "stem", "mode", F.explode(F.split("part", r"\|")).alias("part"))
-    by_name = whole.where("mode = 'alt'").join(known, ["sort", "part", "stem"], "left")
-    letter = known.select("sort", F.substring("part", 1, 1).alias("part"), "stem", "component").distinct()
+    by_name = whole.where("mode = 'alt'").join(known.select("sort", "part", "stem", "component"), ["sort", "part", "stem"], "left")
+    letter = known.groupBy("sort", F.substring("part", 1, 1).alias("part"), "stem").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     by_letter = whole.where("mode = 'init'").join(letter, ["sort", "part", "stem"], "left")
     own = F.concat(F.lit("n "), F.concat_ws(" ", "sort", F.substring("part", 1, 1), "stem"))
-    cands = by_name.select("id", "component", own.alias("own"), F.lit(0).alias("weak")).unionByName(by_letter.select("id", "component", own.alias("own"), F.lit(1).alias("weak")))
-    judged = cands.groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("own").alias("own"))
-    entity = F.when(F.col("lo").isNull(), F.col("own")).when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.concat(F.lit("i "), "id"))
-    return named.unionByName(judged.select("id", entity.alias("entity"))).distinct()
+    cands = by_name.select("id", F.col("component").alias("lo"), F.col("component").alias("hi"), own.alias("own")).unionByName(by_letter.select("id", "lo", "hi", own.alias("own")))
+    judged = cands.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("own").alias("own"))
+    entity = F.when(F.col("lo").isNull(), F.col("own")).when(F.col("lo") == F.col("hi"), F.concat(F.lit("k "), "lo")).otherwise(F.concat(F.lit("i "), "id"))
+    out = cut(named.unionByName(judged.select("id", entity.alias("entity"))), "entities")
+    for d in (forms, keys, near, first, links, comp, known, named):
+        drop(d)
+    return out
 
 
 def entity_pairs(members: DataFrame) -> DataFrame:

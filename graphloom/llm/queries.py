@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.encode import encode_corpus
+from graphloom.llm.encode import Ranks, decode_ids, encode_corpus
 from graphloom.llm.leaks import leaked_items
 from graphloom.llm.names import entities, entity_pairs, name_forms
 from graphloom.llm.split import split_oversized
@@ -56,8 +56,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_entities(spark: SparkSession, d: str) -> DataFrame:
-    """One row per id: its entity, named by its least id, and the number of ids of that entity."""
-    of = _entities(spark, d)
+    """One row per id: its entity, named by its least id, and the number of ids of that entity. An id whose names say nothing is an entity of its own."""
+    every = spark.read.parquet(f"{d}/nodes.parquet").where("id is not null").select("id").distinct()
+    of = every.join(_entities(spark, d), "id", "left").withColumn("entity", F.coalesce("entity", F.concat(F.lit("i "), "id")))
     sizes = of.groupBy("entity").agg(F.min("id").alias("entity_id"), F.count("*").alias("ids"))
     return of.join(sizes, "entity").select("id", "entity_id", "ids")
 
@@ -66,6 +67,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(spark.read.parquet(f"{d}/documents.parquet"), f"{TOKENIZERS}/byte_bpe_50k.json", ["doc_id"])
 
 
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every text read back from its ids."""
+    return p6_ids(spark, d).select("doc_id", decode_ids(F.col("ids"), Ranks(f"{TOKENIZERS}/byte_bpe_50k.json")).alias("text"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet"))
 
@@ -93,7 +99,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("n").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_fused, p3_records, p5_found, p5_entities, p6_ids, p7_found, p7_items, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_fused, p3_records, p5_found, p5_entities, p6_ids, p6_decoded, p7_found, p7_items, p8_found, p8_composition)}
 
 _VALID = "CASE WHEN {0} IS NULL OR isnan({0}) OR {0} < 0 OR {0} > 1 THEN -1 ELSE {0} END"
 _BEST = f"""WITH c AS (
@@ -108,5 +114,6 @@ best AS (
 SQL = {
     "p1_found": r"SELECT DISTINCT source_file, chunk_index FROM chunks WHERE len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^ \t\n\r0-9A-Za-z_]')) > 500",
     "p3_found": _BEST + "SELECT id, attr, node_key FROM best",
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_records": _BEST + "SELECT id, string_agg(attr || '=' || value, '; ' ORDER BY attr) AS attributes FROM best GROUP BY id",
 }

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from graphloom.llm.names import entities, entity_pairs, metric_cells, name_forms, near_keys, organisation_forms, person_forms
+from graphloom.llm.names import entities, entity_pairs, name_forms, near_keys, organisation_forms, person_forms, pivot_cells
 
 NODE = "id string, type string, attributes map<string,struct<value:string,confidence:double>>, aliases array<string>, key string"
 
@@ -27,6 +27,7 @@ def test_organisation_forms():
     for n in ("Tizerufis Associates Ltd", "Associates Tizerufis", "The Tizerufis Associates Group", "TizerufisAssociates Gesellschaft mbH", "TIZERUFISASSOCIATES", "Tize Rufis Assoc. Inc.", "tizerufis asociates"):
         assert organisation_forms(n) == [("full", "associates", "tizerufis")], n
     assert organisation_forms("Mipunamo AC") == organisation_forms("Mipunamo Athletics Club") == [("full", "athletics club", "mipunamo")]
+    assert organisation_forms("Acme Motors Ltd") == organisation_forms("The Motors, Acme") == [("full", "", "acmemotors")]
     for n in ("", "Tizerufis", "Associates", "HQ", "the company"):
         assert organisation_forms(n) == [], n
 
@@ -44,6 +45,14 @@ def test_entities(spark):
     assert entity_pairs(entities(name_forms(spark.createDataFrame([], NODE)))).count() == 0
 
 
+def test_every_id_is_an_entity(spark, tmp_path):
+    from graphloom.llm.queries import p5_entities
+
+    rows = [node("p1", "Person", "Francesca Vifugive"), node("p2", "Lawyer", "Vifugive, Fran"), node("t1", "Technology", "Rust"), node("p3", "Person", None), node(None, "Person", "x y")]
+    spark.createDataFrame(rows, NODE).write.parquet(f"{tmp_path}/nodes.parquet")
+    assert {tuple(r) for r in p5_entities(spark, str(tmp_path)).collect()} == {("p1", "p1", 2), ("p2", "p1", 2), ("t1", "t1", 1), ("p3", "p3", 1)}
+
+
 def osa(a, b):
     d = {(i, j): i or j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
     for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
@@ -53,22 +62,21 @@ def osa(a, b):
     return d[len(a), len(b)]
 
 
-def test_near_keys_equal_brute_force_with_and_without_pivots(spark):
+def test_near_keys_equal_brute_force(spark):
     rng = random.Random(4)
-    stems = ["".join(rng.choice("bdk") + rng.choice("ae") for _ in range(rng.randint(2, 5))) for _ in range(120)]
-    keys = sorted({("p", rng.choice(["mei", "ravi"]), s) for s in stems})
-    want = {(a, b) for a, b in itertools.combinations([" ".join(k) for k in keys], 2) if osa(a, b) <= 1}
-    df = spark.createDataFrame(keys, "sort string, part string, stem string")
-    for cell in (500, 5):
-        assert want <= {tuple(r) for r in near_keys(df, cell).collect()} <= {(a, b) for a, b in itertools.combinations([" ".join(k) for k in keys], 2) if osa(a, b) <= 2}
-
-
-def test_pivot_cells_lose_no_pair(spark):
-    rng = random.Random(5)
-    keys = sorted({"".join(rng.choice("ab") for _ in range(8)) for _ in range(150)})
-    df = spark.createDataFrame([("x", k) for k in keys], "block string, key string")
-    cells = metric_cells(df, "block", "key", 2, 20)
-    assert cells.select("cell").distinct().count() > 1
-    met = cells.alias("a").join(cells.alias("b"), ["block", "cell"]).where("a.key < b.key").where(F.levenshtein("a.key", "b.key") <= 2).select("a.key", "b.key").distinct().collect()
-    want = spark.createDataFrame(list(itertools.combinations(keys, 2)), "a string, b string").where(F.levenshtein("a", "b") <= 2).count()
-    assert len(met) == want
+    keys = {"p " + rng.choice(["mei", "ravi"]) + " " + "".join(rng.choice("bdk") + rng.choice("ae") for _ in range(rng.randint(2, 5))) for _ in range(120)} | {"", "a", "ab", "ba", "b", "aé", "éa", "漢字", "字漢", "漢"}
+    keys |= {k[:i] + c + k[i + 1 :] for k in sorted(keys) for i in (0, len(k) // 2) for c in "xa" if k}
+    want = {(a, b) for a, b in itertools.combinations(sorted(keys, key=lambda k: k.encode()), 2) if osa(a, b) == 1}
+    got = [tuple(r) for r in near_keys(spark.createDataFrame([(k,) for k in keys], "key string")).collect()]
+    assert set(got) == want and len(got) == len(want) > 300
+    assert near_keys(spark.createDataFrame([], "key string")).count() == 0
+
+
+def test_pivots_are_far_by_what_is_missing(spark):
+    words = ["banana", "b", "", "ananas", "xyz"]
+    rows = spark.createDataFrame([(w, c) for w in words for c in "abz"], "w string, c string")
+    n = F.lit(9)
+    differing = rows.where(F.levenshtein("w", F.repeat("c", n)) != n - (F.length("w") - F.length(F.replace("w", "c", F.lit("")))))
+    assert differing.count() == 0
+    cells = {r.w: set(r.x) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", pivot_cells(F.col("w")).alias("x")).collect()}
+    assert len(cells["banana"]) == 4 and len(cells[""]) == 1 and not cells["banana"] & cells["xyz"]
