@@ -13,16 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.shared import cut
+from graphloom.shared import cut, drop
 
 #: Blanks as Unicode has them; Java's \s holds the ASCII ones only.
 _S = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: The pattern byte_bpe_50k cuts texts into words with (fixed by that tokenizer).
 WORDS = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: Longer words are few but cost the square of their length in a fold; a task merges them itself, with a heap.
-FOLD_BYTES = 48
-#: Most words of the shared dictionary. If a corpus has more, the most frequent ones are in it and tasks merge the others themselves.
+#: Words in the dictionary that goes to all tasks, at most: the most frequent ones. The ids of all others are joined to the texts that hold them.
 DICTIONARY_WORDS = 400_000
+#: A fold costs the square of a word's length, so longer runs without any boundary are merged where they stand, with a heap.
+FOLD_BYTES = 1000
 
 _SLOTS = 1 << 17
 
@@ -114,37 +114,43 @@ def fold_merges(word: Column, ranks: Ranks) -> Column:
         return to.bitwiseAND(F.lit((1 << 31) - 1)) * 65536 + i  # the lowest rank first, then the first place
 
     def step(acc: Column, _: Column) -> Column:
-        pairs = F.when(F.size(acc) > 1, F.array_min(F.transform(F.sequence(F.lit(0), F.size(acc) - 2), lambda i: found(acc, i))))
+        now = acc.ids
+        best = F.array_min(F.transform(F.sequence(F.lit(0), F.size(now) - 2), lambda i: found(now, i)))
 
         def merge(best: Column) -> Column:
             i = best.bitwiseAND(F.lit(65535)).cast("int")
-            joined = F.concat(F.slice(acc, 1, i), F.array(F.shiftright(best, 16).cast("int")), F.slice(acc, i + 3, F.lit(100000)))
-            return F.when(best.isNull(), acc).otherwise(joined)
+            joined = F.concat(F.slice(now, 1, i), F.array(F.shiftright(best, 16).cast("int")), F.slice(now, i + 3, F.lit(100000)))
+            return F.struct(F.when(best.isNull(), now).otherwise(joined).alias("ids"), (best.isNull() | (F.size(joined) < 2)).alias("done"))
 
-        return F.get(F.transform(F.array(pairs), merge), F.lit(0))
+        return F.when(acc.done, acc).otherwise(F.get(F.transform(F.array(best), merge), F.lit(0)))
 
-    return F.when(F.octet_length(word) > 1, F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), ids, step)).otherwise(ids)
+    start = F.struct(ids.alias("ids"), F.lit(False).alias("done"))
+    return F.when(F.octet_length(word) > 1, F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, step, lambda acc: acc.ids)).otherwise(ids)
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
 
-def dictionary(docs: DataFrame, ranks: Ranks, text: str = "text", most: int = DICTIONARY_WORDS) -> DataFrame:
-    """word, ids of the distinct words of the whole corpus up to FOLD_BYTES long; of the most frequent ones if there are more than `most`."""
+def dictionary(docs: DataFrame, ranks: Ranks, text: str = "text") -> DataFrame:
+    """word, n, ids: the distinct words of the whole corpus up to FOLD_BYTES long, how often they occur, and the fold's ids."""
     words = docs.select(F.explode(words_of(F.col(text))).alias("word")).where(F.octet_length("word") <= FOLD_BYTES)
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    counts = cut(counts, "words")
-    if counts.count() > most:
-        by = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().orderBy(F.desc("b")).collect()  # at most 64 rows
-        total, least = 0, 64
-        for r in by:
-            if total + r["count"] > most:
-                break
-            total, least = total + r["count"], r["b"]
-        counts = counts.where(F.floor(F.log2("n")) >= least)
+    counts = cut(words.groupBy("word").agg(F.count("*").alias("n")), "words")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return counts.select("word").repartition(tasks, "word").select("word", fold_merges(F.col("word"), ranks).alias("ids"))
+    out = cut(counts.repartition(tasks, "word").select("word", "n", fold_merges(F.col("word"), ranks).alias("ids")), "dictionary")
+    drop(counts)
+    return out
+
+
+def _least_frequent(words: DataFrame, most: int) -> int:
+    """The power of two that words must occur as often as, so that there are at most `most` of them; 0 if all fit."""
+    by = words.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().orderBy(F.desc("b")).collect()  # at most 64 rows
+    total = 0
+    for r in by:
+        total += r["count"]
+        if total > most:
+            return 2 ** (r["b"] + 1)
+    return 0
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, keys: list[str], text: str = "text", most: int = DICTIONARY_WORDS) -> DataFrame:
@@ -153,17 +159,20 @@ def encode_corpus(docs: DataFrame, tokenizer: str, keys: list[str], text: str =
     Null and empty texts get an empty list; blank texts are encoded as they are; strings that look like special tokens
     are ordinary text. Repeated rows give repeated rows; other columns are ignored.
 
-    The merges run once per distinct word of the corpus, as a fold (see fold_merges). The words' ids then go to all tasks
-    in a dictionary of at most `most` words of at most FOLD_BYTES bytes each, about 20 MB by default. Words beyond it are merged where they occur.
+    The merges run once per distinct word of the corpus, as a fold (see fold_merges). The ids of the `most` most frequent words
+    go to all tasks, which leave a mark where a text holds another; the ids of those are joined to the marks. Runs of more
+    than FOLD_BYTES without a boundary are merged in place.
     """
     spark = docs.sparkSession
     ranks = Ranks(tokenizer)
-    known = dictionary(docs, ranks, text, most).toArrow().combine_chunks()
+    coded = dictionary(docs, ranks, text)
+    least = _least_frequent(coded, most)
+    known = coded.where(F.col("n") >= least).select("word", "ids").toArrow().combine_chunks()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, known.schema) as w:
         w.write_table(known)
     sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    schema = docs.select(*keys).schema.add("ids", T.ArrayType(T.IntegerType()))
+    schema = docs.select(*keys).schema.add("ids", T.ArrayType(T.IntegerType())).add("_missing", T.ArrayType(T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
@@ -172,29 +181,56 @@ def encode_corpus(docs: DataFrame, tokenizer: str, keys: list[str], text: str =
         for batch in batches:
             lists = batch.column("_words")
             flat = lists.flatten()
+            bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))])
             coded = flat.dictionary_encode()
             at = pc.index_in(coded.dictionary, value_set=words)
             missing = np.flatnonzero(np.asarray(pc.is_null(at)))
-            all_ids = ids
+            all_ids, marked = ids, [[] for _ in range(len(lists))]
             if len(missing):
-                new = coded.dictionary.take(pa.array(missing)).to_pylist()
-                for x in new:
-                    if x not in own:
-                        own[x] = ranks.encode_word(x.encode())
-                all_ids = pa.concat_arrays([ids, pa.array([own[x] for x in new], pa.list_(pa.int32()))])
+                new = []
+                for k, x in enumerate(coded.dictionary.take(pa.array(missing)).to_pylist()):
+                    if len(x.encode()) <= FOLD_BYTES:
+                        new.append([-1 - k])
+                    else:
+                        if x not in own:
+                            own[x] = ranks.encode_word(x.encode())
+                        new.append(own[x])
+                all_ids = pa.concat_arrays([ids, pa.array(new, pa.list_(pa.int32()))])
                 places = np.asarray(pc.fill_null(at, 0)).copy()
                 places[missing] = len(ids) + np.arange(len(missing))
                 at = pa.array(places)
                 if len(own) > 200_000:
                     own.clear()
             got = all_ids.take(at.take(coded.indices))
-            sizes = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(got)), dtype=np.int64)])
-            bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))])
-            out = pa.ListArray.from_arrays(pa.array(sizes[bounds], pa.int32()), got.flatten())
-            yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, out], [*keys, "ids"])
+            values = got.flatten()
+            sizes = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(got)), dtype=np.int64)])[bounds]
+            marks = np.flatnonzero(np.asarray(values) < 0)
+            if len(marks):  # numbered anew within each text
+                values, names = np.asarray(values).copy(), coded.dictionary.take(pa.array(missing)).to_pylist()
+                for i, row in zip(marks.tolist(), (np.searchsorted(sizes, marks, "right") - 1).tolist()):
+                    mine = marked[row]
+                    mine.append(names[-1 - values[i]])
+                    values[i] = -len(mine)
+                values = pa.array(values)
+            out = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, out, pa.array(marked, pa.list_(pa.string()))], [*keys, "ids", "_missing"])
 
     words = docs.select(*keys, F.coalesce(words_of(F.col(text)), F.array().cast("array<string>")).alias("_words"))
-    return words.mapInArrow(run, schema)
+    marked = words.mapInArrow(run, schema)
+    if not least:
+        drop(coded)
+        return marked.select(*keys, "ids")
+    return _filled(cut(marked, "marked"), coded.where(F.col("n") < least).select("word", F.col("ids").alias("_ids")), keys)
+
+
+def _filled(marked: DataFrame, rare: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a cut table with the ids of rare words for their marks: -1 for the first of _missing, and so on. Rows without marks take no part in the join."""
+    rows = marked.select(*keys, "ids", "_missing", F.concat_ws(":", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("_row"))
+    whole, open_ = rows.where(F.size("_missing") == 0), rows.where(F.size("_missing") > 0)
+    each = open_.select("_row", F.posexplode("_missing").alias("_k", "word")).join(rare, "word")
+    parts = each.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_k", "_ids"))).alias("_parts"))  # no more than the text holds
+    full = F.flatten(F.transform("ids", lambda x: F.when(x < 0, F.get("_parts", -x - 1)["_ids"]).otherwise(F.array(x))))
+    return whole.select(*keys, "ids").unionByName(open_.join(parts, "_row").select(*keys, full.alias("ids")))
 
 
 def decode_ids(ids: Column, ranks: Ranks) -> Column:
