@@ -54,26 +54,27 @@ def snake(x: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(x, "([a-z0-9])([A-Z])", "$1_$2"), r"[\s\-_]+", "_"))
 
 
-_HUMPS = "[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+def name_parts(x: Column) -> Column:
+    """The words of an identifier: runs of letters or of digits, cut where a small letter meets a capital and before the last capital of an acronym that a word follows."""
+    for border in ("([a-z])([A-Z])", "([A-Z])([A-Z][a-z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])"):
+        x = F.regexp_replace(x, border, "$1 $2")
+    return F.filter(F.split(x, "[^A-Za-z0-9]+"), lambda p: p != "")
 
 
 def label_name(x: Column) -> Column:
-    """PascalCase of a type, for node labels; Entity where nothing is left."""
-    parts = F.transform(F.regexp_extract_all(x, F.lit(_HUMPS), F.lit(0)), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1000))))
-    return _named(F.array_join(parts, ""), "Entity")
+    """PascalCase of a type, for node labels, without the digits it starts with; empty where nothing is left."""
+    parts = F.filter(name_parts(F.regexp_replace(x, "^[^A-Za-z]+", "")), lambda p: p != "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2))))), "")
 
 
 def relation_name(x: Column) -> Column:
     """SCREAMING_SNAKE of a property, for relation types."""
-    return _named(F.array_join(F.transform(F.regexp_extract_all(x, F.lit(_HUMPS), F.lit(0)), F.upper), "_"), "RELATED_TO")
-
-
-def _named(x: Column, other: str) -> Column:
-    return F.when(F.coalesce(x, F.lit("")) == "", other).when(x.rlike("^[0-9]"), F.concat(F.lit("_"), x)).otherwise(x)
+    return F.array_join(F.transform(name_parts(x), F.upper), "_")
 
 
 def turtle_local(x: Column) -> Column:
-    return F.regexp_replace(x, "[^A-Za-z0-9_]", "_")
+    """A name as a local name in Turtle: letters, digits, underscores and hyphens stay."""
+    return F.regexp_replace(x, "[^A-Za-z0-9_-]", "_")
 
 
 def turtle_text(x: Column) -> Column:

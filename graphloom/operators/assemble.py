@@ -7,10 +7,11 @@ Occurrence tables: nodes (source_file, pos, raw_id, type, name, confidence, alia
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import canonical, clamp, edge_id, edge_key, slug, stable_id
+from graphloom.operators.chunks import running_totals
 from graphloom.operators.hierarchy import hierarchy
 from graphloom.shared import salted_lookup
 
@@ -86,11 +87,12 @@ def merge_edges(edges: DataFrame, how: str = "mean", digits: int = 6) -> DataFra
 
 
 def merge_log(attrs: DataFrame, merged: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """Of every entity of several occurrences: how many, and how many attribute values won, lost and were put together."""
+    """Of every entity of several occurrences: how many, and how many attribute values won, lost and were put together: texts of full confidence that differ from the result are its parts."""
     n = attrs.groupBy(id_col).agg(F.countDistinct(F.struct(*OCC)).alias("occurrences")).where("occurrences > 1")
     w = attrs.join(merged.select(*keys, F.col("value").alias("won")), keys)
     lost = ~F.col("value").eqNullSafe(F.col("won"))
-    counts = w.groupBy(id_col).agg(F.count_if(~lost).alias("winning"), F.count_if(lost & ~F.coalesce(F.col("won").contains(F.col("value")), F.lit(False))).alias("losing"), F.count_if(lost & F.coalesce(F.col("won").contains(F.col("value")), F.lit(False))).alias("concatenated"))
+    part = lost & F.col("won").isNotNull() & F.col("value").isNotNull() & F.col("is_text") & (clamp(F.col("confidence")) == 1)
+    counts = w.groupBy(id_col).agg(F.count_if(~lost).alias("winning"), F.count_if(lost & ~part).alias("losing"), F.count_if(part).alias("concatenated"))
     return n.join(counts, id_col)
 
 
@@ -114,10 +116,8 @@ def check_name_map(names: DataFrame, norm_map: DataFrame) -> tuple[DataFrame, Da
 
 
 def drop_cycles(norm_map: DataFrame) -> DataFrame:
-    """The map without aliases whose chain reaches a cycle: pointer doubling over alias -> canonical."""
-    sep = "\u0001"
-    tree = hierarchy(norm_map.select("type", F.concat(F.col("alias"), F.lit(sep)).alias("alias"), F.concat(F.col("canonical"), F.lit(sep)).alias("canonical")), "type", "alias", "canonical", paths=False)
-    lost = tree.where("depth < 0").select("type", F.replace("alias", F.lit(sep), F.lit("")).alias("alias"))
+    """The map without aliases whose chain reaches a cycle: pointer doubling over alias -> canonical, names compared as written."""
+    lost = hierarchy(norm_map, "type", "alias", "canonical", paths=False, exact=True).where("depth < 0").select("type", "alias")
     return norm_map.join(lost, ["type", "alias"], "left_anti")
 
 
@@ -133,7 +133,7 @@ def alias_index(norm_map: DataFrame) -> DataFrame:
 
 
 def dangling_edges(edges: DataFrame, nodes: DataFrame, keep: bool = True, scope: tuple[str, ...] = ("source_file",)) -> DataFrame:
-    """Edges whose both ends are nodes of the same file (keep), or the others."""
+    """Edges whose both ends are nodes of the same file (keep), or the others. AQE splits a hot end's partition: these are semi joins that probe with the edges."""
     ids = nodes.select(*scope, "raw_id").distinct()
     on = lambda end: ids.select(*scope, F.col("raw_id").alias(end))
     good = edges.join(on("src"), [*scope, "src"], "left_semi").join(on("dst"), [*scope, "dst"], "left_semi")
@@ -149,8 +149,43 @@ def remap_ids(index: DataFrame, renamed: DataFrame, column: str = "id") -> DataF
 
 
 def names_to_review(inventory: DataFrame, least: int = 2, most: int = 500) -> DataFrame:
-    """type, request, names: the sorted names of every type with at least `least`, `most` to a request of the language model."""
-    w = Window.partitionBy("type")
-    k = inventory.withColumn("request", F.floor((F.row_number().over(w.orderBy("name")) - 1) / most).cast("int"))
-    big = inventory.groupBy("type").count().where(F.col("count") >= least).select("type")
-    return k.join(big, "type", "left_semi").groupBy("type", "request").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    """type, request, names: the sorted names of every type with at least `least`, `most` to a request of the language model. Numbered by running totals over ranges, so no task sorts a whole type."""
+    o = inventory.select("type", "name", F.struct("type", "name").alias("_o"), F.lit(1).cast("long").alias("_one"))
+    k = running_totals(o, "_o", "_one", int(inventory.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = k.groupBy("type").agg(F.min("before").alias("first"), F.count("*").alias("n")).where(F.col("n") >= least)  # one row per type
+    j = k.join(F.broadcast(first), "type").withColumn("request", F.floor((F.col("before") - F.col("first")) / most).cast("int"))
+    return j.groupBy("type", "request").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def annotated(nodes: DataFrame, index: DataFrame) -> DataFrame:
+    """Merged nodes with the aliases that alias_index() (type, name, aliases) has for their name joined to their own, sorted, without the name itself; null if none."""
+    more = index.groupBy("type", "name").agg(F.flatten(F.collect_list("aliases")).alias("_more"))
+    j = salted_lookup(nodes, more, ["type", "name"])
+    both = F.array_sort(F.array_distinct(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("_more", F.array().cast("array<string>")))))
+    kept = F.filter(both, lambda a: a.isNotNull() & ~a.eqNullSafe(F.col("name")))
+    return j.withColumn("aliases", F.when(F.size(kept) > 0, kept)).drop("_more")
+
+
+def assemble(nodes: DataFrame, attributes: DataFrame, edges: DataFrame, edge_attributes: DataFrame | None = None, norm_map: DataFrame | None = None, prior_log: DataFrame | None = None, how: str = "mean") -> dict[str, DataFrame]:
+    """All steps from occurrences to one graph: names by the map, identities, merged nodes, attributes and files, endpoints, merged edges and theirs, and the log.
+
+    nodes: source_file, pos, raw_id, type, name, confidence, aliases; attributes: source_file, pos, attr, value, confidence,
+    is_text; edges: source_file, pos, type, src, dst, confidence; edge_attributes as attributes. Edges without an end that is
+    a node are left out. prior_log: events (event, id, ...) of an earlier run, of which synonym_collapse stays.
+    """
+    m = drop_cycles(norm_map) if norm_map is not None else None
+    named = with_stable_ids(apply_name_map(nodes, m) if m is not None else nodes)
+    out = {"nodes": merge_nodes(named, how), "files": node_files(named)}
+    if m is not None:
+        out["nodes"] = annotated(out["nodes"], alias_index(m))
+    attrs = attributes.join(named.select(*OCC, "stable_id"), OCC)
+    out["attributes"] = merge_attributes(attrs, ["stable_id", "attr"])
+    ids = out["nodes"].select(F.col("stable_id").alias("raw_id"))
+    ends = dangling_edges(resolve_endpoints(edges, named), ids, scope=())
+    out["edges"] = merge_edges(ends, how)
+    if edge_attributes is not None:
+        out["edge_attributes"] = merge_attributes(edge_attributes.join(ends.select(*OCC, "type", "src", "dst"), OCC), ["type", "src", "dst", "attr"])
+    out["log"] = merge_log(attrs, out["attributes"], ["stable_id", "attr"], "stable_id").withColumnRenamed("stable_id", "id").withColumn("event", F.lit("node_merge"))
+    if prior_log is not None:
+        out["log"] = out["log"].unionByName(prior_log.where("event = 'synonym_collapse'"), allowMissingColumns=True)
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.text import WS, without_counter
-from graphloom.shared import cut
+from graphloom.shared import cut, drop
 
 
 def without_frontmatter(text: Column) -> Column:
@@ -40,9 +40,14 @@ def window_starts(n: Column, window: int, overlap: int) -> Column:
 def chunk(files: DataFrame, window: int = 500, overlap: int = 50, file: str = "source_file", text: str = "content") -> DataFrame:
     """source_file, chunk_index, text, token_start, token_end of all files. Files without tokens give one empty chunk; null texts none. No shuffle."""
     t = files.select(file, tokens(without_frontmatter(F.col(text))).alias("_t")).where("_t is not null")
-    e = t.select(file, "_t", F.posexplode(window_starts(F.size("_t"), window, overlap)).alias("chunk_index", "token_start"))
-    end = F.least(F.col("token_start") + window, F.size("_t"))
-    return e.select(file, "chunk_index", F.array_join(F.slice("_t", F.col("token_start") + 1, window), " ").alias("text"), "token_start", end.alias("token_end"))
+    piece = lambda s: F.struct(s.alias("token_start"), F.array_join(F.slice("_t", s + 1, window), " ").alias("text"), F.least(s + window, F.size("_t")).alias("token_end"))
+    e = t.select(file, F.posexplode(F.transform(window_starts(F.size("_t"), window, overlap), piece)).alias("chunk_index", "c"))  # a text's tokens are not copied into its windows
+    return e.select(file, "chunk_index", "c.text", "c.token_start", "c.token_end")
+
+
+def chunk_texts(chunks: DataFrame, file: str = "source_file") -> DataFrame:
+    """chunk_key, text: chunks by the key file::number, numbers from 1."""
+    return chunks.select(F.concat(F.col(file), F.lit("::"), (F.col("chunk_index") + 1).cast("string")).alias("chunk_key"), "text")
 
 
 def chunk_count(n: Column, window: int, overlap: int) -> Column:
@@ -76,29 +81,68 @@ def pack(items: DataFrame, group: list[str], order: list[str], size: str, budget
 
 
 def running_totals(rows: DataFrame, order: str, size: str, tasks: int) -> DataFrame:
-    """rows with `before`: the sum of `size` over all rows earlier in the order. Ranges are written once, summed, and their totals added up, so no task sees all rows."""
+    """rows, cut, with `before`: the sum of `size` over all rows earlier in the order. Ranges are written once, summed, and their totals added up, so no task sees all rows."""
     ranged = cut(rows.repartitionByRange(tasks, order).withColumn("_range", F.spark_partition_id()), "ranges")
     per = ranged.groupBy("_range").agg(F.sum(size).alias("n"))
     first = per.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_first"))  # `tasks` rows
-    w = Window.partitionBy("_range").orderBy(order)
+    w = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return ranged.join(F.broadcast(first), "_range").withColumn("before", F.col("_first") + F.sum(size).over(w) - F.col(size)).drop("_range", "_first")
 
 
-def pack_pooled(items: DataFrame, order: list[str], size: str, budget: int, tasks: int = 64) -> DataFrame:
-    """order, size, batch: packing of one ordered list over all files.
+def pack_pooled(items: DataFrame, order: list[str], size: str, budget: int, tasks: int | None = None) -> DataFrame:
+    """order, size, batch (from 0): greedy packing of one ordered list over all files, exactly that of a single pass.
 
-    The list is cut at files into stretches of a share of all tokens each, by running totals; each stretch is packed by
-    itself. A stretch's last batch may stay partly empty: at most `tasks` batches more than a single pass would make.
+    Where a batch begins decides where the next one does, so the list is numbered, every item is joined to the first item
+    that no longer fits beside it, and this table of successors is squared: after k rounds all beginnings up to number 2**k
+    are known. The successor is found by running totals (successors). Batches are counted by a running sum over the
+    beginnings. Items without size count 0; an item larger than the budget has a batch of its own.
+    """
+    tasks = tasks or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = items.select(*order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias(size))
+    keyed = rows.withColumn("_o", F.struct(*order))
+    placed = running_totals(keyed.withColumn("_one", F.lit(1).cast("long")), "_o", "_one", tasks).withColumnRenamed("before", "_k")
+    placed = cut(running_totals(placed, "_o", size, tasks), "placed")  # _k: number of the item; before: tokens of all earlier ones
+    # the next batch begins at the first item that ends beyond the budget, or after it where nothing of any size stands before it
+    starts = placed.select("_k", "before", (F.col("before") + budget).alias("_limit"))
+    found = successors(starts, placed.select((F.col("before") + F.col(size)).alias("_end"), F.struct("_k", "before").alias("_item")), tasks)
+    step = F.when(F.col("_item.before") > F.col("before"), F.col("_item._k")).otherwise(F.col("_item._k") + 1)
+    nxt = cut(found.select("_k", step.alias("_next")), "next")
+    reached = cut(placed.where("_k = 0").select("_k"), "reached")
+    jump = nxt
+    while True:
+        more = jump.join(reached, "_k", "left_semi").select(F.col("_next").alias("_k")).where("_k is not null")
+        after = cut(reached.union(more).distinct(), "reached")
+        grown = after.count() > reached.count()
+        drop(reached)
+        reached = after
+        if not grown:
+            break
+        twice = cut(jump.join(jump.select(F.col("_k").alias("_next"), F.col("_next").alias("_then")), "_next", "left").select("_k", F.col("_then").alias("_next")), "next")
+        drop(jump)
+        jump = twice
+    marked = placed.join(reached.withColumn("_new", F.lit(1).cast("long")), "_k", "left").withColumn("_new", F.coalesce("_new", F.lit(0).cast("long")))
+    out = running_totals(marked.drop("before"), "_o", "_new", tasks)
+    for d in (jump, reached, placed):
+        drop(d)
+    return out.select(*order, size, (F.col("before") + F.col("_new") - 1).cast("int").alias("batch"))
+
+
+def successors(starts: DataFrame, ends: DataFrame, tasks: int) -> DataFrame:
+    """starts (_limit and more) with _item: of the ends (_end, _item; both grow together) the first beyond the limit, null if there is none.
+
+    Both are put in one order and cut into ranges. Within a range a running minimum from the end finds the next item; where
+    a range holds none, it is that of the first range after it which does.
     """
-    file = order[0]
-    per_file = items.groupBy(file).agg(F.sum(size).alias("_n"))
-    total = per_file.agg(F.sum("_n")).first()[0] or 0
-    share = max(budget * 8, math.ceil(total / tasks))
-    stretch = running_totals(per_file, file, "_n", tasks).select(file, F.floor(F.col("before") / share).cast("int").alias("stretch"))
-    p = cut(pack(items.join(stretch, file), ["stretch"], order, size, budget), "packed")
-    per = p.groupBy("stretch").agg((F.max("batch") + 1).alias("n"))
-    first = per.select("stretch", (F.sum("n").over(Window.orderBy("stretch")) - F.col("n")).alias("before"))  # `tasks` rows and a few
-    return p.join(F.broadcast(first), "stretch").select(*order, size, (F.col("before") + F.col("batch")).cast("int").alias("batch"))
+    cols = [c for c in starts.columns if c != "_limit"]
+    a = starts.select(F.col("_limit").alias("_v"), F.lit(1).alias("_is"), *cols, F.lit(None).cast(ends.schema["_item"].dataType).alias("_item"))
+    b = ends.select(F.col("_end").alias("_v"), F.lit(0).alias("_is"), *[F.lit(None).cast(starts.schema[c].dataType).alias(c) for c in cols], "_item")
+    # what ends at the limit still fits: at equal values ends stand before starts
+    ranged = cut(a.unionByName(b).withColumn("_o", F.struct("_v", "_is", "_item")).repartitionByRange(tasks, "_o").withColumn("_range", F.spark_partition_id()), "ranges")
+    first = ranged.groupBy("_range").agg(F.min("_item").alias("_f"))  # `tasks` rows
+    later = first.select("_range", F.min("_f").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    w = Window.partitionBy("_range").orderBy(F.desc("_o")).rowsBetween(Window.unboundedPreceding, -1)
+    near = ranged.withColumn("_near", F.min("_item").over(w)).where("_is = 1")
+    return near.join(F.broadcast(later), "_range").select(*cols, F.coalesce("_near", "_later").alias("_item"))
 
 
 def batch_map(packed: DataFrame, keys: list[str], file: str, index: str, size: str) -> DataFrame:
@@ -122,6 +166,18 @@ def virtual_files(packed: DataFrame, texts: DataFrame, path: str = "source_file"
     return packed.where("batch >= 0").join(texts, path).groupBy("folder", "batch").agg(F.array_join(shown, "\n\n").alias("content"))
 
 
+def inventory_requests(names: DataFrame, budget: int, most: int) -> DataFrame:
+    """type, tokens, request: types (type, name) with two names at least, packed in order of their names into requests of a token budget, at four bytes to a token.
+
+    Of each type the first `most` names count, which is the rule of such a request and bounds it. One row per type is packed.
+    """
+    w = Window.partitionBy("type").orderBy("name")
+    kept = names.select("type", "name", F.row_number().over(w).alias("k")).where(F.col("k") <= most)
+    per = kept.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.octet_length("name") + 4).alias("bytes")).where("n >= 2")
+    tokens_ = F.floor((F.col("bytes") + F.octet_length("type") + 4) / 4).cast("long")
+    return pack(per.select(F.lit(0).alias("all"), "type", tokens_.alias("tokens")), ["all"], ["type"], "tokens", budget).select("type", "tokens", F.col("batch").alias("request"))
+
+
 def sample_batches(n: int, most: int, seed: int) -> list[int]:
     """The numbers of at most `most` of n batches, the same for the same seed, in order."""
     return list(range(n)) if n <= most else sorted(random.Random(seed).sample(range(n), most))
@@ -132,17 +188,55 @@ def unfinished(selection: DataFrame, done: DataFrame) -> DataFrame:
     return selection.join(done, ["batch", "chunk_count", "files"], "left_anti")
 
 
-def nice_number(x: float) -> int:
-    """x rounded down to 1, 1.5, 2, 2.5, 3, 4, 5, 6 or 8 times a power of ten."""
-    if x < 1:
-        return 0
-    ten = 10 ** math.floor(math.log10(x))
-    return int(max(m for m in (1, 1.5, 2, 2.5, 3, 4, 5, 6, 8) if m * ten <= x) * ten)
+#: What a rounded number of tokens is a multiple of.
+STEPS = (10000, 5000, 2000, 1000, 500, 200, 100)
+
+
+def nice_number(x: int) -> int:
+    """x rounded down to a multiple of the largest of STEPS that is no larger; as it is below them."""
+    return next((x // s * s for s in STEPS if x >= s), x)
+
+
+def nice_numbers(x: Column) -> Column:
+    """nice_number() of a column of whole numbers."""
+    return F.coalesce(*[F.when(x >= s, F.floor(x / s).cast("long") * s) for s in STEPS], x.cast("long"))
+
+
+def token_budget(context: int, output: int | None = None, headroom: int | None = None, divisor: int = 12, margin: float = 0.05, overlap: float = 0.1) -> dict[str, int]:
+    """How many tokens a request, its chunks and their overlap may have: the context less the answer, less a margin that is kept for feedback (in tokens, and in characters at four to a token)."""
+    if output is None and headroom is None:
+        raise ValueError("either the answer's size or the room for the request must be given")
+    headroom = context - output if headroom is None else headroom
+    output = context - headroom if output is None else output
+    request = nice_number(int(headroom * (1 - margin)))
+    window = max(nice_number(int(request / divisor)), 100)
+    return {
+        "context": context, "output": output, "headroom": headroom, "request": request, "reserve": headroom - request, "reserve_chars": 4 * (headroom - request),
+        "chunk": window, "overlap": max(nice_number(int(window * overlap)), 10),
+    }
+
+
+def token_budgets(rows: DataFrame, headroom: str, divisor: int = 12, margin: float = 0.05, overlap: float = 0.1) -> DataFrame:
+    """rows with request, chunk, overlap and reserve_chars of token_budget(), for a column of headrooms."""
+    request = nice_numbers(F.floor(F.col(headroom) * (1 - margin)).cast("long"))
+    window = F.greatest(nice_numbers(F.floor(F.col("request") / divisor).cast("long")), F.lit(100))
+    out = rows.withColumn("request", request).withColumn("chunk", window)
+    return out.withColumn("overlap", F.greatest(nice_numbers(F.floor(F.col("chunk") * overlap).cast("long")), F.lit(10))).withColumn("reserve_chars", (F.col(headroom) - F.col("request")) * 4)
+
+
+def chunks_of(tokens: int, window: int, overlap: int) -> int:
+    """How many chunks a corpus makes if it is cut as one text."""
+    return 1 if tokens <= window or window <= overlap else math.ceil((tokens - overlap) / (window - overlap))
 
 
-def token_budget(context: int, output: int, corpus: int, headroom: float = 0.95, divisor: int | None = None) -> dict[str, int]:
-    """How many tokens a request and a chunk may have: the context less the answer, with headroom; chunks so that a corpus makes 50 to 500 of them."""
-    request = nice_number(max(0, context - output) * headroom)
-    if divisor is None:
-        divisor = next((d for d in (1, 2, 4, 8, 16, 32) if request and 50 <= corpus / max(1, request // d) <= 500), 8)
-    return {"request": request, "chunk": nice_number(request / divisor), "divisor": divisor, "overlap": nice_number(request / divisor / 10)}
+def better_divisor(headroom: int, tokens: int, window: int, overlap: int, least: int = 50, most: int = 500, aim: int = 200, start: int = 12) -> tuple[int, int]:
+    """The first divisor from 4 to 31 for which a corpus makes `least` to `most` chunks, and their number; if there is none, the one (or `start`, with the chunks given) that comes nearest to `aim`."""
+    best = start, chunks_of(tokens, window, overlap)
+    for d in range(4, 32):
+        b = token_budget(headroom, 0, divisor=d)
+        n = chunks_of(tokens, b["chunk"], b["overlap"])
+        if least <= n <= most:
+            return d, n
+        if abs(n - aim) < abs(best[1] - aim):
+            best = d, n
+    return best

@@ -10,15 +10,15 @@ from graphloom.shared import blank_to_null, cut, drop, salted_lookup
 CYCLE = "(cycle)"
 
 
-def links(rows: DataFrame, space: str = "session_id", name: str = "type", parent: str = "parent") -> DataFrame:
+def links(rows: DataFrame, space: str = "session_id", name: str = "type", parent: str = "parent", exact: bool = False) -> DataFrame:
     """One row per concept: _space, _key, _name, _parent (the key of its parent, null for a root).
 
-    Names match within their space, ignoring case and surrounding white space. Rows whose name is null are no concepts.
+    Names match within their space, ignoring case and surrounding white space, or exact as written. Rows whose name is null are no concepts.
     Of repeated keys the row least by (name as written, parent) counts, nulls last. A null space is a space of its own.
     """
-    key = F.lower(blank_to_null(F.col(name)))
+    key, up = (F.col(name), F.col(parent)) if exact else (F.lower(blank_to_null(F.col(name))), F.lower(blank_to_null(F.col(parent))))
     one = (
-        rows.select(F.col(space).alias("_space"), F.coalesce(key, F.lit("")).alias("_key"), F.col(name).alias("_name"), F.lower(blank_to_null(F.col(parent))).alias("_up"))
+        rows.select(F.col(space).alias("_space"), F.coalesce(key, F.lit("")).alias("_key"), F.col(name).alias("_name"), up.alias("_up"))
         .where(F.col("_name").isNotNull())
         .groupBy("_space", "_key")
         .agg(F.min(F.struct("_name", F.col("_up").isNull().alias("n"), "_up")).alias("m"))
@@ -27,8 +27,8 @@ def links(rows: DataFrame, space: str = "session_id", name: str = "type", parent
     return one
 
 
-def hierarchy(rows: DataFrame, space: str = "session_id", name: str = "type", parent: str = "parent", paths: bool = True) -> DataFrame:
-    """Path, depth and root of every concept.
+def hierarchy(rows: DataFrame, space: str = "session_id", name: str = "type", parent: str = "parent", paths: bool = True, exact: bool = False) -> DataFrame:
+    """Path, depth and root of every concept. Names are matched as links() does.
 
     Returns space, name, root, depth and, with paths, path (names from the root down, as an array).
     A concept whose parent is null, blank or unknown in its space is a root: depth 0, its own root.
@@ -38,7 +38,7 @@ def hierarchy(rows: DataFrame, space: str = "session_id", name: str = "type", pa
     gaps: a round that finishes no row proves that the rows left hang on loops, so there are log2(depth) + 2 rounds.
     Finished rows leave the join; hot parents are salted; each round is cut in the shared folder.
     """
-    one = cut(links(rows, space, name, parent), "links")
+    one = cut(links(rows, space, name, parent, exact), "links")
     key = ["_space", "_nospace", "_key"]
     known = one.select("_space", "_nospace", F.col("_key").alias("_up"), F.lit(True).alias("_known"))
     start = salted_lookup(one, known, ["_space", "_nospace", "_up"])
@@ -77,6 +77,30 @@ def hierarchy(rows: DataFrame, space: str = "session_id", name: str = "type", pa
     return out.select(*cols, *([F.col("_path").alias("path")] if paths else []))
 
 
+def walks(rows: DataFrame, space: str = "session_id", name: str = "type", parent: str = "parent", exact: bool = False) -> DataFrame:
+    """space, name, path: every concept's way up, from the root down; a way that runs into a loop ends before the first concept it would meet again.
+
+    What hierarchy() leaves on loops is doubled on among itself until every way repeats a concept: its different concepts, in order, are the walk.
+    """
+    tree = cut(hierarchy(rows, space, name, parent, exact=exact), "tree")
+    whole, lost = tree.where("depth >= 0").select(space, name, "path"), tree.where("depth < 0").select(F.col(space).alias("_s"), F.col(name).alias("_n"))
+    if lost.isEmpty():
+        return whole
+    on = links(rows, space, name, parent, exact).withColumn("_s", F.when(~F.col("_nospace"), F.col("_space")))
+    on = on.join(lost, on["_s"].eqNullSafe(lost["_s"]) & (on["_name"] == lost["_n"]), "left_semi").select("_space", "_nospace", "_key", "_name", "_up")
+    now = cut(on.select("_space", "_nospace", "_key", F.col("_up").alias("_ptr"), F.array("_name").alias("_seg")), "loops")
+    while True:
+        table = now.select("_space", "_nospace", F.col("_key").alias("_ptr"), F.col("_ptr").alias("_p2"), F.col("_seg").alias("_s2"))
+        after = cut(salted_lookup(now, table, ["_space", "_nospace", "_ptr"], "inner").select("_space", "_nospace", "_key", F.col("_p2").alias("_ptr"), F.concat("_seg", "_s2").alias("_seg")), "loops")
+        drop(now)
+        now = after
+        if now.where(F.size(F.array_distinct("_seg")) == F.size("_seg")).isEmpty():
+            break
+    path = F.array_distinct("_seg")
+    rest = now.select(F.when(~F.col("_nospace"), F.col("_space")).alias(space), F.get(path, F.lit(0)).alias(name), F.reverse(path).alias("path"))
+    return whole.unionByName(rest)
+
+
 def descendants(tree: DataFrame, space: str = "session_id", name: str = "type") -> DataFrame:
     """All (ancestor, descendant, distance) pairs of a hierarchy() with paths; every finished concept is its own at distance 0."""
     e = tree.where("depth >= 0").select(space, F.col(name).alias("descendant"), F.col("depth"), F.posexplode("path").alias("pos", "ancestor"))

@@ -43,3 +43,45 @@ def edge_provenance(edges: DataFrame, origin: DataFrame) -> DataFrame:
     in_b = lambda c: F.coalesce(F.col(c).isin("b", "both"), F.lit(False))
     cross = (in_a("s") & in_b("t")) | (in_b("s") & in_a("t"))
     return e.select("id", F.when(cross, "cross").when(in_a("s") & in_a("t"), "a").when(in_b("s") & in_b("t"), "b").otherwise("new").alias("kind"))
+
+
+def reextraction(strategy: str, chunks: DataFrame, wanted: DataFrame, kinds: DataFrame, mentions: DataFrame, top: int) -> DataFrame:
+    """source_file, chunk_index to be extracted again after two schemas became one: none, all (full), or for each new property (name, kind) the `top` chunks that say most on its kinds (surgical)."""
+    every = chunks.select("source_file", "chunk_index").distinct()
+    if strategy == "full":
+        return every
+    if strategy == "none":
+        return every.where("false")
+    if strategy != "surgical":
+        raise ValueError("the strategies are none, surgical and full")
+    from graphloom.operators.orphans import surgical_chunks
+
+    return surgical_chunks(wanted, kinds, mentions, top).select("source_file", "chunk_index").distinct().join(every, ["source_file", "chunk_index"], "left_semi")
+
+
+def new_properties(merged: DataFrame, before: DataFrame) -> DataFrame:
+    """Properties (name, domain, range) of a merged schema that a session's own lacks, by name."""
+    return merged.join(before.select("name").distinct(), "name", "left_anti")
+
+
+def merged_schema(a: DataFrame, b: DataFrame) -> DataFrame:
+    """key, type, sessions, attributes of the concepts of both sessions, those of a proposed first: see ontology.merge_proposals."""
+    from graphloom.operators.ontology import merge_proposals
+
+    tagged = [x.select(F.lit(n).alias("session_id"), "pos", "type", "attributes") for n, x in (("session_a", a), ("session_b", b))]
+    return merge_proposals(tagged[0].unionByName(tagged[1]))
+
+
+def merged_index(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("session_a", "session_b")) -> DataFrame:
+    """The mentions (id, source_file, chunk_index) of both sessions under their names."""
+    return namespaced(a, names[0]).unionByName(namespaced(b, names[1]))
+
+
+def count_trace(steps: dict[str, tuple[DataFrame, DataFrame]], properties: DataFrame) -> DataFrame:
+    """step, nodes, edges, declared: how many nodes and edges stand after each step, and how many of the edges are of declared types."""
+    known = properties.select(F.col("name").alias("type")).distinct().withColumn("d", F.lit(True))
+    out = None
+    for name, (n, e) in steps.items():
+        row = e.join(known, "type", "left").agg(F.count("*").alias("edges"), F.count_if("d").alias("declared")).crossJoin(n.agg(F.count("*").alias("nodes"))).select(F.lit(name).alias("step"), "nodes", "edges", "declared")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out

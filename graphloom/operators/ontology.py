@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import snake
-from graphloom.operators.hierarchy import hierarchy
+from graphloom.functions.text import snake, without_fence
+from graphloom.operators.hierarchy import walks
 from graphloom.shared import cut, drop
 
 
 def ancestors(concepts: DataFrame) -> DataFrame:
-    """session_id, type, ancestor: every concept with itself and all above it. Concepts on loops have none."""
-    return hierarchy(concepts).where("depth >= 0").select("session_id", "type", F.explode("path").alias("ancestor"))
+    """session_id, type, ancestor: every concept with itself and all above it, parents matched as written. On a loop the walk stops before it would meet a concept again."""
+    return walks(concepts, exact=True).select("session_id", "type", F.explode("path").alias("ancestor"))
+
+
+def parents(concepts: DataFrame) -> DataFrame:
+    """session_id, type, parents: the ancestors of every concept, nearest first, as an array."""
+    up = F.reverse(F.slice("path", 1, F.size("path") - 1))
+    return walks(concepts, exact=True).select("session_id", "type", up.alias("parents"))
 
 
 def flatten(concepts: DataFrame) -> DataFrame:
-    """session_id, type, attributes: those of the root first, down to the concept's own; repeated ones stay."""
+    """session_id, type, attributes: those of the root first, down to the concept's own; repeated ones stay. Loops as in ancestors()."""
     own = concepts.where("attributes is not null").groupBy("session_id", "type").agg(F.min_by("attributes", "pos").alias("own"))
-    up = hierarchy(concepts).where("depth >= 0").select("session_id", "type", F.posexplode("path").alias("k", "ancestor"))
-    all_ = up.join(own.withColumnRenamed("type", "ancestor"), ["session_id", "ancestor"], "left")
+    up = walks(concepts, exact=True).select("session_id", "type", F.posexplode("path").alias("k", "ancestor"))
+    own = own.select(F.col("session_id").alias("_s"), F.col("type").alias("_a"), "own")
+    all_ = up.join(own, F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("ancestor") == F.col("_a")), "left")
     lists = F.transform(F.array_sort(F.collect_list(F.struct("k", "own"))), lambda x: F.coalesce(x.own, F.array().cast("array<string>")))
     return all_.groupBy("session_id", "type").agg(F.flatten(lists).alias("attributes"))
 
@@ -65,9 +72,45 @@ def merge_proposals(concepts: DataFrame, reserved: tuple[str, ...] = ("relations
 
 
 def edge_listing(properties: DataFrame) -> DataFrame:
-    """type, outgoing: what may leave a node of each type, as text for prompts."""
-    p = F.array_sort(F.collect_set(F.struct("name", F.col("range").alias("to"))))
-    return properties.groupBy(F.col("domain").alias("type")).agg(F.array_join(F.transform(p, lambda x: F.concat(x["name"], F.lit(" -> "), x["to"])), "; ").alias("outgoing"))
+    """type, outgoing, incoming: what may leave a node of each type and what may reach it, as text for prompts; null where nothing does."""
+    one = properties.select(F.col("domain").alias("type"), F.lit("o").alias("way"), "name", F.col("range").alias("other"))
+    both = one.unionByName(properties.select(F.col("range").alias("type"), F.lit("i").alias("way"), "name", F.col("domain").alias("other")))
+    shown = lambda way, sign: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col("way") == way, F.struct("name", "other")))), lambda x: F.concat(x["name"], F.lit(sign), x["other"])), "; "), F.lit(""))
+    return both.groupBy("type").agg(shown("o", " -> ").alias("outgoing"), shown("i", " <- ").alias("incoming"))
+
+
+def cleaned_schema(concepts: DataFrame) -> DataFrame:
+    """concepts without those that have no type; missing attributes are an empty list, nulls in the list go."""
+    return concepts.where("type is not null").withColumn("attributes", F.filter(F.coalesce("attributes", F.array().cast("array<string>")), lambda a: a.isNotNull()))
+
+
+SCHEMA_ANSWER = "struct<concepts:array<struct<type:string,parent:string,attributes:array<string>>>>"
+
+
+def harmonised(concepts: DataFrame, answers: DataFrame) -> DataFrame:
+    """session_id, type, parent, attributes: each session's schema as a model rewrote it (session_id, answer), or as it was.
+
+    It stays as it was where there is no answer, where that is no JSON object with concepts, or has none of them, or fewer than half of those before.
+    """
+    before = cleaned_schema(concepts).select("session_id", "type", "parent", "attributes").dropDuplicates(["session_id", "type"])
+    n = before.groupBy("session_id").agg(F.count("*").alias("n"))
+    parsed = answers.select("session_id", F.from_json(without_fence(F.col("answer")), SCHEMA_ANSWER).concepts.alias("c")).where("c is not null")
+    new = cleaned_schema(parsed.select("session_id", F.inline("c"))).dropDuplicates(["session_id", "type"])
+    good = new.groupBy("session_id").agg(F.count("*").alias("m")).join(n, "session_id").where("2 * m >= n").select("session_id")
+    return before.join(good, "session_id", "left_anti").unionByName(new.join(good, "session_id", "left_semi").select(before.columns))
+
+
+def delta(concepts: DataFrame, before: DataFrame) -> DataFrame:
+    """type, change: concepts added, removed, or of other parent or attributes than before (altered)."""
+    pick = lambda d, n: d.select("type", F.struct("parent", F.array_sort(F.coalesce("attributes", F.array().cast("array<string>"))).alias("a")).alias(n)).dropDuplicates(["type"])
+    j = pick(concepts, "new").join(pick(before, "old"), "type", "full")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.to_json("new") != F.to_json("old"), "altered")
+    return j.select("type", change.alias("change")).where("change is not null")
+
+
+def write_delta(concepts: DataFrame, before: DataFrame, path: str, version: str) -> None:
+    """Appends delta() to the history at `path` as one version. Written again, a version replaces itself."""
+    delta(concepts, before).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def rendered(tree: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.shared import salted_lookup
+
 
 def declared(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
     """Rows whose `column` is declared."""
@@ -30,18 +32,36 @@ def backfill(attrs: DataFrame, nodes: DataFrame, schema: DataFrame) -> DataFrame
     return attrs.withColumn("added", F.lit(False)).unionByName(empty)
 
 
-def extraction_errors(nodes: DataFrame, edges: DataFrame, concepts: DataFrame, properties: DataFrame) -> DataFrame:
-    """rule, what: undeclared types, missing ids, unknown endpoints, missing confidences. Domains and ranges are not looked at."""
-    row = lambda df, rule, what: df.select(F.lit(rule).alias("rule"), F.col(what).cast("string").alias("what"))
-    ids = nodes.select("raw_id").distinct()
+def structure_errors(answers: DataFrame, keys: tuple[str, ...] = ("nodes", "edges")) -> DataFrame:
+    """label, rule, what of answers (label, answer: JSON text) whose top level is no object, lacks one of `keys` or has another. What fails here is not looked at further."""
+    have = F.json_object_keys("answer")
+    missing, more = F.array_except(F.array(*map(F.lit, keys)), have), F.array_except(have, F.array(*map(F.lit, keys)))
+    none = F.struct(F.lit("no object").alias("rule"), F.lit(None).cast("string").alias("what"))
+    each = lambda rule, xs: F.transform(xs, lambda x: F.struct(F.lit(rule).alias("rule"), x.alias("what")))
+    errors = F.when(have.isNull(), F.array(none)).otherwise(F.concat(each("missing key", missing), each("unexpected key", more)))
+    return answers.select("label", F.inline(errors))
+
+
+def extraction_errors(nodes: DataFrame, edges: DataFrame, concepts: DataFrame, properties: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """source_file, rule, what: undeclared types, missing ids or attributes, unknown endpoints, missing confidences of each file's extraction.
+
+    An endpoint is known if a node of the same file, or of prior (source_file, raw_id), has that id; hot ones are salted.
+    Attributes are looked at where nodes have that column. Domains and ranges are not looked at.
+    """
+    row = lambda df, rule, what: df.select("source_file", F.lit(rule).alias("rule"), F.col(what).cast("string").alias("what"))
+    ids = nodes.where("raw_id <> ''").select("source_file", "raw_id")
+    ids = (ids if prior is None else ids.unionByName(prior.select("source_file", "raw_id"))).distinct().withColumn("known", F.lit(True))
+    unknown = lambda end: salted_lookup(edges, ids.withColumnRenamed("raw_id", end), ["source_file", end]).where("known is null")
     found = [
         row(nodes.join(concepts.select("type"), "type", "left_anti"), "undeclared node type", "raw_id"),
         row(nodes.where("raw_id is null or raw_id = ''").withColumn("raw_id", F.lit(None).cast("string")), "node without id", "raw_id"),
         row(edges.join(properties.select("type"), "type", "left_anti"), "undeclared edge type", "pos"),
-        row(edges.join(ids.withColumnRenamed("raw_id", "src"), "src", "left_anti"), "unknown source", "src"),
-        row(edges.join(ids.withColumnRenamed("raw_id", "dst"), "dst", "left_anti"), "unknown target", "dst"),
+        row(unknown("src"), "unknown source", "src"),
+        row(unknown("dst"), "unknown target", "dst"),
         row(edges.where("confidence is null"), "no confidence", "pos"),
     ]
+    if "attributes" in nodes.columns:
+        found.append(row(nodes.where("attributes is null"), "no attributes", "raw_id"))
     return reduce(DataFrame.unionByName, found)
 
 

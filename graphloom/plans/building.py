@@ -89,12 +89,22 @@ def flt_clamp(spark, d):
     return table(spark, d, "nodes").select("node_key", clamp(F.col("confidence")).alias("confidence"))
 
 
-@query(f"""SELECT DISTINCT type, lower(regexp_replace(regexp_replace(type, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[\\s\\-_]+', '_', 'g')) AS snake,
-list_aggregate(list_transform(regexp_extract_all(regexp_replace(type, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', '') AS label,
-list_aggregate(list_transform(regexp_extract_all(regexp_replace(type, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: upper(x)), 'string_agg', '_') AS relation FROM concepts""")
+def _WORDS(x):
+    for border in ("([a-z])([A-Z])", "([A-Z])([A-Z][a-z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])"):
+        x = f"regexp_replace({x}, '{border}', '\\1 \\2', 'g')"
+    return f"list_filter(regexp_split_to_array({x}, '[^A-Za-z0-9]+'), lambda p: p <> '')"
+
+
+_NAMES = "t AS (SELECT DISTINCT type FROM concepts UNION SELECT DISTINCT type || 'Ref' || pos || '_of-' || upper(type) || 'Item' FROM concepts UNION SELECT DISTINCT pos || ' ' || type FROM concepts)"
+
+
+@query(f"""WITH {_NAMES} SELECT type, lower(regexp_replace(regexp_replace(type, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[\\s\\-_]+', '_', 'g')) AS snake,
+array_to_string(list_transform({_WORDS("regexp_replace(type, '^[^A-Za-z]+', '')")}, lambda p: upper(p[1]) || lower(p[2:])), '') AS label, array_to_string(list_transform({_WORDS('type')}, lambda p: upper(p)), '_') AS relation FROM t""")
 def str_type_names(spark, d):
-    t = F.col("type")
-    return table(spark, d, "concepts").select("type").distinct().select("type", snake(t).alias("snake"), label_name(t).alias("label"), relation_name(t).alias("relation"))
+    """Types, and identifiers made of them with acronyms, numbers and signs."""
+    c, t = table(spark, d, "concepts"), F.col("type")
+    more = [c.select("type"), c.select(F.concat("type", F.lit("Ref"), F.col("pos").cast("string"), F.lit("_of-"), F.upper("type"), F.lit("Item"))), c.select(F.concat(F.col("pos").cast("string"), F.lit(" "), "type"))]
+    return more[0].union(more[1]).union(more[2]).distinct().select("type", snake(t).alias("snake"), label_name(t).alias("label"), relation_name(t).alias("relation"))
 
 
 def _merged_nodes(how):
@@ -139,8 +149,8 @@ def asm_attr_conflict_parts(spark, d):
 
 
 @query(f"WITH {PARTS}, " + _MERGED.format("part_att", "stable_id, attr", "pos") + """, n AS (SELECT stable_id, count(DISTINCT pos) AS occurrences FROM part_att GROUP BY 1 HAVING count(DISTINCT pos) > 1)
-SELECT stable_id, any_value(occurrences) AS occurrences, count(*) FILTER (WHERE a.value = m.value) AS winning, count(*) FILTER (WHERE a.value <> m.value AND NOT contains(m.value, a.value)) AS losing,
-count(*) FILTER (WHERE a.value <> m.value AND contains(m.value, a.value)) AS concatenated FROM part_att a JOIN merged m USING (stable_id, attr) JOIN n USING (stable_id) GROUP BY 1""")
+SELECT stable_id, any_value(occurrences) AS occurrences, count(*) FILTER (WHERE a.value = m.value) AS winning, count(*) FILTER (WHERE a.value <> m.value AND a.confidence < 1) AS losing,
+count(*) FILTER (WHERE a.value <> m.value AND a.confidence >= 1) AS concatenated FROM part_att a JOIN merged m USING (stable_id, attr) JOIN n USING (stable_id) GROUP BY 1""")
 def asm_merge_log(spark, d):
     p = parts(spark, d)
     return A.merge_log(p, A.merge_attributes(p, ["stable_id", "attr"]), ["stable_id", "attr"], "stable_id")
@@ -198,12 +208,12 @@ def nrm_validate(spark, d):
     return A.check_name_map(known, norm_map(spark, d))[1]
 
 
-@query(f"""WITH RECURSIVE {NORM}, one AS (SELECT type, alias, min(canonical) AS canonical FROM norm WHERE alias <> '' AND canonical <> '' AND trim(alias) = alias AND trim(canonical) = canonical AND lower(alias) = alias AND lower(canonical) = canonical GROUP BY 1, 2),
+@query(f"""WITH RECURSIVE {NORM}, one AS (SELECT type, alias, min(canonical) AS canonical FROM norm WHERE alias IS NOT NULL AND canonical IS NOT NULL GROUP BY 1, 2),
 good(type, alias) AS (SELECT type, alias FROM one a WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.type = a.type AND b.alias = a.canonical)
   UNION ALL SELECT o.type, o.alias FROM one o JOIN good g ON g.type = o.type AND g.alias = o.canonical)
 SELECT o.type, o.alias, o.canonical FROM one o JOIN good USING (type, alias)""")
 def nrm_cycles(spark, d):
-    m = norm_map(spark, d).where("alias <> '' and canonical <> '' and trim(alias) = alias and trim(canonical) = canonical and lower(alias) = alias and lower(canonical) = canonical")
+    m = norm_map(spark, d).where("alias is not null and canonical is not null")
     return A.drop_cycles(m.groupBy("type", "alias").agg(F.min("canonical").alias("canonical")))
 
 
@@ -232,16 +242,22 @@ def flt_declared_edges(spark, d):
 
 
 @query(f"""WITH {DECLARED}, {OCC}, {EDG}, e AS (
-  SELECT 'undeclared node type' AS rule, raw_id AS what FROM occ WHERE type NOT IN (SELECT type FROM kinds)
-  UNION ALL SELECT 'node without id', NULL FROM occ WHERE raw_id IS NULL OR raw_id = ''
-  UNION ALL SELECT 'undeclared edge type', pos FROM edg WHERE type NOT IN (SELECT type FROM decl)
-  UNION ALL SELECT 'unknown source', src FROM edg WHERE NOT EXISTS (SELECT 1 FROM occ WHERE raw_id = src)
-  UNION ALL SELECT 'unknown target', dst FROM edg WHERE NOT EXISTS (SELECT 1 FROM occ WHERE raw_id = dst)
-  UNION ALL SELECT 'no confidence', pos FROM edg WHERE confidence IS NULL)
-SELECT rule, what, count(*) AS n FROM e GROUP BY 1, 2""")
+  SELECT source_file, 'undeclared node type' AS rule, raw_id AS what FROM occ WHERE type NOT IN (SELECT type FROM kinds)
+  UNION ALL SELECT source_file, 'node without id', NULL FROM occ WHERE raw_id IS NULL OR raw_id = ''
+  UNION ALL SELECT source_file, 'undeclared edge type', pos FROM edg WHERE type NOT IN (SELECT type FROM decl)
+  UNION ALL SELECT e.source_file, 'unknown source', src FROM edg e WHERE NOT EXISTS (SELECT 1 FROM occ WHERE raw_id = src AND raw_id <> '' AND occ.source_file = e.source_file)
+  UNION ALL SELECT e.source_file, 'unknown target', dst FROM edg e WHERE NOT EXISTS (SELECT 1 FROM occ WHERE raw_id = dst AND raw_id <> '' AND occ.source_file = e.source_file)
+  UNION ALL SELECT source_file, 'no confidence', pos FROM edg WHERE confidence IS NULL
+  UNION ALL SELECT session_id, 'no attributes', id FROM nodes WHERE attributes IS NULL)
+SELECT source_file, rule, what, count(*) AS n FROM e GROUP BY 1, 2, 3""")
 def flt_validate_extraction(spark, d):
-    errors = V.extraction_errors(occurrences(spark, d), edge_occurrences(spark, d), table(spark, d, "concepts").select("type").distinct(), _declared(spark, d))
-    return errors.groupBy("rule", "what").agg(F.count("*").alias("n"))
+    """Every session is an extraction of its own; attributes are those of the records."""
+    kinds = table(spark, d, "concepts").select("type").distinct()
+    errors = V.extraction_errors(occurrences(spark, d), edge_occurrences(spark, d), kinds, _declared(spark, d))
+    bare = table(spark, d, "nodes").select(F.col("session_id").alias("source_file"), F.col("id").alias("raw_id"), F.lit("").alias("type"), "attributes").where("attributes is null")
+    nothing = edge_occurrences(spark, d).where("false")
+    more = V.extraction_errors(bare, nothing, kinds, _declared(spark, d)).where("rule = 'no attributes'")
+    return errors.unionByName(more).groupBy("source_file", "rule", "what").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {DECLARED}, {OCC}, {EDG}, n1 AS (SELECT DISTINCT source_file, raw_id FROM occ WHERE type IN (SELECT type FROM kinds)),
@@ -285,8 +301,8 @@ def val_abox(spark, d):
     return V.graph_errors(table(spark, d, "nodes"), table(spark, d, "edges"), table(spark, d, "concepts").select("type").distinct(), _declared(spark, d))
 
 
-@query(f"""WITH f AS (SELECT CASE WHEN lower(trim(a)) IN ('', 'boss') THEN NULL ELSE a END AS a, node_key FROM (SELECT node_key, unnest(aliases) AS a FROM nodes))
+@query(f"""WITH f AS (SELECT node_key, unnest(aliases) AS a FROM nodes)
 SELECT node_key, {CANON("a")} AS canon, {SLUG("a")} AS slug, count(*) AS n FROM f WHERE a IS NOT NULL GROUP BY 1, 2, 3""")
 def str_canonical(spark, d):
-    a = table(spark, d, "nodes").select("node_key", F.explode("aliases").alias("a")).where(~F.lower(F.trim("a")).isin("", "boss"))
+    a = table(spark, d, "nodes").select("node_key", F.explode("aliases").alias("a")).where("a is not null")
     return a.groupBy("node_key", canonical(F.col("a")).alias("canon"), slug(F.col("a")).alias("slug")).agg(F.count("*").alias("n"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import task_id
-from graphloom.operators import answers as L
 from graphloom.operators import export as X
 from graphloom.operators import graph as G
 from graphloom.operators import merge as M
@@ -18,7 +17,7 @@ from graphloom.shared import shared_dir
 query = Catalogue()
 QUERIES, SQL = query.queries, query.sql
 
-_L = "regexp_replace({0}, '[^A-Za-z0-9_]', '_', 'g')"
+_L = "regexp_replace({0}, '[^A-Za-z0-9_-]', '_', 'g')"
 _T = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '\"', '\\\"'), '\n', '\\n'), '\r', '\\r'), '\t', '\\t')"
 PROPS = 'props AS (SELECT DISTINCT e.type AS name, n.type AS domain, m.type AS range FROM edges e JOIN (SELECT DISTINCT id, type FROM nodes) n ON n.id = e."from" JOIN (SELECT DISTINCT id, type FROM nodes) m ON m.id = e."to")'
 ATTR = "ax AS (SELECT DISTINCT id, e.key AS attr, e.value.value AS value, e.value.confidence AS confidence FROM (SELECT id, unnest(map_entries(attributes)) AS e FROM nodes WHERE id IS NOT NULL))"
@@ -29,44 +28,41 @@ def attributes(spark, d):
 
 
 @query(f"""WITH {PROPS}, a AS (SELECT type, parent, unnest(attributes) AS attr FROM concepts)
-SELECT DISTINCT 1 AS section, ':' || {_L.format('type')} || ' a owl:Class .' AS line FROM concepts
-UNION SELECT 2, ':' || {_L.format('type')} || ' rdfs:subClassOf :' || {_L.format('parent')} || ' .' FROM concepts WHERE parent IS NOT NULL
-UNION SELECT 3, ':' || {_L.format('attr')} || ' a owl:DatatypeProperty ; rdfs:domain :' || {_L.format('type')} || ' .' FROM a WHERE attr IS NOT NULL
-UNION SELECT 4, ':' || name || ' a owl:ObjectProperty ; rdfs:domain :' || domain || ' ; rdfs:range :' || range || ' .' FROM props""")
+SELECT DISTINCT 1 AS section, 'ex:' || {_L.format('type')} || ' rdf:type rdfs:Class .' AS line FROM concepts WHERE type IS NOT NULL
+UNION SELECT 2, 'ex:' || {_L.format('type')} || ' rdfs:subClassOf ex:' || {_L.format('parent')} || ' .' FROM concepts WHERE parent <> '' AND type IS NOT NULL
+UNION SELECT 3, 'ex:' || {_L.format('attr')} || ' rdf:type rdf:Property ;\n    rdfs:domain ex:' || {_L.format('type')} || ' ;\n    rdfs:range  rdfs:Literal .' FROM a WHERE attr IS NOT NULL AND type IS NOT NULL
+UNION SELECT 4, 'ex:' || {_L.format('name')} || ' rdf:type rdf:Property ;\n    rdfs:domain ex:' || {_L.format('domain')} || ' ;\n    rdfs:range  ex:' || {_L.format('range')} || ' .' FROM props""")
 def snk_schema_ttl(spark, d):
     return X.schema_turtle(table(spark, d, "concepts"), properties(spark, d))
 
 
 @query(f"""WITH {GRAPH}, {ATTR}, al AS (SELECT DISTINCT id, unnest(aliases) AS alias FROM nodes WHERE id IS NOT NULL)
-SELECT 5 AS section, ':' || {_L.format('id')} || ' a :' || type || ' .' AS line FROM gn
-UNION SELECT 6, ':' || {_L.format('id')} || ' :' || {_L.format('attr')} || ' "' || {_T.format('value')} || '" .' FROM ax WHERE value IS NOT NULL
-UNION SELECT 7, ':' || {_L.format('id')} || ' skos:altLabel "' || {_T.format('alias')} || '" .' FROM al WHERE alias IS NOT NULL
-UNION SELECT 8, ':' || {_L.format('src')} || ' :' || {_L.format('type')} || ' :' || {_L.format('dst')} || ' .' FROM ge""")
+SELECT 0 AS section, unnest(['@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .', '@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .', '@prefix ex: <http://example.org/schema#> .', '@prefix data: <http://example.org/data#> .', '@prefix skos: <http://www.w3.org/2004/02/skos/core#> .']) AS line
+UNION SELECT 5, 'data:' || {_L.format('id')} || ' rdf:type ex:' || {_L.format('type')} || ' .' AS line FROM gn
+UNION SELECT 6, 'data:' || {_L.format('id')} || ' ex:' || {_L.format('attr')} || ' "' || {_T.format('value')} || '" .' FROM ax WHERE value IS NOT NULL
+UNION SELECT 7, 'data:' || {_L.format('id')} || ' skos:altLabel "' || {_T.format('alias')} || '" .' FROM al WHERE alias IS NOT NULL
+UNION SELECT 8, 'data:' || {_L.format('src')} || ' ex:' || {_L.format('type')} || ' data:' || {_L.format('dst')} || ' .' FROM ge WHERE type IN ('knows', 'leads', 'member_of', 'part_of', 'works_at')""")
 def snk_ttl_lines(spark, d):
+    """Half of the edge types are declared."""
     n, e = graph(spark, d)
     alias = table(spark, d, "nodes").where("id is not null").select("id", F.explode("aliases").alias("alias"))
-    return X.graph_turtle(n, attributes(spark, d), alias, X.declared_relations(e, e.select(F.col("type").alias("name"))))
+    declared = spark.createDataFrame([(x,) for x in ("knows", "leads", "member_of", "part_of", "works_at")], "name string")
+    return X.turtle_prefixes(spark).unionByName(X.graph_turtle(n, attributes(spark, d), alias, X.declared_relations(e, declared)))
 
 
-@query(f"WITH {ATTR}, f AS (SELECT id, 'attr_' || {_L.format('attr')} || '_value' AS key, coalesce(value, '') AS text FROM ax) SELECT id, key, max(text) AS text FROM f GROUP BY 1, 2")
+@query(f"WITH {ATTR}, f AS (SELECT id, 'attr_' || regexp_replace(attr, '[^A-Za-z0-9_]', '_', 'g') AS key, value, CASE WHEN isnan(confidence) THEN NULL ELSE confidence END AS confidence FROM ax) SELECT id, key || '_value' AS key, max(coalesce(value, '')) AS text, NULL::DOUBLE AS number FROM f GROUP BY 1, 2 UNION ALL SELECT id, key || '_confidence', NULL, round(max(coalesce(confidence, 0.0)), 6) FROM f GROUP BY 1, 2")
 def snk_nx_flat(spark, d):
-    return X.flat_attributes(attributes(spark, d)).where("key like '%\\_value'")
-
-
-@query(f"WITH {GRAPH}, {ATTR} SELECT type AS label, string_agg(DISTINCT attr, ',' ORDER BY attr) AS columns FROM ax JOIN gn USING (id) WHERE value IS NOT NULL AND type <> 'SoftwareEngineer' GROUP BY 1")
-def snk_neo4j_columns(spark, d):
-    return X.csv_columns(attributes(spark, d), graph(spark, d)[0].select("id", "type")).where("label <> 'SoftwareEngineer'")
-
-
-@query(f"WITH {GRAPH}, {ATTR} SELECT id, coalesce(max(value) FILTER (WHERE attr = 'city'), '') AS city, coalesce(max(value) FILTER (WHERE attr = 'email'), '') AS email, coalesce(max(value) FILTER (WHERE attr = 'name'), '') AS name, coalesce(max(value) FILTER (WHERE attr = 'title'), '') AS title FROM gn LEFT JOIN ax USING (id) WHERE type = 'Person' GROUP BY 1")
-def snk_neo4j_nodes(spark, d):
-    return X.csv_nodes(graph(spark, d)[0], attributes(spark, d), "Person", ["city", "email", "name", "title"])
+    """Confidences read back as numbers; those that are no number count as missing. An attribute of several confidences shows the one greatest as a text, which is the greatest number within 0..1."""
+    a = attributes(spark, d).withColumn("confidence", F.when(~F.isnan("confidence"), F.col("confidence"))).groupBy("id", "attr", "value").agg(F.max("confidence").alias("confidence"))
+    top = a.groupBy("id", "attr").agg(F.max("confidence").alias("top"))
+    one = a.join(top, ["id", "attr"]).select("id", "attr", "value", F.col("top").alias("confidence"))
+    f, sure = X.flat_attributes(one), F.col("key").endswith("_confidence")
+    return f.select("id", "key", F.when(~sure, F.col("text")).alias("text"), F.when(sure, F.round(F.col("text").cast("double"), 6)).alias("number"))
 
 
 @query(f"WITH {GRAPH} SELECT upper(type) AS relation, src, dst, count(*) AS n FROM ge GROUP BY 1, 2, 3")
 def snk_neo4j_edges(spark, d):
-    e = graph(spark, d)[1].withColumn("confidence", F.lit(None).cast("double"))
-    return X.csv_relations(e).groupBy("relation", "src", "dst").agg(F.count("*").alias("n"))
+    return X.csv_relations(graph(spark, d)[1]).groupBy("relation", "src", "dst").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {GRAPH}, t AS (SELECT *, coalesce(nullif(name, ''), id) AS title FROM gn) SELECT type, CAST(row_number() OVER (PARTITION BY type ORDER BY title, id) AS INTEGER) AS position, '- [[' || title || ']]' AS line FROM t")
@@ -74,14 +70,16 @@ def snk_vault_index(spark, d):
     return X.note_index(graph(spark, d)[0])
 
 
-@query(f"""WITH {GRAPH}, {ATTR}, t AS (SELECT id, type, coalesce(nullif(name, ''), id) AS title FROM gn), u AS (SELECT DISTINCT src, dst, type FROM ge)
-SELECT id, 0 AS section, '---\ntype: ' || type || '\nid: ' || id || '\n---\n# ' || title AS line FROM t
-UNION ALL SELECT DISTINCT id, 1, '- **' || attr || '**: ' || value FROM ax WHERE value IS NOT NULL AND attr <> 'name'
+@query(f"""WITH {GRAPH}, {ATTR}, t AS (SELECT id, type, confidence, coalesce(nullif(name, ''), id) AS title FROM gn), u AS (SELECT DISTINCT src, dst, type FROM ge)
+SELECT id, 0 AS section, '---\ntype: ' || coalesce(type, '') || '\nid: ' || id || coalesce('\nconfidence: ' || printf('%.2f', confidence), '') || '\n---\n# ' || title AS line FROM t
+UNION ALL SELECT DISTINCT id, 1, '- **' || attr || '**: ' || value || coalesce(' (' || printf('%.2f', CASE WHEN isnan(confidence) THEN NULL ELSE confidence END) || ')', '') FROM ax WHERE value IS NOT NULL AND attr <> 'name'
 UNION ALL SELECT src, 2, '- ' || u.type || ' [[' || coalesce(title, dst) || ']]' FROM u LEFT JOIN t ON t.id = dst WHERE src IN (SELECT id FROM gn)
-UNION ALL SELECT dst, 3, '- ' || u.type || ' [[' || coalesce(title, src) || ']]' FROM u LEFT JOIN t ON t.id = src WHERE dst IN (SELECT id FROM gn)""")
+UNION ALL SELECT dst, 3, '- ' || u.type || ' [[' || coalesce(title, src) || ']]' FROM u LEFT JOIN t ON t.id = src WHERE dst IN (SELECT id FROM gn)
+UNION ALL SELECT DISTINCT id, 4, '- ' || f FROM (SELECT id, unnest(source_files) AS f FROM nodes WHERE id IS NOT NULL) WHERE trim(f) <> ''""")
 def snk_vault_notes(spark, d):
     n, e = graph(spark, d)
-    return X.note_lines(n, attributes(spark, d), e)
+    files = table(spark, d, "nodes").where("id is not null").select("id", F.explode("source_files").alias("source_file")).where("trim(source_file) <> ''")
+    return X.note_lines(n, attributes(spark, d).withColumn("confidence", F.when(~F.isnan("confidence"), F.col("confidence"))), e, files)
 
 
 @query(f"""WITH {GRAPH}, deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM ge UNION ALL SELECT dst FROM ge) GROUP BY 1), k AS (SELECT type, row_number() OVER (ORDER BY type) - 1 AS k FROM (SELECT DISTINCT type FROM gn)), m AS (SELECT greatest(max(degree), 1) AS top FROM deg)
@@ -96,11 +94,6 @@ def snk_adjacency(spark, d):
     return X.graph_lines(*graph(spark, d), "adjacency")
 
 
-@query(f"WITH {GRAPH} SELECT 1 AS section, '<node id=\"' || replace(replace(id, '&', '&amp;'), chr(39), '&#x27;') || '\"/>' AS line FROM gn UNION SELECT 3, '<edge source=\"' || replace(replace(src, '&', '&amp;'), chr(39), '&#x27;') || '\" target=\"' || replace(replace(dst, '&', '&amp;'), chr(39), '&#x27;') || '\"/>' FROM ge")
-def snk_graphml(spark, d):
-    return X.graph_lines(*graph(spark, d), "graphml").where("section in (1, 3)")
-
-
 @query()
 def snk_nodes_jsonl(spark, d):
     n = table(spark, d, "nodes").select("id", "type", F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence"), "attributes", "aliases", "source_files")
@@ -124,11 +117,11 @@ def mrg_namespace_union(spark, d):
     return M.namespaced(n, "a", (), ("source_files",)).select("node_key", F.array_join("source_files", ",").alias("source_files"))
 
 
-_ORIGIN = f"WITH {GRAPH}, na AS (SELECT DISTINCT id FROM nodes WHERE node_key % 2 = 0 AND confidence > 0.6), nb AS (SELECT DISTINCT id FROM nodes WHERE node_key % 2 = 1 AND confidence > 0.6), og AS (SELECT id, CASE WHEN id IN (SELECT id FROM na WHERE id IS NOT NULL) THEN CASE WHEN id IN (SELECT id FROM nb WHERE id IS NOT NULL) THEN 'both' ELSE 'a' END WHEN id IN (SELECT id FROM nb WHERE id IS NOT NULL) THEN 'b' ELSE 'new' END AS origin FROM gn)"
+_ORIGIN = f"WITH {GRAPH}, na AS (SELECT DISTINCT id FROM nodes WHERE node_key % 2 = 0), nb AS (SELECT DISTINCT id FROM nodes WHERE node_key % 2 = 1), og AS (SELECT id, CASE WHEN id IN (SELECT id FROM na WHERE id IS NOT NULL) THEN CASE WHEN id IN (SELECT id FROM nb WHERE id IS NOT NULL) THEN 'both' ELSE 'a' END WHEN id IN (SELECT id FROM nb WHERE id IS NOT NULL) THEN 'b' ELSE 'new' END AS origin FROM gn)"
 
 
 def _origin(spark, d):
-    n = table(spark, d, "nodes").where("confidence > 0.6").select("id", "node_key")
+    n = table(spark, d, "nodes").select("id", "node_key")
     return M.provenance(graph(spark, d)[0], n.where("node_key % 2 = 0"), n.where("node_key % 2 = 1"))
 
 
@@ -173,22 +166,6 @@ def llm_task_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", task_id(F.lit("extract"), F.coalesce("text", F.lit("")), F.col("source_file")).alias("task_id"))
 
 
-@query()
-def llm_roundtrip(spark, d):
-    """Documents asked of a model that names the capitalised pairs of words of a text, answers parsed, nodes counted per document."""
-
-    def model(system: str, user: str) -> str:
-        import json
-        import re
-
-        found = sorted(set(re.findall(r"\b[A-Z][a-z]+ [A-Z][a-z]{4,}\b", user)))
-        return "```json\n" + json.dumps({"nodes": [{"id": x, "type": "Person", "confidence": 0.9, "attributes": {"name": {"value": x, "confidence": 0.9}}} for x in found], "edges": []}) + "\n```"
-
-    docs = table(spark, d, "documents").where("text is not null")
-    asked = L.tasks(docs.select(F.lit("extract").alias("system"), F.col("text").alias("user"), "source_file").withColumnRenamed("source_file", "label"))
-    return L.answered(asked, L.ask(asked, model)).select("label", F.size("parsed.nodes").alias("nodes"), "error")
-
-
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_event_counts(spark, d):
     """Extension: the streaming aggregate over the table of events."""

@@ -115,9 +115,10 @@ def gq_components(spark, d):
 
 
 @query(_COMP + """, ids AS (SELECT id FROM gn UNION SELECT src FROM simple UNION SELECT dst FROM simple), c AS (SELECT count(*) AS n, (SELECT count(*) FROM simple) AS m, count(*) - (SELECT count(*) FROM comp) AS alone FROM ids)
-SELECT n AS nodes, m AS edges, round(m / (n * (n - 1.0)), 6) AS density, (SELECT count(DISTINCT component) FROM comp) + alone AS components, round(2.0 * m / n, 2) AS mean_degree, (SELECT count(*) FROM simple WHERE src = dst) AS loops FROM c""")
+SELECT n AS nodes, m AS edges, round(m / (n * (n - 1.0)), 6) AS density, (SELECT count(DISTINCT component) FROM comp) + alone AS components, round(2.0 * m / n, 2) AS mean_degree, (SELECT count(*) FROM simple WHERE src = dst) AS loops,
+(SELECT string_agg(type || '=' || n, '; ' ORDER BY n DESC, type) FROM (SELECT type, count(*) AS n FROM gn GROUP BY 1)) AS types, (SELECT count(DISTINCT f) FROM (SELECT unnest(source_files) AS f FROM nodes WHERE id IS NOT NULL)) AS source_files FROM c""")
 def gq_stats(spark, d):
-    return G.statistics(*graph(spark, d))
+    return G.statistics(*graph(spark, d), table(spark, d, "nodes").where("id is not null").select(F.explode("source_files").alias("source_file")))
 
 
 @query(f"WITH {GRAPH}, {SIMPLE}, h0 AS (SELECT id FROM gn ORDER BY id LIMIT 3), h1 AS (SELECT h0.id AS seed, dst AS id FROM h0 JOIN und ON src = h0.id), h2 AS (SELECT seed, dst AS id FROM h1 JOIN und ON src = h1.id), a AS (SELECT id AS seed, id, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) SELECT seed, id, min(hop) AS hop FROM a GROUP BY 1, 2")
@@ -151,19 +152,14 @@ def gq_shortest_path(spark, d):
     return G.shortest_path(e, t["seed"], t["id"])
 
 
-@query()
-def gq_dfs(spark, d):
-    e = graph(spark, d)[1]
-    a = e.agg(F.min("src")).first()[0]
-    return spark.createDataFrame(list(enumerate(G.depth_first(e, a, 2))), "pos int, id string")
-
-
-MENTIONS = "mn AS (SELECT DISTINCT id, unnest(source_files) AS source_file, 0 AS chunk_index FROM nodes WHERE id IS NOT NULL), m1 AS (SELECT * FROM mn WHERE trim(source_file) <> '')"
+#: The chunk of each of its files that a node stands in: one of those cut earlier, by the length of its id; the first where none were.
+MENTIONS = "cn AS (SELECT source_file, max(chunk_index) + 1 AS n FROM chunks GROUP BY 1), mn AS (SELECT DISTINCT id, unnest(source_files) AS source_file FROM nodes WHERE id IS NOT NULL), m1 AS (SELECT id, source_file, CAST(length(id) % coalesce(n, 1) AS INTEGER) AS chunk_index FROM mn LEFT JOIN cn USING (source_file) WHERE trim(source_file) <> '')"
 
 
 def mentions(spark, d):
-    m = table(spark, d, "nodes").where("id is not null").select("id", F.explode("source_files").alias("source_file"), F.lit(0).alias("chunk_index")).distinct()
-    return m.where("trim(source_file) <> ''")
+    m = table(spark, d, "nodes").where("id is not null").select("id", F.explode("source_files").alias("source_file")).distinct().where("trim(source_file) <> ''")
+    n = table(spark, d, "chunks").groupBy("source_file").agg((F.max("chunk_index") + 1).alias("n"))
+    return m.join(n, "source_file", "left").select("id", "source_file", (F.length("id") % F.coalesce("n", F.lit(1))).cast("int").alias("chunk_index"))
 
 
 @query(f"WITH {GRAPH}, {MENTIONS}, b AS (SELECT g.src, g.dst, s.source_file FROM ge g JOIN m1 s ON s.id = g.src JOIN m1 t ON t.id = g.dst AND t.source_file = s.source_file ORDER BY ALL LIMIT 1), k AS (SELECT m1.source_file, chunk_index, bool_or(id = b.src) AND bool_or(id = b.dst) AS exact FROM m1, b WHERE id IN (b.src, b.dst) GROUP BY 1, 2) SELECT * FROM k WHERE exact = (SELECT bool_or(exact) FROM k) ORDER BY source_file LIMIT 3")
@@ -174,13 +170,6 @@ def gq_edge_chunks(spark, d):
     return G.source_chunks(m, r["src"], r["dst"])
 
 
-@query()
-def str_excerpt(spark, d):
-    """Excerpts of every document around the mentions of three roles."""
-    docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", G.excerpt(F.col("text"), F.array(F.lit("manager"), F.lit("director"), F.lit("trainerin"))).alias("excerpt"))
-
-
 @query("SELECT id, coalesce(nullif(attributes['name'].value, ''), nullif(attributes['subject'].value, ''), nullif(attributes['title'].value, ''), id) AS name FROM nodes")
 def prj_display_name(spark, d):
     return table(spark, d, "nodes").select("id", display_name(F.col("attributes"), F.col("id")).alias("name"))
@@ -189,7 +178,13 @@ def prj_display_name(spark, d):
 # the ontology
 
 
-@query(_TREE.replace("path) AS (", "up) AS (").replace("0, type FROM one a", "0, [type] FROM one a").replace("t.path || ' > ' || c.type", "list_append(t.up, c.type)").rstrip() + """, atr AS (SELECT session_id, type, arg_min(attributes, pos) AS a FROM concepts WHERE attributes IS NOT NULL GROUP BY 1, 2),
+_WALK = """WITH RECURSIVE one AS (SELECT session_id, type, min(parent) AS parent FROM concepts WHERE type IS NOT NULL GROUP BY 1, 2),
+w(session_id, type, above, up) AS (SELECT session_id, type, parent, [type] FROM one
+  UNION ALL SELECT w.session_id, w.type, o.parent, list_append(w.up, o.type) FROM w JOIN one o ON o.session_id = w.session_id AND o.type = w.above WHERE NOT list_contains(w.up, o.type)),
+tree AS (SELECT session_id, type, list_reverse(arg_max(up, len(up))) AS up FROM w GROUP BY 1, 2)"""
+
+
+@query(_WALK + """, atr AS (SELECT session_id, type, arg_min(attributes, pos) AS a FROM concepts WHERE attributes IS NOT NULL GROUP BY 1, 2),
 x AS (SELECT session_id, type, unnest(up) AS anc, generate_subscripts(up, 1) AS k FROM tree)
 SELECT x.session_id, x.type, array_to_string(flatten(list(coalesce(atr.a, []) ORDER BY k)), '|') AS attributes FROM x LEFT JOIN atr ON atr.session_id = x.session_id AND atr.type = x.anc GROUP BY 1, 2""")
 def sch_flatten(spark, d):
@@ -197,7 +192,7 @@ def sch_flatten(spark, d):
     return O.flatten(c).select("session_id", "type", F.array_join("attributes", "|").alias("attributes"))
 
 
-@query(_TREE.replace("path) AS (", "up) AS (").replace("0, type FROM one a", "0, [type] FROM one a").replace("t.path || ' > ' || c.type", "list_append(t.up, c.type)").rstrip() + " SELECT session_id, type, unnest(up) AS ancestor FROM tree")
+@query(_WALK + " SELECT session_id, type, unnest(up) AS ancestor FROM tree")
 def sch_ancestors(spark, d):
     return O.ancestors(table(spark, d, "concepts"))
 
@@ -216,25 +211,14 @@ def sch_merge_proposals(spark, d):
     return m.select("key", "type", "sessions", F.size("attributes").cast("long").alias("attributes"))
 
 
-_PAIR = "props AS (SELECT DISTINCT e.type AS name, n.type AS domain, m.type AS range FROM edges e JOIN (SELECT DISTINCT id, type FROM nodes) n ON n.id = e.\"from\" JOIN (SELECT DISTINCT id, type FROM nodes) m ON m.id = e.\"to\" WHERE e.type IN ('leads', 'owns'))"
-_ANC = "anc(type, a) AS (SELECT DISTINCT type, type FROM concepts UNION SELECT c.type, x.a FROM concepts c JOIN anc x ON x.type = c.parent WHERE c.session_id = (SELECT max(session_id) FROM concepts))"
-
-
-@query(f"WITH RECURSIVE {_ANC}, {_PAIR} SELECT DISTINCT x.type AS a, y.type AS b FROM props p JOIN anc x ON x.a = p.domain JOIN anc y ON y.a = p.range UNION SELECT DISTINCT y.type, x.type FROM props p JOIN anc x ON x.a = p.domain JOIN anc y ON y.a = p.range")
-def sch_compatible_pairs(spark, d):
-    c = table(spark, d, "concepts")
-    last = c.agg(F.max("session_id")).first()[0]
-    links = c.select("type").distinct().select("type", F.lit(None).cast("string").alias("parent")).unionByName(c.where(F.col("session_id") == last).select("type", "parent"))
-    return O.compatible(O.closure(links), properties(spark, d).where("name in ('leads', 'owns')"))
-
-
-@query()
+_PAIR = "props AS (SELECT DISTINCT e.type AS name, n.type AS domain, m.type AS range FROM edges e JOIN (SELECT DISTINCT id, type FROM nodes) n ON n.id = e.\"from\" JOIN (SELECT DISTINCT id, type FROM nodes) m ON m.id = e.\"to\")"
+@query("WITH RECURSIVE l AS (SELECT DISTINCT session_id, type, parent FROM concepts), anc(session_id, type, a) AS (SELECT DISTINCT session_id, type, type FROM l UNION SELECT l.session_id, l.type, l.parent FROM l WHERE l.parent IS NOT NULL UNION SELECT l.session_id, l.type, x.a FROM l JOIN anc x ON x.type = l.parent AND x.session_id = l.session_id), " + _PAIR + ", dr AS (SELECT DISTINCT domain, range FROM props) SELECT DISTINCT x.session_id, x.type AS a, y.type AS b FROM dr p JOIN anc x ON x.a = p.domain JOIN anc y ON y.a = p.range AND y.session_id = x.session_id UNION SELECT DISTINCT x.session_id, y.type, x.type FROM dr p JOIN anc x ON x.a = p.domain JOIN anc y ON y.a = p.range AND y.session_id = x.session_id")
 def sch_compatible_all(spark, d):
-    """Of all properties, through all parent links of each session; hierarchies of different sessions don't mix. No SQL: tested against brute force."""
+    """Of all properties, through all parent links of each session; hierarchies of different sessions don't mix."""
     return O.compatible(O.closure(table(spark, d, "concepts"), ("session_id",)), properties(spark, d), ("session_id",))
 
 
-@query("SELECT domain AS type, string_agg(name || ' -> ' || range, '; ' ORDER BY name, range) AS outgoing FROM (SELECT DISTINCT e.type AS name, n.type AS domain, m.type AS range FROM edges e JOIN (SELECT DISTINCT id, type FROM nodes) n ON n.id = e.\"from\" JOIN (SELECT DISTINCT id, type FROM nodes) m ON m.id = e.\"to\") GROUP BY 1")
+@query("WITH p AS (SELECT DISTINCT e.type AS name, n.type AS domain, m.type AS range FROM edges e JOIN (SELECT DISTINCT id, type FROM nodes) n ON n.id = e.\"from\" JOIN (SELECT DISTINCT id, type FROM nodes) m ON m.id = e.\"to\"), b AS (SELECT domain AS type, name || ' -> ' || range AS o, NULL AS i, name, range AS other FROM p UNION ALL SELECT range, NULL, name || ' <- ' || domain, name, domain FROM p) SELECT type, string_agg(o, '; ' ORDER BY name, other) AS outgoing, string_agg(i, '; ' ORDER BY name, other) AS incoming FROM b GROUP BY 1")
 def sch_edge_listing(spark, d):
     return O.edge_listing(properties(spark, d))
 
@@ -255,7 +239,7 @@ def strong_edges(spark, d):
     return graph(spark, d)[1].join(e.select("id"), "id", "left_semi")
 
 
-_CAND = f"""WITH {GRAPH}, {WEAK}, {MENTIONS}, co AS (SELECT a.id AS orphan, b.id AS peer, count(*) AS shared FROM m1 a JOIN orp o ON o.id = a.id JOIN m1 b ON b.source_file = a.source_file AND b.id <> a.id GROUP BY 1, 2),
+_CAND = f"""WITH {GRAPH}, {WEAK}, {MENTIONS}, co AS (SELECT a.id AS orphan, b.id AS peer, count(*) AS shared FROM m1 a JOIN orp o ON o.id = a.id JOIN m1 b ON b.source_file = a.source_file AND b.chunk_index = a.chunk_index AND b.id <> a.id GROUP BY 1, 2),
 big AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM m1 GROUP BY id)), tp AS (SELECT DISTINCT x.type AS a, y.type AS b FROM ge JOIN gn x ON x.id = src JOIN gn y ON y.id = dst),
 ok AS (SELECT co.* FROM co JOIN gn x ON x.id = orphan JOIN gn y ON y.id = peer WHERE EXISTS (SELECT 1 FROM tp WHERE (a = x.type AND b = y.type) OR (a = y.type AND b = x.type)))"""
 
@@ -289,14 +273,14 @@ def orp_unresolvable(spark, d):
     return P.unresolvable(o, m)
 
 
-_INC = f"WITH {GRAPH}, {MENTIONS}, p AS (SELECT DISTINCT e.type AS name, n.type AS kind FROM ge e JOIN gn n ON n.id IN (e.src, e.dst) WHERE e.type IN ('owns', 'depends_on')), s AS (SELECT p.name, m1.source_file, m1.chunk_index, count(*) AS score FROM p JOIN gn ON gn.type = p.kind JOIN m1 ON m1.id = gn.id GROUP BY 1, 2, 3)"
+_INC = f"WITH {GRAPH}, {MENTIONS}, p AS (SELECT DISTINCT e.type AS name, n.type AS kind FROM ge e JOIN gn n ON n.id IN (e.src, e.dst)), s AS (SELECT p.name, m1.source_file, m1.chunk_index, count(*) AS score FROM p JOIN gn ON gn.type = p.kind JOIN m1 ON m1.id = gn.id GROUP BY 1, 2, 3)"
 
 
 @query(_INC + " SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, source_file, chunk_index) <= 5")
 def inc_surgical_topk(spark, d):
     n, e = graph(spark, d)
     t = n.select("id", "type")
-    p = e.where("type in ('owns', 'depends_on')").select(F.col("type").alias("name"), F.explode(F.array("src", "dst")).alias("id")).join(t, "id").select("name", F.col("type").alias("kind")).distinct()
+    p = e.select(F.col("type").alias("name"), F.explode(F.array("src", "dst")).alias("id")).join(t, "id").select("name", F.col("type").alias("kind")).distinct()
     return P.surgical_chunks(p, t, mentions(spark, d), 5)
 
 

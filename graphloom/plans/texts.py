@@ -45,10 +45,16 @@ def src_route(spark, d):
     return table(spark, d, "documents").select("source_file", S.route(F.col("source_file")).alias("route"))
 
 
-@query("""SELECT source_file, 'notes.example_8080/' || regexp_replace(regexp_replace(source_file, '[^A-Za-z0-9._/-]', '_', 'g'), '\\.[A-Za-z0-9]{1,5}$', '') || '_' || left(sha1('https://user@Notes.example:8080/./' || source_file || '?v=' || doc_id), 8) || '.html' AS path FROM documents""")
+@query("""WITH u AS (SELECT doc_id, source_file, doc_id % 3 AS q, CASE doc_id % 4 WHEN 0 THEN '/./x/../' || source_file WHEN 1 THEN '/' || regexp_replace(source_file, '\\.[^./]*$', '') WHEN 2 THEN '/' || regexp_replace(source_file, '[^/]*$', '') ELSE '' END AS path FROM documents),
+b AS (SELECT *, CASE WHEN doc_id % 4 = 3 THEN 'index' WHEN doc_id % 4 = 2 THEN source_file[:length(source_file) - length(regexp_extract(source_file, '[^/]*$'))] || 'index' WHEN doc_id % 4 = 1 THEN regexp_replace(source_file, '\\.[^./]*$', '') ELSE 'x/' || source_file END AS base FROM u)
+SELECT doc_id, CASE WHEN q = 0 THEN regexp_replace(base, '\\.[^./]*$', '') || '-' || left(sha1('v=' || doc_id), 8) || '.html' WHEN doc_id % 4 = 0 THEN regexp_replace(base, '\\.[^./]*$', '') || '-' || left(sha1(path), 8) || '.html' ELSE base || '.html' END AS page,
+CASE WHEN doc_id % 4 = 0 THEN CASE WHEN q = 0 THEN regexp_replace(base, '\\.[^./]*$', '') || '-' || left(sha1('v=' || doc_id), 8) || '.md' ELSE base END ELSE CASE WHEN q = 0 THEN base || '-' || left(sha1('v=' || doc_id), 8) || '.pdf' ELSE base || '.pdf' END END AS file FROM b""")
 def src_url_local_path(spark, d):
-    url = F.concat(F.lit("https://user@Notes.example:8080/./"), F.col("source_file"), F.lit("?v="), F.col("doc_id").cast("string"))
-    return table(spark, d, "documents").select("source_file", S.local_path(url).alias("path"))
+    """Addresses made of the files' names: with their ending, without it, folders and the bare host, a third with a query; kept as pages and as PDF."""
+    docs, name, k = table(spark, d, "documents"), F.col("source_file"), F.col("doc_id") % 4
+    path = F.when(k == 0, F.concat(F.lit("/./x/../"), name)).when(k == 1, F.concat(F.lit("/"), F.regexp_replace(name, r"\.[^./]*$", ""))).when(k == 2, F.concat(F.lit("/"), F.regexp_replace(name, "[^/]*$", ""))).otherwise("")
+    url = F.concat(F.lit("https://user@Notes.example:8080"), path, F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("?v="), F.col("doc_id").cast("string"))).otherwise(""))
+    return docs.select("doc_id", S.local_path(url, F.lit("text/html; charset=utf-8")).alias("page"), S.local_path(url, F.lit("application/pdf")).alias("file"))
 
 
 @query()
@@ -92,7 +98,7 @@ def chk_pack_per_file(spark, d):
     return C.pack(_chunk_sizes(spark, d), ["source_file"], ["chunk_index"], "tokens", 450)
 
 
-@query()
+@query("WITH " + _packed(WINDOWS + ", it AS (SELECT 0 AS one, source_file, chunk_index, token_end - token_start AS tokens FROM ch)", "one", "source_file, chunk_index").replace("450", "4000") + " SELECT source_file, chunk_index, tokens, batch FROM p JOIN i USING (one, k)")
 def chk_pack_pooled(spark, d):
     return C.pack_pooled(_chunk_sizes(spark, d), ["source_file", "chunk_index"], "tokens", 4000)
 

@@ -15,7 +15,7 @@ from graphloom.sources.files import read_session
 
 
 class Session:
-    """nodes, edges, concepts and properties of a session folder, or of given tables; every method returns a lazy DataFrame."""
+    """nodes, edges, concepts and properties of a session folder, or of given tables. Every method returns DataFrames; stats, context and path_between run jobs to make them."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, tables: dict[str, DataFrame] | None = None):
         self.spark, self.path = spark, path
@@ -27,6 +27,7 @@ class Session:
         self.nodes, self.concepts, self.properties = t["nodes"], t.get("concepts"), t.get("properties")
         name = F.try_element_at("attributes", F.lit("name")).getField("value")
         self.entities = self.nodes.select("id", "type", name.alias("name"), "confidence")
+        self.mentions, self.chunks, self.raw_edges = t.get("mentions"), t.get("chunks"), t["edges"]
         self.edges = t["edges"].select("id", "type", F.col("from").alias("src"), F.col("to").alias("dst"), "confidence", "method")
         own = self.nodes.select("id", "type", name.alias("name"))
         self.names = own.unionByName(self.nodes.select("id", "type", F.explode("aliases").alias("name"))).where("name is not null")
@@ -44,15 +45,60 @@ class Session:
     def path_between(self, a: str, b: str, most: int = 5) -> DataFrame:
         return G.shortest_path(self.edges, a, b, most)
 
+    def path_edges(self, a: str, b: str, most: int = 5) -> DataFrame:
+        return G.path_edges(self.path_between(a, b, most), self.edges)
+
+    def neighbor_summaries(self, node_id: str, direction: str = "both", kind: str | None = None, limit: int = 50) -> DataFrame:
+        return G.neighbour_summaries(self.neighbors(node_id, direction, kind, limit), self.entities)
+
     def subgraph(self, ids: list[str] | None = None, types: list[str] | None = None, least: float = 0.0) -> tuple[DataFrame, DataFrame]:
         return G.subgraph(self.entities, self.edges, ids, types, least)
 
     def stats(self) -> DataFrame:
-        return G.statistics(self.entities, self.edges)
+        return G.statistics(self.entities, self.edges, self.nodes.select(F.explode("source_files").alias("source_file")))
 
     def context(self, question: str, depth: int = 2) -> DataFrame:
         return G.within(self.edges, G.context_seeds(self.names, self.attributes, question).select("id"), depth)
 
+    def context_text(self, question: str, mode: str = "bfs", depth: int = 2, budget: int = 2000) -> DataFrame:
+        seeds = [r["id"] for r in G.context_seeds(self.names, self.attributes, question).collect()]  # three at most
+        return G.context_text(self.entities, self.attributes, self.edges, seeds, question, mode, depth, budget)
+
+    def source(self, node: str | None = None, edge: str | None = None, most: int = 3) -> DataFrame:
+        """Excerpts of the chunks that a node, or both ends of an edge, stand in: needs the tables mentions and chunks."""
+        if (node is None) == (edge is None):
+            raise ValueError("either a node or an edge must be named")
+        if self.mentions is None or self.chunks is None:
+            raise ValueError("this session has no tables of mentions and chunks")
+        ends = None
+        if edge is not None:
+            r = self.edges.where(F.col("id") == edge).select("src", "dst").first()
+            if r is None:
+                raise ValueError(f"no edge {edge}")
+            ends = (r["src"], r["dst"])
+        return G.source_excerpts(self.mentions, self.chunks, self.names, node, ends, most)
+
+    def export(self, folder: str) -> dict[str, list[str]]:
+        """Writes nodes and edges as JSON lines, Turtle, and a CSV bundle below a folder; returns the columns of the bundle."""
+        X.write_json(self.nodes, f"{folder}/nodes.jsonl")
+        X.write_text(self.turtle(), f"{folder}/graph.ttl")
+        up = self.concepts.select("type", F.lit("").alias("session_id"), "parent") if self.concepts is not None else self.spark.createDataFrame([], "type string, session_id string, parent string")
+        from graphloom.operators.ontology import parents
+
+        nodes = X.node_properties(self.nodes, self.attributes.select("id", "attr", "value", "confidence"), parents(up))
+        edges = X.edge_properties(self.raw_edges.withColumnsRenamed({"from": "src", "to": "dst"}), self.raw_edges.select("id", F.explode("attributes").alias("attr", "a")).select("id", "attr", "a.value", "a.confidence"))
+        return X.write_csv_bundle(nodes, edges, f"{folder}/csv")
+
+    def merge(self, other: Session, names: tuple[str, str] = ("session_a", "session_b")) -> Session:
+        """A session of both graphs: nodes and edges of either, their files under the session's name; of equal ids the one of higher confidence."""
+        from graphloom.operators.merge import namespaced
+        from graphloom.operators.orphans import appended
+
+        parts = [[namespaced(t, n, (), ("source_files",)) for t in (s.nodes, s.raw_edges)] for s, n in zip((self, other), names)]
+        nodes, edges = (appended(a, b.select(a.columns), ["id"], "confidence") for a, b in zip(*parts))
+        schema = {k: a.unionByName(b).dropDuplicates([key]) for k, key, a, b in (("concepts", "type", self.concepts, other.concepts), ("properties", "name", self.properties, other.properties)) if a is not None and b is not None}
+        return Session(self.spark, tables={"nodes": nodes, "edges": edges, **schema})
+
     def hubs(self, top: int = 10) -> DataFrame:
         return G.hubs(self.edges, top)
 
@@ -60,7 +106,7 @@ class Session:
         return G.orphans(self.entities, self.edges)
 
     def types(self) -> DataFrame:
-        return self.entities.groupBy("type").agg(F.count("*").alias("n"), F.min("id").alias("sample"))
+        return G.type_counts(self.entities).orderBy(F.desc("n"), "type")
 
     def schema(self) -> DataFrame:
         return self.concepts
@@ -71,7 +117,7 @@ class Session:
 
     def turtle(self) -> DataFrame:
         alias = self.nodes.select("id", F.explode("aliases").alias("alias"))
-        return X.schema_turtle(self.concepts, self.properties).unionByName(X.graph_turtle(self.entities, self.attributes, alias, X.declared_relations(self.edges, self.properties)))
+        return X.turtle_prefixes(self.spark).unionByName(X.schema_turtle(self.concepts, self.properties)).unionByName(X.graph_turtle(self.entities, self.attributes, alias, X.declared_relations(self.edges, self.properties)))
 
 
 def list_sessions(spark: SparkSession, root: str) -> DataFrame:
@@ -116,15 +162,17 @@ class Build:
         return fs.exists(p)
 
     def _set(self, stage: str, state: str) -> None:
-        """Writes the state beside the tables: to a new file that then takes the old one's place."""
+        """Writes the state beside the tables: to a new file that then takes the old one's place at once."""
         self.state[stage] = state
         fs, new = self._fs(f"{self.root}/state.json.new")
         _, old = self._fs(f"{self.root}/state.json")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        replace = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        replace[0] = hadoop.Options.Rename.OVERWRITE
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(self.state).encode()))
         out.close()
-        fs.delete(old, False)
-        fs.rename(new, old)
+        hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(old), replace)
 
     def approve(self, stage: str) -> None:
         self._set(stage, "approved")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ATTRIBUTE = "struct<value:string,confidence:double>"
 NODE = f"id string, type string, confidence double, attributes map<string,{ATTRIBUTE}>, aliases array<string>, source_files array<string>"
@@ -127,30 +130,107 @@ def markdown_to_html(text: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+#: Endings by content type, for addresses without one.
+ENDINGS = {"application/pdf": ".pdf", "application/json": ".json", "application/xml": ".xml", "application/zip": ".zip", "image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/svg+xml": ".svg", "text/plain": ".txt", "text/css": ".css", "text/csv": ".csv", "text/markdown": ".md"}
+#: Endings that are taken for one; what else follows a dot, such as a number, belongs to the name.
+KNOWN_ENDINGS = ("css", "csv", "doc", "docx", "gif", "gz", "htm", "html", "jpeg", "jpg", "js", "json", "md", "mp3", "mp4", "odt", "pdf", "png", "ppt", "pptx", "svg", "tar", "txt", "webp", "xls", "xlsx", "xml", "zip")
+
+
 def local_path(url: Column, content_type: Column | None = None) -> Column:
-    """Where a page is kept: host and path, safe of parents and odd letters; pages end in .html, queries add eight digits of a hash."""
-    host = F.replace(F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("AUTHORITY"))), "^[^@]*@", ""), F.lit(":"), F.lit("_"))
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", ".", ".."))
-    safe = F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, "[^A-Za-z0-9._-]", "_")), "/")
-    safe = F.when((safe == "") | path.endswith("/"), F.concat(safe, F.when(safe == "", "").otherwise("/"), F.lit("index.html"))).otherwise(safe)
-    page = F.lit(True) if content_type is None else content_type.startswith("text/html")
-    ext = F.regexp_extract(safe, r"\.([A-Za-z0-9]{1,5})$", 1)
-    hashed = F.concat(F.lit("_"), F.substring(F.sha1(url), 1, 8))
-    q = F.try_parse_url(url, F.lit("QUERY"))
-    base = F.when(page & ~ext.isin("html", "htm"), F.concat(F.regexp_replace(safe, r"\.[A-Za-z0-9]{1,5}$", ""), F.when((ext != "") | q.isNotNull(), hashed).otherwise(""), F.lit(".html"))).when(q.isNotNull(), F.concat(F.regexp_replace(safe, r"\.[A-Za-z0-9]{1,5}$", ""), hashed, F.lit("."), ext)).otherwise(safe)
-    return F.concat(host, F.lit("/"), base)
+    """Where a page or file is kept below the output's folder: its path, without parts that could lead out of it.
+
+    Pages end in .html; a path that ends in a slash is an index. Where an ending had to go, a hyphen and eight digits of the
+    path's hash tell such pages apart; a query adds those of its own hash. Other files keep their ending if it is a known
+    one, else that of their content type is added.
+    """
+    path = F.coalesce(F.nullif(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
+    query = F.nullif(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
+    whole = F.when(path.endswith("/"), F.concat(F.regexp_replace(path, "/+$", ""), F.lit("/index"))).otherwise(path)
+    safe = F.array_join(F.filter(F.split(whole, "/"), lambda p: ~p.isin("", ".", "..")), "/")
+    base = F.when(safe == "", "index").otherwise(safe)
+    mark = lambda x: F.concat(F.lit("-"), F.substring(F.sha1(x), 1, 8))
+    ended = base.rlike(r"\.[^/]*$")
+    stem = F.regexp_replace(base, r"\.[^./]*$", "")
+    page = F.concat(stem, F.when(query.isNotNull(), mark(query)).when(ended, mark(path)).otherwise(""), F.lit(".html"))
+    if content_type is None:
+        return page
+    kind = F.lower(F.trim(F.split_part(content_type, F.lit(";"), F.lit(1))))
+    known = F.lower(F.regexp_extract(base, r"[^/]\.([^./]+)$", 1)).isin(*KNOWN_ENDINGS)
+    name = F.when(known, base).otherwise(F.concat(base, ending_of(content_type)))
+    marked = F.when(name.rlike(r"\.[^/]*$"), F.concat(F.regexp_replace(name, r"\.[^./]*$", ""), mark(query), F.lit("."), F.regexp_extract(name, r"\.([^./]*)$", 1))).otherwise(F.concat(name, mark(query)))
+    return F.when(kind == "text/html", page).when(query.isNotNull(), marked).otherwise(name)
+
+
+def ending_of(content_type: Column) -> Column:
+    """The ending of a file by its content type, empty if that is not among ENDINGS."""
+    kind = F.lower(F.trim(F.split_part(content_type, F.lit(";"), F.lit(1))))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv]), kind), F.lit(""))
 
 
 def asset_wanted(content_type: Column, url: Column) -> Column:
     return content_type.startswith("text/") | content_type.isin("application/pdf", "application/xhtml+xml") | F.lower(url).rlike(r"\.(html?|md|txt|pdf)$")
 
 
+def already_fetched(now: DataFrame, before: DataFrame) -> DataFrame:
+    """The rows of now whose address was fetched before with the same hash (url, sha256): their text need not be read again, their links are followed all the same."""
+    return now.join(before.select("url", "sha256").distinct(), ["url", "sha256"], "left_semi")
+
+
 def code_host(url: Column) -> Column:
     """owner/repository of an address of a code host's repository, else null."""
     return F.nullif(F.regexp_extract(url, r"^https?://(?:www\.)?github\.com/([^/?#]+/[^/?#]+?)(?:\.git)?(?:[/?#]|$)", 1), F.lit(""))
 
 
+def crawl_depth(url: Column) -> Column:
+    """How deep a crawl goes from an address where nothing is said: 2 for a repository, 1 for a site or folder, 0 for a single page."""
+    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    return F.when(code_host(url).isNotNull(), 2).when((path == "") | path.endswith("/"), 1).otherwise(0)
+
+
+def repository_file(path: Column) -> Column:
+    """Whether a file of a repository is worth reading: documents outside hidden and vendored folders."""
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return ~path.rlike(r"(^|/)\.") & ~path.rlike(r"(^|/)(node_modules|vendor|dist|build)/") & ext.isin("md", "markdown", "txt", "rst", "html", "pdf")
+
+
+def migrated(entries: DataFrame) -> DataFrame:
+    """source_file, content, sha256, token_count of a manifest's entries (JSON): an object with these, or the text alone, of which they are computed."""
+    text, whole = F.from_json(F.concat(F.lit("["), "entry", F.lit("]")), "array<string>")[0], F.from_json("entry", "struct<content:string,sha256:string,token_count:int>")
+    old = manifest(entries.where("entry like '\"%'").select("source_file", text.alias("content")))
+    return entries.where("entry like '{%'").select("source_file", whole.alias("e")).select("source_file", "e.*").unionByName(old)
+
+
+def conversion_state(current: DataFrame, before: DataFrame, outputs: DataFrame) -> DataFrame:
+    """source_file, what of two runs' hashes (source_file, sha256) and the outputs that exist: keep where the hash is the same and the output there, else convert; remove where the source is gone."""
+    j = current.select("source_file", F.col("sha256").alias("now")).join(before.select("source_file", F.col("sha256").alias("then")), "source_file", "full").join(outputs.select("source_file", F.lit(True).alias("there")).distinct(), "source_file", "left")
+    return j.select("source_file", F.when(F.col("now").isNull(), "remove").when((F.col("now") == F.col("then")) & F.col("there"), "keep").otherwise("convert").alias("what"))
+
+
+def converted(rows: DataFrame, converters: dict[str, Callable[[str], str]]) -> DataFrame:
+    """rows (route, content and more) with their content as text, and failure: texts and Markdown pass, HTML is read, other kinds go through the converters given. A file that fails has no content and says why; the others go on."""
+    schema = T.StructType([*[f for f in rows.schema if f.name not in ("route", "content")], T.StructField("content", T.StringType()), T.StructField("failure", T.StringType())])
+    kept = [f.name for f in schema if f.name not in ("content", "failure")]
+    known = {"html": markdown_of, **converters}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, failures = [], []
+            for kind, content in zip(b.column("route").to_pylist(), b.column("content").to_pylist()):
+                text, failure = content, None
+                if kind not in ("text", "markdown"):
+                    try:
+                        text = known[kind](content)
+                    except KeyError:
+                        text, failure = None, f"no converter for {kind}"
+                    except Exception as e:  # one file's failure is a row
+                        text, failure = None, f"{type(e).__name__}: {e}"
+                texts.append(text)
+                failures.append(failure)
+            yield pa.RecordBatch.from_arrays([*b.select(kept).columns, pa.array(texts, pa.string()), pa.array(failures, pa.string())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def url_list(lines: DataFrame) -> DataFrame:
     """url: the lines (value) that are neither blank nor comments, once each."""
     return lines.select(F.trim("value").alias("url")).where("url <> '' and url not like '#%'").distinct()
@@ -167,10 +247,10 @@ def crawl_order(links: DataFrame, seeds: DataFrame, depth: int, same_host: bool
 
 
 def read_run_log(lines: DataFrame) -> DataFrame:
-    """clock, level, logger, message of lines (value) like 'HH:MM:SS [LEVEL] logger — message'; other lines are left out."""
+    """clock, level, logger, message, and all other columns, of lines (value) like 'HH:MM:SS [LEVEL] logger — message'; other lines are left out."""
     p = r"^(\d{2}:\d{2}:\d{2}) \[(\w+)\] (\S+) — (.*)$"
     cols = [F.regexp_extract("value", p, i).alias(c) for i, c in enumerate(("clock", "level", "logger", "message"), 1)]
-    return lines.select(*cols).where("clock <> ''")
+    return lines.select(*[c for c in lines.columns if c != "value"], *cols).where("clock <> ''")
 
 
 def read_call_log(spark: SparkSession, path: str) -> DataFrame:

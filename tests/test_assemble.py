@@ -17,7 +17,7 @@ def test_identity(spark):
     assert one(spark, "?!", lambda x: stable_id(F.lit("T"), x)) == "t-"
     assert len(one(spark, "a", lambda x: edge_key(x, x, x))) == 64
     assert [one(spark, t, snake) for t in ("worksAt", "part of-X")] == ["works_at", "part_of_x"]
-    assert one(spark, "HTTPServer2 x", label_name) == "HttpServer2X" and one(spark, "worksAt", relation_name) == "WORKS_AT" and one(spark, "", label_name) == "Entity" and one(spark, "1a", relation_name) == "_1_A"
+    assert one(spark, "HTTPServer2 x", label_name) == "HttpServer2X" and one(spark, "worksAt", relation_name) == "WORKS_AT" and one(spark, "", label_name) == "" and one(spark, "12 1a bC", label_name) == "ABC" and one(spark, "1a", relation_name) == "1_A"
     assert one(spark, "```json\n{}\n```", without_fence) == "{}" and one(spark, 3725, duration, "int") == "1h 02m 05s"
 
 
@@ -79,5 +79,36 @@ def test_recover(spark):
     kinds, props = spark.createDataFrame([("P",)], "type string"), spark.createDataFrame([("knows",)], "type string")
     n, e = V.recover(nodes, edges, kinds, props)
     assert sorted((r.source_file, r.raw_id) for r in n.collect()) == [("f", "a"), ("f", "b")] and e.count() == 1
-    rules = {r.rule for r in V.extraction_errors(nodes, edges, kinds, props).collect()}
-    assert rules == {"undeclared node type", "undeclared edge type", "no confidence"}
+    rules = {(r.source_file, r.rule) for r in V.extraction_errors(nodes, edges, kinds, props).collect()}
+    assert rules == {("f", "undeclared node type"), ("f", "undeclared edge type"), ("f", "no confidence"), ("g", "unknown target")}  # b is a node of f only
+    prior = spark.createDataFrame([("g", "b")], "source_file string, raw_id string")
+    assert "unknown target" not in {r.rule for r in V.extraction_errors(nodes.withColumn("attributes", F.lit(None)), edges, kinds, props, prior).where("rule <> 'no attributes'").collect()}
+    assert V.extraction_errors(nodes.withColumn("attributes", F.lit(None)), edges, kinds, props).where("rule = 'no attributes'").count() == 5
+    answers = spark.createDataFrame([("a", '{"nodes": [], "edges": []}'), ("b", '{"nodes": [], "x": 1}'), ("c", "[1]"), ("d", None)], "label string, answer string")
+    assert {tuple(r) for r in V.structure_errors(answers).collect()} == {("b", "missing key", "edges"), ("b", "unexpected key", "x"), ("c", "no object", None), ("d", "no object", None)}
+
+
+def test_name_cycles_are_exact(spark):
+    m = spark.createDataFrame([("P", "bob", "Bob"), ("P", "Bob", "Robert"), ("P", "x", "y"), ("P", "y", "x"), ("P", "z", " x")], "type string, alias string, canonical string")
+    assert sorted(r.alias for r in A.drop_cycles(m).collect()) == ["Bob", "bob", "z"]
+
+
+def test_merge_log_counts_what_was_joined(spark):
+    rows = [("g", "f", 0, "Ann Lee", 1.0, True), ("g", "f", 1, "Bob", 1.0, True), ("g", "f", 2, "Ann", 0.4, True), ("h", "f", 0, "x", 0.5, True), ("h", "f", 1, "y", 0.6, True)]
+    df = spark.createDataFrame(rows, "stable_id string, source_file string, pos int, value string, confidence double, is_text boolean")
+    log = A.merge_log(df, A.merge_attributes(df, ["stable_id"]), ["stable_id"], "stable_id").collect()
+    assert {r.stable_id: (r.winning, r.losing, r.concatenated) for r in log} == {"g": (0, 1, 2), "h": (1, 1, 0)}  # "Ann" lost, though the result contains it
+
+
+def test_assembly(spark):
+    nodes = spark.createDataFrame([("a", 0, "n1", "P", "Bobby", "0.5", ["B."]), ("a", 1, "n2", "O", "Zet", "1", None), ("b", 0, "n9", "P", "Robert", "0.9", None)], "source_file string, pos int, raw_id string, type string, name string, confidence string, aliases array<string>")
+    attrs = spark.createDataFrame([("a", 0, "job", "smith", 0.4, True), ("b", 0, "job", "baker", 0.8, True)], "source_file string, pos int, attr string, value string, confidence double, is_text boolean")
+    edges = spark.createDataFrame([("a", 0, "at", "n1", "n2", 0.5), ("b", 0, "at", "n9", "zet", 0.7), ("b", 1, "at", "n9", "lost", 0.7)], "source_file string, pos int, type string, src string, dst string, confidence double")
+    extra = spark.createDataFrame([("a", 0, "since", "2020", 0.5, True), ("b", 0, "since", "2021", 0.6, True)], attrs.schema)
+    norm = spark.createDataFrame([("P", "bobby", "Robert")], "type string, alias string, canonical string")
+    prior = spark.createDataFrame([("synonym_collapse", "o-x"), ("node_merge", "o-y")], "event string, id string")
+    out = A.assemble(nodes, attrs, edges, extra, norm, prior, "max")
+    assert {r.stable_id: (r.confidence, r.aliases) for r in out["nodes"].collect()} == {"p-robert": (0.9, ["B.", "bobby"]), "o-zet": (1.0, None)}
+    assert [(r.src, r.dst, r.confidence, r.occurrences) for r in out["edges"].collect()] == [("p-robert", "o-zet", 0.7, 2)]
+    assert [r.value for r in out["edge_attributes"].collect()] == ["2021"] and [(r.stable_id, r.value) for r in out["attributes"].collect()] == [("p-robert", "baker")]
+    assert sorted((r.event, r.id) for r in out["log"].collect()) == [("node_merge", "p-robert"), ("synonym_collapse", "o-x")]

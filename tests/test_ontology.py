@@ -32,3 +32,24 @@ def test_compatible_pairs_of_all_properties_and_sessions(spark, tmp_path):
     got = __spark_entry__.queries()["sch_compatible_all"](spark, str(tmp_path)).collect()
     assert {(r.session_id, r.a, r.b) for r in got} == want and len(got) == len(want)
     assert 0 < len(want) < 9 * 9 + 7 * 7 * 2
+
+
+def test_loops_stop_the_walk(spark):
+    """A concept on a loop or below one keeps what it meets once; parents are matched as written."""
+    from graphloom.operators import ontology as O
+
+    links = {"a": "b", "b": "c", "c": "a", "d": "b", "e": None, "f": "e", "g": "E", "h": "h", "i": "nowhere"}
+    rows = [("s", k, t, p, [t.upper()]) for k, (t, p) in enumerate(links.items())] + [("t", 0, "a", None, None), (None, 0, "x", "y", ["X"]), (None, 1, "y", "x", ["Y"])]
+    c = spark.createDataFrame(rows, "session_id string, pos int, type string, parent string, attributes array<string>")
+
+    def walk(t):
+        out = []
+        while t in links and t not in out:
+            out.append(t)
+            t = links[t]
+        return out
+
+    want = {("s", t): "".join(x.upper() for x in reversed(walk(t))) for t in links} | {("t", "a"): "", (None, "x"): "YX", (None, "y"): "XY"}
+    assert {(r.session_id, r.type): "".join(r.attributes) for r in O.flatten(c).collect()} == {k: v for k, v in want.items()}
+    assert {(r.type, r.ancestor) for r in O.ancestors(c.where("session_id = 's'")).collect()} == {(t, x) for t in links for x in walk(t)}
+    assert O.ancestors(c.limit(0)).count() == 0

@@ -7,7 +7,7 @@ from graphloom.operators import merge as M
 from graphloom.operators import ontology as O
 from graphloom.operators import orphans as P
 from graphloom.operators import report as R
-from graphloom.operators.answers import answered, ask, pending, tasks
+from graphloom.operators.answers import Busy, Overflow, answered, ask, carried, gated, patiently, pending, tasks
 from graphloom.operators.export import load_script, write_json, write_text
 from graphloom.session import Build, Config, Session, Stage, list_sessions
 from graphloom.sources import files as S
@@ -43,18 +43,44 @@ def test_session(spark, folder, tmp_path):
     assert s.subgraph(types=["Person"], least=0.6)[0].count() == 1 and s.hubs(1).first().id == "person-ann" and s.orphans().count() == 0
     assert s.stats().first().components == 1 and s.context("Zet\nLtd", 1).count() == 2 and s.types().count() == 2
     lines = {r.line for r in s.turtle().collect()}
-    assert ':org_zet :name "Zet\\nLtd" .' in lines and ':person_ann skos:altLabel "A. \\"X\\"" .' in lines and ":person_ann :worksAt :org_zet ." in lines
-    assert not any(":odd" in x or ":title \"" in x for x in lines) and ":Person rdfs:subClassOf :Agent ." in lines
+    assert 'data:org-zet ex:name "Zet\\nLtd" .' in lines and 'data:person-ann skos:altLabel "A. \\"X\\"" .' in lines and "data:person-ann ex:worksAt data:org-zet ." in lines
+    assert not any("ex:odd" in x or "ex:title \"" in x for x in lines) and "ex:Person rdfs:subClassOf ex:Agent ." in lines
+    back = triples("\n".join(r.line for r in s.turtle().orderBy("section").collect()))
+    assert ("http://example.org/data#org-zet", "http://example.org/schema#name", "Zet\nLtd", True) in back and ("http://example.org/schema#worksAt", "http://www.w3.org/2000/01/rdf-schema#range", "http://example.org/schema#Organization", False) in back
     assert "[[Zet\nLtd]]" in s.note("person-ann").first().note
     assert [(r.session) for r in list_sessions(spark, str(folder)).collect()] == ["2024-02", "2024-01"]
     with pytest.raises(ValueError):
         list_sessions(spark, str(folder) + "/../x")
     write_text(s.turtle(), f"{tmp_path}/ttl")
-    assert spark.read.text(f"{tmp_path}/ttl").count() == len(lines)
+    assert spark.read.text(f"{tmp_path}/ttl").count() == sum(x.count("\n") + 1 for x in lines)
     write_json(s.nodes, f"{tmp_path}/json")
     back = spark.read.schema(S.NODE).json(f"{tmp_path}/json")
     assert sorted(map(str, back.collect())) == sorted(map(str, s.nodes.collect()))
-    assert "LOAD CSV" in load_script("Person", ["name", "confidence", "aliases"], ["WORKS_AT"])
+    assert [(r.type, r.n, r.samples) for r in s.types().collect()] == [("Person", 2, ["person-ann", "person-bob"]), ("Organization", 1, ["org-zet"])]
+    assert [(r.hop, r.src, r.dst, r.edge_id) for r in s.path_edges("person-bob", "org-zet").orderBy("hop").collect()] == [(1, "person-ann", "person-bob", "e2"), (2, "person-ann", "org-zet", "e1")]
+    assert [(r.id, r.name) for r in s.neighbor_summaries("org-zet").collect()] == [("person-ann", "Ann")]
+    bundle = s.export(f"{tmp_path}/out")
+    rows = sorted(spark.read.text(f"{tmp_path}/out/csv/nodes_Person").collect())
+    assert [r[0] for r in rows] == ["id,_aliases,_node_confidence,_parents,_source_files,name,name_confidence", 'person-ann,"A. \\"X\\"",0.9,Agent,a.md,Ann,0.9', "person-bob,,0.5,Agent,a.md;b.md,Bob,0.9"]
+    assert bundle["relationships_WORKS_AT"] == ["confidence", "method", "source_files"]
+    browser, shell = load_script(bundle), load_script(bundle, "/data/x")
+    assert "FROM 'file:/nodes_Person.csv' AS row" in browser and "FROM 'file:///data/x/nodes_Person.csv' AS row" in shell
+    assert "n._parents = CASE WHEN row._parents = '' THEN [] ELSE split(row._parents, ';') END" in browser and "n.name_confidence = CASE WHEN row.name_confidence = '' THEN null ELSE toFloat(row.name_confidence) END" in browser
+    assert browser.count(":auto LOAD CSV") == len(bundle) == 4 and "MERGE (a)-[r:WORKS_AT]->(b)" in browser
+    m = s.merge(Session(spark, str(folder / "2024-02")))
+    assert m.nodes.count() == 3 and m.edges.count() == 2 and {f for r in m.nodes.collect() for f in r.source_files or []} == {"session_a/a.md", "session_a/b.md"}
+    with pytest.raises(ValueError):
+        s.source(node="person-ann")
+    s.mentions = spark.createDataFrame([("person-ann", "a.md", 0), ("person-ann", "a.md", 1), ("org-zet", "a.md", 1), ("person-bob", "b.md", 0)], "id string, source_file string, chunk_index int")
+    s.chunks = spark.createDataFrame([("a.md", 0, "x " * 200 + "Ann came."), ("a.md", 1, "Ann, Zet"), ("b.md", 0, "Bob")], "source_file string, chunk_index int, text string")
+    got = s.source(node="person-ann").orderBy("chunk_index").collect()
+    assert [(r.chunk_index, r.total) for r in got] == [(0, 2), (1, 2)] and got[0].text.startswith("…x x") and got[0].text.endswith("Ann came.")
+    assert [(r.chunk_index, r.exact) for r in s.source(edge="e1").collect()] == [(1, True)]
+    assert sorted((r.source_file, r.chunk_index, r.exact) for r in s.source(edge="e2").collect()) == [("a.md", 0, False), ("a.md", 1, False), ("b.md", 0, False)]
+    text = [r.line for r in s.context_text("Ann").orderBy("pos").collect()]
+    assert text[1] == "Seeds: person-ann | Mode: bfs | Depth: 2" and text[2] == "Nodes: 3 | Edges: 2" and "- person-ann --[worksAt]--> org-zet (conf=0.80)" in text
+    assert [r.line for r in s.context_text("Ann", "dfs", 2).orderBy("pos").collect()][2] == "Nodes: 3 | Edges: 2"
+    assert s.context_text("Ann", budget=20).orderBy("pos").collect()[-1].line == "... (cut at the budget)" and s.context_text("nobody at all").count() == 1
 
 
 def test_build_skips_retries_and_invalidates(spark, tmp_path):
@@ -115,15 +141,34 @@ def test_chunks_and_packing(spark):
     items = spark.createDataFrame([("f", i, n) for i, n in enumerate([3, 4, 5, 20, 1, 1])], "file string, i int, n long")
     assert [r.batch for r in C.pack(items, ["file"], ["i"], "n", 8).orderBy("i").collect()] == [0, 0, 1, 2, 3, 3]
     many = spark.createDataFrame([(f"f{i % 40:02d}", i, 1 + i % 5) for i in range(400)], "file string, i int, n long")
-    p = C.pack_pooled(many, ["file", "i"], "n", 10, tasks=4).collect()
-    sums = {}
-    for r in p:
-        sums[r.batch] = sums.get(r.batch, 0) + r.n
-    assert len(p) == 400 and max(sums.values()) <= 10 and sorted(sums) == list(range(len(sums)))
-    assert [r.batch for r in sorted(p, key=lambda r: (r.file, r.i))] == sorted(r.batch for r in p)
     assert C.sample_batches(10, 3, 1) == C.sample_batches(10, 3, 1) and C.sample_batches(2, 3, 1) == [0, 1]
-    b = C.token_budget(200_000, 8_000, 2_000_000)
-    assert b["request"] == 150_000 and 50 <= 2_000_000 / b["chunk"] <= 700
+    many = many.unionByName(spark.createDataFrame([("f50", 0, 0), ("f50", 1, 0), ("f50", 2, 40), ("f50", 3, 0), ("f50", 4, 3), ("f60", 0, None)], many.schema))
+    want, used, number = [], 0, 0
+    for r in sorted(many.collect(), key=lambda r: (r.file, r.i)):
+        n = r.n or 0
+        if used and used + n > 10:
+            used, number = 0, number + 1
+        used += n
+        want.append((r.file, r.i, number))
+    for tasks in (1, 5):
+        assert sorted((r.file, r.i, r.batch) for r in C.pack_pooled(many, ["file", "i"], "n", 10, tasks).collect()) == want
+    assert C.pack_pooled(many.limit(0), ["file", "i"], "n", 10).count() == 0
+
+
+def test_budgets(spark):
+    assert [C.nice_number(x) for x in (182_400, 14_999, 9_999, 4_321, 99)] == [180_000, 10_000, 5_000, 4_000, 99]
+    b = C.token_budget(200_000, 8_000)
+    assert (b["headroom"], b["request"], b["chunk"], b["overlap"], b["reserve_chars"]) == (192_000, 180_000, 10_000, 1_000, 48_000)
+    assert C.token_budget(200_000, headroom=192_000) == b
+    with pytest.raises(ValueError):
+        C.token_budget(1000)
+    assert C.token_budget(1000, 0, divisor=31)["chunk"] == 100 and C.token_budget(1000, 0, divisor=31)["overlap"] == 10
+    d, n = C.better_divisor(192_000, 2_000_000, 10_000, 1_000)
+    assert 4 <= d < 32 and 50 <= n <= 500 and C.chunks_of(10, 20, 5) == 1
+    rows = spark.createDataFrame([(192_000,), (1000,), (7,)], "h long")
+    for r in C.token_budgets(rows, "h").collect():
+        one = C.token_budget(r.h, 0)
+        assert (r.request, r.chunk, r.overlap, r.reserve_chars) == (one["request"], one["chunk"], one["overlap"], one["reserve_chars"])
 
 
 def test_ontology_orphans_merge_and_answers(spark):
@@ -144,6 +189,27 @@ def test_ontology_orphans_merge_and_answers(spark):
     answers = ask(t, lambda s, u: "```json\n{\"nodes\": [{\"id\": \"n\"}], \"edges\": []}\n```" if u == "u1" else "oops")
     got = {r.user: (r.error, r.parsed and len(r.parsed.nodes)) for r in answered(t, answers).collect()}
     assert got == {"u1": (None, 1), "u2": ("no JSON", None)} and pending(t, answers.limit(1)).count() == 1
+
+    def broken(s, u):
+        raise Overflow("too long")
+
+    failed = ask(t, broken)
+    assert {r.failure for r in failed.collect()} == {"Overflow: too long"} and gated(failed, 2).count() == 2
+    with pytest.raises(RuntimeError):
+        gated(failed, 1)
+    waits, tries = [], []
+
+    def moody(s, u):
+        tries.append(u)
+        if len(tries) < 3:
+            raise Busy()
+        return "" if len(tries) == 3 else "fine"
+
+    assert patiently(moody, 5, 1.0, sleep=waits.append)("s", "u") == "fine" and waits == [1.0, 2.0]
+    with pytest.raises(Busy):
+        patiently(lambda s, u: (_ for _ in ()).throw(Busy()), 2, sleep=waits.append)("s", "u")
+    ch = spark.createDataFrame([("f", 1, "b c"), ("f", 0, "a b"), ("g", 0, None)], "source_file string, chunk_index int, text string")
+    assert {(r.source_file, r.chunk_index): (r.prior, r.found) for r in carried(ch, lambda prior, text: text.split()).collect()} == {("f", 0): ([], ["a", "b"]), ("f", 1): (["a", "b"], ["b", "c"]), ("g", 0): ([], [])}
     log = spark.createDataFrame([(0, "23:59:50", "RUN a"), (1, "00:01:00", "DONE a"), (2, "10:00:00", "RUN b"), (3, "10:00:05", "RUN b"), (4, "11:00:06", "DONE b"), (5, "x", "noise")], "pos int, clock string, message string")
     assert {r.step: r.took for r in R.timeline(log).collect()} == {"a": "1m 10s", "b": "1h 00m 01s"}
     lines = spark.createDataFrame([("10:00:00 [INFO] a.b — hello — x",), ("junk",)], "value string")
