@@ -120,7 +120,7 @@ def fold_merges(word: Column, ranks: Ranks) -> Column:
         def merge(best: Column) -> Column:
             i = best.bitwiseAND(F.lit(65535)).cast("int")
             joined = F.concat(F.slice(now, 1, i), F.array(F.shiftright(best, 16).cast("int")), F.slice(now, i + 3, F.lit(100000)))
-            return F.struct(F.when(best.isNull(), now).otherwise(joined).alias("ids"), (best.isNull() | (F.size(joined) < 2)).alias("done"))
+            return F.struct(F.when(best.isNull(), now).otherwise(joined).alias("ids"), (best.isNull() | (F.size(now) < 3)).alias("done"))
 
         return F.when(acc.done, acc).otherwise(F.get(F.transform(F.array(best), merge), F.lit(0)))
 
