@@ -12,7 +12,7 @@ from graphloom.llm.leaks import leaked_items
 from graphloom.llm.names import entities, entity_pairs, name_forms
 from graphloom.llm.split import split_oversized
 from graphloom.llm.subjects import subject_shares, train_rules
-from graphloom.llm.survivors import STAND_INS, by_posterior, by_trust, candidates, surviving_records
+from graphloom.llm.survivors import COPY_PRIOR, COPY_RATE, DIGITS, FALSE_VALUES, ROUNDS, STAND_INS, by_posterior, by_trust, candidates, surviving_records
 
 #: Where the vocabulary files of public tokenizers are.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -111,7 +111,45 @@ best AS (
   QUALIFY row_number() OVER (PARTITION BY id, e.key ORDER BY {_VALID.format("e.value.confidence")} DESC, rc DESC, coalesce(nf, 0) DESC, ingested_at DESC NULLS LAST, node_key) = 1)
 """
 
+
+def _fused() -> str:
+    """The fusion as SQL, its rounds one after the other."""
+    copy, n = COPY_RATE, FALSE_VALUES
+    steps = [
+        f"""c0 AS MATERIALIZED (SELECT id, node_key, {_VALID.format("confidence")} AS rc, list_distinct(list_filter(coalesce(source_files, []), lambda f: trim(f) <> '')) AS files, ingested_at, session_id, unnest(map_entries(attributes)) AS e
+  FROM nodes WHERE id IN (SELECT id FROM nodes GROUP BY id HAVING count(DISTINCT node_key) > 1))""",
+        f"""cand AS MATERIALIZED (SELECT id, e.key AS attr, node_key, e.value.value AS value, lower(regexp_replace(e.value.value, '^\\s+|\\s+$', '', 'g')) AS v, {_VALID.format("e.value.confidence")} AS ac, rc, len(files) AS nf, ingested_at, session_id, files FROM c0
+  WHERE e.value.value IS NOT NULL AND lower(regexp_replace(e.value.value, '^\\s+|\\s+$', '', 'g')) NOT IN ({", ".join(f"'{x}'" for x in STAND_INS)}))""",
+        "best AS MATERIALIZED (SELECT id, attr, v, value, node_key, ac, rc, nf, ingested_at FROM cand QUALIFY row_number() OVER (PARTITION BY id, attr, v ORDER BY ac DESC, rc DESC, nf DESC, ingested_at DESC NULLS LAST, node_key, value DESC) = 1)",
+        "claims AS MATERIALIZED (SELECT id, attr, v, source, max(CASE WHEN ac < 0 THEN 0.5 ELSE greatest(ac, 0.05) END)::DOUBLE AS w FROM (SELECT *, unnest(CASE WHEN len(files) > 0 THEN files ELSE ['session ' || coalesce(session_id, '')] END) AS source FROM cand) GROUP BY ALL)",
+        "sizes AS MATERIALIZED (SELECT source, count(*) AS size FROM claims GROUP BY 1)",
+    ]
+    for k in range(ROUNDS):
+        votes = "SELECT *, 0.8::DOUBLE AS a, 0.0::DOUBLE AS dep FROM claims" if k == 0 else f"SELECT c.*, x.a, coalesce(y.dep, 0.0) AS dep FROM claims c JOIN acc{k - 1} x USING (source) LEFT JOIN cop{k - 1} y USING (id, attr, v, source)"
+        steps += [
+            f"val{k} AS MATERIALIZED (SELECT id, attr, v, sum(w * ln({n} * a / (1 - a)) * (1 - {copy}::DOUBLE * dep)) AS score, count(*) AS n_sources FROM ({votes}) GROUP BY 1, 2, 3)",
+            f"top{k} AS MATERIALIZED (SELECT id, attr, max(score) AS top, count(*) AS k FROM val{k} GROUP BY 1, 2)",
+            f"z{k} AS MATERIALIZED (SELECT id, attr, sum(exp(score - top)) + greatest({n + 1} - max(k), 0) * exp(-max(top)) AS z FROM val{k} JOIN top{k} USING (id, attr) GROUP BY 1, 2)",
+            f"pos{k} AS MATERIALIZED (SELECT id, attr, v, n_sources, exp(score - top) / z AS p FROM val{k} JOIN top{k} USING (id, attr) JOIN z{k} USING (id, attr))",
+        ]
+        if k + 1 < ROUNDS:
+            steps += [
+                f"jud{k} AS MATERIALIZED (SELECT id, attr, v, source, p FROM claims JOIN pos{k} USING (id, attr, v))",
+                f"acc{k} AS MATERIALIZED (SELECT source, greatest(0.05, least(0.95, round((sum(p) + 4 * 0.8) / (count(*) + 4), {DIGITS})))::DOUBLE AS a FROM jud{k} GROUP BY 1)",
+                f"pr{k} AS MATERIALIZED (SELECT CASE WHEN sa.size <= sb.size THEN a ELSE b END AS one, CASE WHEN sa.size <= sb.size THEN b ELSE a END AS two, f FROM (SELECT x.source AS a, y.source AS b, count(*) AS f FROM jud{k} x JOIN jud{k} y USING (id, attr, v) WHERE x.p < 0.5 AND y.p < 0.5 AND x.source < y.source GROUP BY 1, 2) JOIN sizes sa ON sa.source = a JOIN sizes sb ON sb.source = b)",
+                f"pc{k} AS MATERIALIZED (SELECT one, two, f, x.id, x.attr, x.v, x.p, x.v = y.v AS same FROM pr{k} JOIN jud{k} x ON x.source = one JOIN jud{k} y ON y.source = two AND y.id = x.id AND y.attr = x.attr)",
+                f"""at{k} AS MATERIALIZED (SELECT one, two, id, attr, max(f) AS f, bool_or(same) AS same, count(*) FILTER (WHERE same AND p >= 0.5) AS t,
+  sum(CASE WHEN same AND p < 0.5 THEN ln(({copy}::DOUBLE * (0.8 * p + 0.2 * (1 - p)) + (1 - {copy}::DOUBLE) * (0.64::DOUBLE * p + 0.04::DOUBLE / {n} * (1 - p))) / (0.64::DOUBLE * p + 0.04::DOUBLE / {n} * (1 - p))) ELSE 0.0 END) AS fl FROM pc{k} GROUP BY 1, 2, 3, 4)""",
+                f"dep{k} AS MATERIALIZED (SELECT one, two, 1 / (1 + exp(-(ln({COPY_PRIOR}::DOUBLE / (1 - {COPY_PRIOR}::DOUBLE)) + sum(fl) + least(sum(t), 2 * max(f)) * ln(({copy}::DOUBLE * 0.8 + (1 - {copy}::DOUBLE) * 0.64) / 0.64) + count(*) FILTER (WHERE NOT same) * ln(1 - {copy}::DOUBLE)))) AS dep FROM at{k} GROUP BY 1, 2)",
+                f"cop{k} AS MATERIALIZED (SELECT id, attr, v, CASE WHEN (x.a, x.source) < (y.a, y.source) THEN one ELSE two END AS source, max(dep) AS dep FROM pc{k} JOIN dep{k} USING (one, two) JOIN acc{k} x ON x.source = one JOIN acc{k} y ON y.source = two WHERE same GROUP BY 1, 2, 3, 4)",
+            ]
+    last = ROUNDS - 1
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT id, attr, value, round(p, 6) AS posterior, n_sources, node_key FROM pos{last} JOIN best USING (id, attr, v) QUALIFY row_number() OVER (PARTITION BY id, attr ORDER BY round(p, {DIGITS}) DESC, ac DESC, rc DESC, nf DESC, ingested_at DESC NULLS LAST, node_key, value DESC) = 1"""
+
+
 SQL = {
+    "p3_fused": _fused(),
     "p1_found": r"SELECT DISTINCT source_file, chunk_index FROM chunks WHERE len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^ \t\n\r0-9A-Za-z_]')) > 500",
     "p3_found": _BEST + "SELECT id, attr, node_key FROM best",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

@@ -15,6 +15,8 @@ STAND_INS = ("", "-", "--", "?", "??", "n/a", "na", "nan", "nil", "no data", "no
 #: Share of a copier's values that it copies; odds before any evidence that one source copies another; false values an attribute may have.
 COPY_RATE, COPY_PRIOR, FALSE_VALUES = 0.8, 0.2, 10
 ROUNDS = 3
+#: Digits to which accuracies and posteriors are compared: what differs less is a tie, whatever the order of sums.
+DIGITS = 9
 
 
 def valid_confidence(x: Column) -> Column:
@@ -131,10 +133,10 @@ def by_posterior(cands: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             judged = claims.select("id", "attr", "v", "source").join(posterior.select("id", "attr", "v", "posterior"), ["id", "attr", "v"])
             judged = cut(judged, "judged")
             mean = (F.sum("posterior") + 4 * 0.8) / (F.count("*") + 4)
-            accuracy = cut(judged.groupBy("source").agg(F.greatest(F.lit(0.05), F.least(F.lit(0.95), mean)).alias("a")), "accuracy")
+            accuracy = cut(judged.groupBy("source").agg(F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.round(mean, DIGITS))).alias("a")), "accuracy")
             shared = shared_claims(judged, sizes)
             old += [posterior, judged, accuracy, shared]
-    w = F.struct("posterior", F.col("b.t").alias("t"), F.col("b.value").alias("value"), "n_sources")
+    w = F.struct(F.round("posterior", DIGITS).alias("posterior"), F.col("b.t").alias("t"), F.col("b.value").alias("value"), "n_sources")
     best = posterior.groupBy("id", "attr").agg(F.max(w).alias("m"))
     for d in old:
         drop(d)
