@@ -195,6 +195,28 @@ def render_edges(edges: DataFrame) -> DataFrame:
     return edges.select("id", "src", "dst", F.when(F.col("confidence") >= 0.8, 2).otherwise(1).alias("width"))
 
 
+PAGE = """<!DOCTYPE html>
+<html><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1><svg id="g" width="1000" height="800"></svg><script>
+const nodes = [{nodes}], edges = [{edges}], colours = ["#4e79a7", "#f28e2b", "#e15759", "#76b7b2", "#59a14f", "#edc948", "#b07aa1", "#ff9da7", "#9c755f", "#bab0ac"];
+const at = new Map(nodes.map((n, i) => [n.id, [500 + 380 * Math.cos(2 * Math.PI * i / nodes.length), 400 + 330 * Math.sin(2 * Math.PI * i / nodes.length)]]));
+const add = (name, attributes, text) => {{ const e = document.createElementNS("http://www.w3.org/2000/svg", name); for (const k in attributes) e.setAttribute(k, attributes[k]); if (text) e.textContent = text; document.getElementById("g").append(e); }};
+for (const e of edges) {{ const a = at.get(e.src), b = at.get(e.dst); if (a && b) add("line", {{x1: a[0], y1: a[1], x2: b[0], y2: b[1], stroke: "#999", "stroke-width": e.width}}); }}
+for (const n of nodes) {{ const p = at.get(n.id); add("circle", {{cx: p[0], cy: p[1], r: n.size / 2, fill: colours[n.colour]}}, n.id); if (n.label_size) add("text", {{x: p[0], y: p[1], "font-size": n.label_size}}, n.id); }}
+</script></body></html>
+"""
+
+
+def page(table: DataFrame, edges: DataFrame, title: str, most: int = 2000) -> str:
+    """One HTML page of the `most` largest nodes of render_table() and the edges of render_edges() between them. A page that people look at is small: it is made on the driver."""
+    from html import escape
+
+    n = table.orderBy(F.desc("size"), "id").limit(most)
+    shown = n.select("id")
+    e = edges.join(shown.withColumnRenamed("id", "src"), "src", "left_semi").join(shown.withColumnRenamed("id", "dst"), "dst", "left_semi").orderBy("id").limit(10 * most)
+    rows = lambda d: ",\n".join(r[0].replace("</", "<\\/") for r in d.select(F.to_json(F.struct("*"))).collect())
+    return PAGE.format(title=escape(title), nodes=rows(n), edges=rows(e.select("src", "dst", "width")))
+
+
 def note_lines(nodes: DataFrame, attributes: DataFrame, edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """id, section, line of the Markdown note of every node: 0 front matter and title, 1 attributes but the name, 2 outgoing and 3 incoming links, 4 sources.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -89,6 +90,16 @@ def schema_errors(concepts: DataFrame, properties: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, all_).distinct()
 
 
+def checked_schema(concepts: DataFrame, properties: DataFrame, correct: Callable[[DataFrame, DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The schema after one correction where it has errors (correct gets concepts, properties and errors), and the errors that are left. It never fails: what is left is recorded."""
+    errors = schema_errors(concepts, properties)
+    if errors.isEmpty():
+        return concepts, properties, errors
+    fixed = correct(concepts, properties, errors)
+    concepts = keep_if_whole(concepts, fixed[0])
+    return concepts, fixed[1], schema_errors(concepts, fixed[1])
+
+
 def graph_errors(nodes: DataFrame, edges: DataFrame, concepts: DataFrame, properties: DataFrame) -> DataFrame:
     """rule, what: types of nodes and of edges that are not declared. Each once."""
     n = nodes.select("type").distinct().join(concepts.select("type"), "type", "left_anti").select(F.lit("undeclared_type").alias("rule"), F.col("type").alias("what"))

@@ -137,14 +137,16 @@ class Stage:
     outputs: tuple[str, ...]
     blocking: bool = True
     review: bool = False
+    feedback: Callable[[dict[str, DataFrame], Exception], dict[str, DataFrame]] | None = None
 
 
 @dataclass
 class Build:
     """Runs stages in order, each table written once under `root`; a stage all of whose tables are there is skipped.
 
-    The state (pending, running, waiting, done, failed) is written after every change. A failed stage is tried twice; one
-    that doesn't block only leaves a warning. A stage under review waits until approve() was called.
+    The state (pending, running, waiting, done, failed) is written after every change. A failed stage is tried twice, and a
+    third time by its feedback, which is told what went wrong; wrong use (ValueError, KeyError) is not tried again. One that
+    doesn't block only leaves a warning. A stage under review waits until approve() was called.
     """
 
     spark: SparkSession
@@ -187,26 +189,33 @@ class Build:
                     fs, p = self._fs(f"{self.root}/{t}")
                     fs.delete(p, True)
 
-    def run(self, until: str | None = None) -> dict[str, DataFrame]:
+    def _attempts(self, s: Stage, tables: dict[str, DataFrame]) -> None:
+        for attempt in range(3 if s.feedback else 2):
+            try:
+                made = s.run(tables) if attempt < 2 else s.feedback(tables, failure)
+                for name, df in made.items():
+                    df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+                self._set(s.name, "done")
+                return
+            except Exception as e:
+                failure = e
+                if attempt == (2 if s.feedback else 1) or isinstance(e, (ValueError, KeyError)):
+                    self._set(s.name, "failed")
+                    if s.blocking:
+                        raise
+                    self.warnings.append(f"{s.name}: {e}")
+                    return
+
+    def run(self, until: str | None = None, only: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+        """The tables of all stages, up to `until`; with `only`, other stages are not run, but their tables are read if they are there."""
         tables: dict[str, DataFrame] = {}
         for s in self.stages:
-            if not all(map(self._there, s.outputs)):
+            if (only is None or s.name in only) and not all(map(self._there, s.outputs)):
                 if s.review and self.state.get(s.name) != "approved":
                     self._set(s.name, "waiting")
                     return tables
                 self._set(s.name, "running")
-                for attempt in range(2):
-                    try:
-                        for name, df in s.run(tables).items():
-                            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-                        self._set(s.name, "done")
-                        break
-                    except Exception as e:
-                        if attempt:
-                            self._set(s.name, "failed")
-                            if s.blocking:
-                                raise
-                            self.warnings.append(f"{s.name}: {e}")
+                self._attempts(s, tables)
             for t in s.outputs:
                 if self._there(t):
                     tables[t] = self.spark.read.parquet(f"{self.root}/{t}")

@@ -47,6 +47,28 @@ def read_session(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
+def read_merge_session(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """What a merge needs of a session: its tables, raw extractions by file (required), and the manifest and shards where they exist.
+
+    extractions: source_file, nodes, edges of intermediate/raw_extractions.json; shards the same of intermediate/raw/*.json, broken ones left out;
+    manifest: source_file, entry (JSON, see migrated()).
+    """
+    fields = "struct<nodes:array<struct<id:string,type:string,confidence:double>>,edges:array<struct<type:string,`from`:string,`to`:string,confidence:double>>>"
+    whole = lambda path: spark.read.option("wholetext", True).text(path)
+    out = read_session(spark, root)
+    raw = whole(f"{root}/intermediate/raw_extractions.json").select(F.explode(F.from_json("value", f"map<string,{fields}>")).alias("source_file", "e"))
+    out["extractions"] = raw.select("source_file", "e.nodes", "e.edges")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda path: bool(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path)))
+    if there(f"{root}/intermediate/raw/*.json"):
+        s = whole(f"{root}/intermediate/raw/*.json").select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("shard"), F.from_json("value", fields).alias("e"), F.try_parse_json("value").isNotNull().alias("ok"))
+        out["shards"] = s.where("ok").select("shard", "e.nodes", "e.edges")
+    if there(f"{root}/intermediate/file_manifest.json"):
+        m = whole(f"{root}/intermediate/file_manifest.json").select(F.try_parse_json("value").alias("_json"))
+        out["manifest"] = m.lateralJoin(spark.tvf.variant_explode(F.col("_json").outer())).select(F.col("key").alias("source_file"), F.to_json("value").alias("entry"))
+    return out
+
+
 def route(path: Column) -> Column:
     """What becomes of a file by its extension: markdown, html, text, other; hidden ones are skipped."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))

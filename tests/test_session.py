@@ -71,6 +71,15 @@ def test_session(spark, folder, tmp_path):
     assert m.nodes.count() == 3 and m.edges.count() == 2 and {f for r in m.nodes.collect() for f in r.source_files or []} == {"session_a/a.md", "session_a/b.md"}
     with pytest.raises(ValueError):
         s.source(node="person-ann")
+    from graphloom.__main__ import answer, parser
+    from graphloom.operators import graph as G
+    from graphloom.operators.export import page, render_edges, render_table
+
+    ask_for = lambda *words: answer(spark, parser().parse_args([str(folder / "2024-01"), *words]))
+    assert [r.id for r in ask_for("search", "bob").collect()] == ["person-bob"] and ask_for("types").count() == 2 and ask_for("path", "person-bob", "org-zet").count() == 2
+    assert ask_for("context", "Ann", "--mode", "dfs").first().line == "# Context: Ann" and ask_for("export", f"{tmp_path}/cli") is None
+    html = page(render_table(s.entities, G.degrees(s.edges)), render_edges(s.edges), "A & B")
+    assert "<h1>A &amp; B</h1>" in html and '"id":"person-ann"' in html and '"src":"person-ann","dst":"org-zet","width":2' in html
     s.mentions = spark.createDataFrame([("person-ann", "a.md", 0), ("person-ann", "a.md", 1), ("org-zet", "a.md", 1), ("person-bob", "b.md", 0)], "id string, source_file string, chunk_index int")
     s.chunks = spark.createDataFrame([("a.md", 0, "x " * 200 + "Ann came."), ("a.md", 1, "Ann, Zet"), ("b.md", 0, "Bob")], "source_file string, chunk_index int, text string")
     got = s.source(node="person-ann").orderBy("chunk_index").collect()
@@ -101,6 +110,13 @@ def test_build_skips_retries_and_invalidates(spark, tmp_path):
     b.approve("c")
     assert set(b.run()) == {"a", "c"} and calls.count("a") == 2
     assert json.loads((tmp_path / "state.json").read_text())["c"] == "done"
+    told = []
+    more = [Stage("x", step("x", 2), ("x",), feedback=lambda tables, e: told.append(str(e)) or {"x": spark.range(1)}), Stage("y", lambda t: (_ for _ in ()).throw(ValueError("wrong use")), ("y",)), Stage("z", step("z"), ("z",))]
+    second = Build(spark, f"{tmp_path}/second", more)
+    assert set(second.run(only=("z",))) == {"z"}
+    with pytest.raises(ValueError):
+        second.run()
+    assert told == ["once"] and second.state == {"x": "done", "y": "failed", "z": "done"} and not (tmp_path / "second" / "state.json.new").exists()
     b.invalidate("a", keep=("c",))
     assert set(b.run(until="a")) == {"a"} and calls.count("a") == 3 and calls.count("c") == 1
 
@@ -128,12 +144,30 @@ def test_files_and_turtle(spark, tmp_path):
     assert sorted(map(tuple, concepts.collect())) == [("A", None), ("B", "A")] and [tuple(r) for r in props.collect()] == [("p", "A", "B")]
     assert {tuple(r) for r in synonyms(t).collect()} == {("A", "Z", "exact"), ("Z", "A", "exact"), ("A", "Y", "broad")}
     assert ("http://x/#A", "http://www.w3.org/2000/01/rdf-schema#label", 'a "q"', True) in triples((tmp_path / "o.ttl").read_text())
+    from graphloom.operators import validate as V
+
+    bad = spark.createDataFrame([("p", "A", "Q")], "name string, domain string, range string")
+    _, fixed, left = V.checked_schema(concepts, bad, lambda c, p, e: (c.limit(0), p.where("false")))
+    assert fixed.count() == 0 and left.count() == 0 and V.checked_schema(concepts, bad, lambda c, p, e: (c, p))[2].count() == 1
     links = spark.createDataFrame([("http://a/1", "http://a/2"), ("http://a/2", "http://b/3"), ("http://a/2", "http://a/4")], "src string, dst string")
     seeds = spark.createDataFrame([("http://a/1",)], "url string")
     assert [(r.url, r.hop) for r in S.crawl_order(links, seeds, 3).collect()] == [("http://a/1", 0), ("http://a/2", 1), ("http://a/4", 2)]
     assert S.crawl_order(links, seeds, 3, same_host=False, most=2).count() == 2
 
 
+def test_session_for_a_merge(spark, folder):
+    root = folder / "2024-02"
+    (root / "intermediate" / "raw_extractions.json").write_text(json.dumps({"a.md": {"nodes": [{"id": "n1", "type": "P"}], "edges": []}, "it's.md": {"nodes": [], "edges": [{"type": "k", "from": "n1", "to": "n1"}]}}))
+    (root / "intermediate" / "raw").mkdir()
+    (root / "intermediate" / "raw" / "s1.json").write_text('{"nodes": [], "edges": []}')
+    (root / "intermediate" / "raw" / "s2.json").write_text("{broken")
+    (root / "intermediate" / "file_manifest.json").write_text(json.dumps({"a.md": "old text", "it's.md": {"content": "new text", "sha256": "x", "token_count": 2}}))
+    t = S.read_merge_session(spark, str(root))
+    assert {r.source_file: (len(r.nodes), len(r.edges)) for r in t["extractions"].collect()} == {"a.md": (1, 0), "it's.md": (0, 1)}
+    assert [r.shard for r in t["shards"].collect()] == ["s1"]
+    assert {r.source_file: (r.content, r.token_count) for r in S.migrated(t["manifest"]).collect()} == {"a.md": ("old text", 2), "it's.md": ("new text", 2)}
+
+
 def test_chunks_and_packing(spark):
     f = spark.createDataFrame([("a", " ".join(f"w{i}" for i in range(23))), ("b", ""), ("c", None), ("d", "one two")], "source_file string, content string")
     got = [(r.source_file, r.chunk_index, r.token_start, r.token_end) for r in C.chunk(f, 10, 3).orderBy("source_file", "chunk_index").collect()]
