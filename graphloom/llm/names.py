@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,14 +31,13 @@ NICKNAMES = {
 }
 TITLES = frozenset("dr prof professor mr mrs ms miss eng ing dipl phd msc mba md ma bsc jr sr herr frau sir".split())
 LEGAL = frozenset("ltd limited gmbh gesellschaft mbh inc incorporated corp corporation co company group plc llc ag sa the".split())
-KINDS = (
-    "analytics", "associates", "athletics club", "bank", "college", "consulting", "engineering", "foundation", "holdings", "hospital trust", "industries", "insurance", "international", "laboratories", "logistics",
-    "manufacturing", "partners", "publishing", "railways", "services", "solutions", "systems", "technologies", "university",
-)
 SHORT_KINDS = {"intl": "international", "labs": "laboratories", "mfg": "manufacturing", "ptnrs": "partners", "rlys": "railways", "svcs": "services", "tech": "technologies"}
 GENERAL = frozenset({"", "unknown", "n/a", "none", "-", "?", "tbd", "not available", "boss", "the boss", "team lead", "client a", "the company", "hq"})
 
-_KIND_WORDS = {w: k for k in KINDS for w in k.split()}
+#: A word that stands beside so many different others in names of organisations, and beside one in SHARE of all names, is a kind of business; a coined word stands beside a few.
+PARTNERS, SHARE = 8, 0.001
+#: Of two such words, one that is a short form or a misspelling of the other is none of its own if the other stands beside so many times as many.
+FOREMOST = 5
 
 
 def _plain(name: str) -> str:
@@ -104,73 +103,124 @@ def _near(a: str, b: str) -> bool:
     return x[1:] == y or y[1:] == x or x[1:] == y[1:] or (x[:2] == y[:2][::-1] and x[2:] == y[2:])
 
 
-def _kind_of(token: str, raw: str) -> str | None:
-    """The words of KINDS that a word stands for: itself, misspelt, shortened, or its initials."""
-    if token in _KIND_WORDS:
-        return token
-    if token in SHORT_KINDS:
-        return SHORT_KINDS[token]
-    if raw.isupper() and len(token) >= 2:
-        long = [k for k in KINDS if " " in k and "".join(w[0] for w in k.split()) == token]
-        if len(long) == 1:
-            return long[0]
-    if raw.endswith(".") and len(token) >= 3:
-        long = [w for w in _KIND_WORDS if w.startswith(token)]
-        if len(long) == 1:
-            return long[0]
-    if len(token) >= 6:
-        long = [w for w in _KIND_WORDS if _near(token, w)]
-        if len(long) == 1:
-            return long[0]
-    return None
-
-
-def organisation_forms(name: str) -> list[tuple[str, str, str]]:
+class Kinds:
+    """Kinds of business: words, and phrases of two of them."""
+
+    def __init__(self, words: Iterable[str], phrases: Iterable[str] = ()):
+        self.words, self.phrases = frozenset(words), sorted(set(phrases))
+        self.tails = sorted({*self.words, *self.phrases}, key=lambda k: (-len(k), k))
+        self.known: dict[tuple[str, bool, bool], str | None] = {}
+
+    def of(self, token: str, raw: str) -> str | None:
+        """The words that a word stands for: itself, misspelt, shortened, or the initials of a phrase."""
+        key = token, raw.isupper(), raw.endswith(".")
+        if key not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[key] = self._of(*key)
+        return self.known[key]
+
+    def _of(self, token: str, shouted: bool, dotted: bool) -> str | None:
+        if token in self.words:
+            return token
+        if SHORT_KINDS.get(token) in self.words:
+            return SHORT_KINDS[token]
+        for holds, long in (
+            (shouted and len(token) >= 2, [k for k in self.phrases if "".join(w[0] for w in k.split()) == token]),
+            (dotted and len(token) >= 3, [w for w in self.words if w.startswith(token)]),
+            (len(token) >= 6, [w for w in self.words if _near(token, w)]),
+        ):
+            if holds and len(long) == 1:
+                return long[0]
+        return None
+
+
+def _tokens(name: str) -> list[tuple[str, str]]:
+    """(letters, as written) of the words of an organisation's name but for legal forms; nothing for general aliases."""
+    name = _plain(name).strip()
+    if name.lower() in GENERAL or "@" in name:
+        return []
+    raw = re.split(r"[\s,]+", re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", name))
+    return [(t, r) for r in raw if (t := _letters(r)) and t not in LEGAL]
+
+
+def organisation_forms(name: str, known: Kinds) -> list[tuple[str, str, str]]:
     """(full, kind of business, coined part) of an organisation's name, whatever their order; its legal form doesn't count.
 
     A name of several words of which none is a known kind stands for all of them, in any order. One word alone gives nothing.
     """
-    name = _plain(name).strip()
-    if name.lower() in GENERAL or "@" in name:
-        return []
-    tokens = re.split(r"[\s,]+", re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", name))
     coined, kinds = [], []
     shouted = name.isupper()
-    for raw in tokens:
-        t = _letters(raw)
-        if not t or t in LEGAL:
-            continue
-        k = _kind_of(t, raw.lower() if shouted and len(t) > 3 else raw)
+    for t, raw in _tokens(name):
+        k = known.of(t, raw.lower() if shouted and len(t) > 3 else raw)
         if k:
             kinds += k.split()
         else:
             coined.append(t)
     if coined and not kinds:  # written in one word
-        for k in KINDS:
+        for k in known.tails:
             tail = k.replace(" ", "")
             if coined[-1].endswith(tail) and len(coined[-1]) > len(tail) + 2:
                 coined[-1] = coined[-1][: -len(tail)]
                 kinds = k.split()
+                break
     if not kinds:
         return [("full", "", "".join(sorted(coined)))] if len(coined) > 1 else []
     return [("full", " ".join(sorted(set(kinds))), "".join(coined))] if len("".join(coined)) > 2 else []
 
 
-def name_forms(nodes: DataFrame, persons: tuple[str, ...] = PERSONS, organisations: tuple[str, ...] = ORGANISATIONS) -> DataFrame:
-    """id, sort (p or o), mode, part, stem: the distinct forms of the names and aliases under each id. Records of other types, without id or name have none."""
+def _named(nodes: DataFrame, persons: tuple[str, ...], organisations: tuple[str, ...]) -> DataFrame:
+    """id, sort (p or o), name: the distinct names and aliases under each id. Records of other types, without id or name have none."""
     sort = F.when(F.col("type").isin(*persons), "p").when(F.col("type").isin(*organisations), "o")
     name = F.element_at("attributes", F.lit("name")).getField("value")
     every = F.explode(F.concat(F.array(name), F.coalesce("aliases", F.array().cast("array<string>"))))
-    rows = nodes.where(F.col("id").isNotNull()).select("id", sort.alias("sort"), every.alias("name")).where("sort is not null and name is not null").distinct()
+    return nodes.where(F.col("id").isNotNull()).select("id", sort.alias("sort"), every.alias("name")).where("sort is not null and name is not null").distinct()
+
+
+def learned_kinds(names: DataFrame) -> Kinds:
+    """The kinds of business that the names (name) of organisations show: words beside PARTNERS different others at least, and beside one in SHARE of all names.
+
+    So the words are no more than the square of a name's length over SHARE, however many names there are. Phrases are two
+    such words that follow each other in as many names.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for n in b.column(0).to_pylist():
+                words = [t for t, _ in _tokens(n)]
+                out += [(x, y, k + 1 == m) for k, x in enumerate(words) for m, y in enumerate(words) if x != y]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out) if out else ((),) * 3, (pa.string(), pa.string(), pa.bool_()))], ["word", "other", "next"])
+
+    distinct = names.select("name").distinct()
+    pairs = cut(distinct.mapInArrow(run, "word string, other string, next boolean"), "pairs")
+    least = max(PARTNERS, SHARE * distinct.count())
+    count = {r["word"]: r["n"] for r in pairs.groupBy("word").agg(F.countDistinct("other").alias("n")).where(F.col("n") >= least).collect()}
+    both = [(r["word"], r["other"]) for r in pairs.where("next").groupBy("word", "other").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()]
+    drop(pairs)
+    short = lambda w, v: v != w and count[v] >= FOREMOST * count[w] and (v.startswith(w) or SHORT_KINDS.get(w) == v or len(w) >= 6 and _near(w, v))
+    phrases = [(a, b) for a, b in both if a in count and b in count]
+    words = {w for w in count if not any(short(w, v) for v in count) and not any(a[0] + b[0] == w for a, b in phrases)}
+    return Kinds(words, [f"{a} {b}" for a, b in phrases if a in words and b in words])
+
+
+def name_forms(nodes: DataFrame, persons: tuple[str, ...] = PERSONS, organisations: tuple[str, ...] = ORGANISATIONS, kinds: Kinds | None = None) -> DataFrame:
+    """id, sort (p or o), mode, part, stem: the distinct forms of the names and aliases under each id. Kinds of business are learned from the names where none are given."""
+    rows = cut(_named(nodes, persons, organisations), "names")
+    kinds = kinds or learned_kinds(rows.where("sort = 'o'"))
+    words, phrases = sorted(kinds.words), kinds.phrases
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Kinds(words, phrases)
         for b in batches:
             out = []
             for i, s, n in zip(*(b.column(k).to_pylist() for k in range(3))):
-                out += [(i, s, *f) for f in (person_forms(n) if s == "p" else organisation_forms(n))]
+                out += [(i, s, *f) for f in (person_forms(n) if s == "p" else organisation_forms(n, known))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*out) if out else ([],) * 5)], ["id", "sort", "mode", "part", "stem"])
 
-    return rows.mapInArrow(run, "id string, sort string, mode string, part string, stem string").distinct()
+    out = cut(rows.mapInArrow(run, "id string, sort string, mode string, part string, stem string").distinct(), "forms")
+    drop(rows)
+    return out
 
 
 def pivot_cells(key: Column) -> Column:
@@ -219,7 +269,7 @@ def entities(forms: DataFrame) -> DataFrame:
     An id that has no full form goes to the one entity that its alternatives or its first letter with the family name
     allow; if there are several it stays alone, if there is none it joins the ids of the same first letter and family name.
     """
-    forms = cut(forms.withColumn("key", F.concat_ws(" ", "sort", "part", "stem")), "forms")
+    forms = cut(forms.withColumn("key", F.concat_ws(" ", "sort", "part", "stem")), "keyed")
     full = forms.where("mode = 'full'")
     keys = cut(full.select("key", "sort", "part", "stem").distinct(), "keys")
     near = near_keys(keys)

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from graphloom.llm.names import entities, entity_pairs, name_forms, near_keys, organisation_forms, person_forms, pivot_cells
+from graphloom.llm.names import Kinds, entities, entity_pairs, learned_kinds, name_forms, near_keys, organisation_forms, person_forms, pivot_cells
 
 NODE = "id string, type string, attributes map<string,struct<value:string,confidence:double>>, aliases array<string>, key string"
 
@@ -23,13 +23,31 @@ def test_person_forms():
         assert person_forms(n) == [], n
 
 
+KINDS = Kinds(["associates", "athletics", "club", "engineering", "insurance", "partners"], ["athletics club"])
+
+
+def test_kinds_are_learned(spark):
+    rng = random.Random(7)
+    coined = ["".join(rng.choice("bdfgkmnprstvz") + rng.choice("aeiouy") for _ in range(4)) for _ in range(120)]
+    names = [f"{c.title()} {k} {legal}".strip() for i, c in enumerate(coined) for k in [("Quarries", "Salvage Yard")[i % 2]] for legal in ("", "Ltd", "GmbH")] + ["HQ", "info@x.example", "Alone", ""]
+    known = learned_kinds(spark.createDataFrame([(n,) for n in names], "name string"))
+    assert known.words == {"quarries", "salvage", "yard"} and known.phrases == ["salvage yard"]
+    x = coined[1]
+    for n in (f"{x.title()} Salvage Yard", f"The Salvage Yard {x}", f"{x.upper()} SY", f"{x.title()}SalvageYard Ltd", f"{x.title()} Salv. Yard"):
+        assert organisation_forms(n, known) == [("full", "salvage yard", x)], n
+    assert learned_kinds(spark.createDataFrame([], "name string")).words == frozenset()
+    # many names write the kind shortened: the short word is no kind of its own
+    more = names + [f"{c.title()} Salv Yard" for c in coined[1:16:2]]
+    assert learned_kinds(spark.createDataFrame([(n,) for n in more * 2], "name string")).words == {"quarries", "salvage", "yard"}
+
+
 def test_organisation_forms():
     for n in ("Tizerufis Associates Ltd", "Associates Tizerufis", "The Tizerufis Associates Group", "TizerufisAssociates Gesellschaft mbH", "TIZERUFISASSOCIATES", "Tize Rufis Assoc. Inc.", "tizerufis asociates"):
-        assert organisation_forms(n) == [("full", "associates", "tizerufis")], n
-    assert organisation_forms("Mipunamo AC") == organisation_forms("Mipunamo Athletics Club") == [("full", "athletics club", "mipunamo")]
-    assert organisation_forms("Acme Motors Ltd") == organisation_forms("The Motors, Acme") == [("full", "", "acmemotors")]
+        assert organisation_forms(n, KINDS) == [("full", "associates", "tizerufis")], n
+    assert organisation_forms("Mipunamo AC", KINDS) == organisation_forms("Mipunamo Athletics Club", KINDS) == [("full", "athletics club", "mipunamo")]
+    assert organisation_forms("Acme Motors Ltd", KINDS) == organisation_forms("The Motors, Acme", KINDS) == [("full", "", "acmemotors")]
     for n in ("", "Tizerufis", "Associates", "HQ", "the company"):
-        assert organisation_forms(n) == [], n
+        assert organisation_forms(n, KINDS) == [], n
 
 
 def test_entities(spark):
@@ -39,7 +57,7 @@ def test_entities(spark):
         node("o1", "Company", "Zagupyni Engineering"), node("o2", "Club", "Zagu Pyni Engineering Ltd"), node("o3", "Company", "Zagupyni Insurance", "HQ"), node("t1", "Technology", "Francesca Vifugive"), node(None, "Person", "Francesca Vifugive"),
         node("q1", "Person", "Q. Nosuchone"), node("q2", "Person", "qnosuchone"), node("p1", "Person", "Francesca Vifugive"),
     ]
-    got = {tuple(r) for r in entity_pairs(entities(name_forms(spark.createDataFrame(rows, NODE)))).collect()}
+    got = {tuple(r) for r in entity_pairs(entities(name_forms(spark.createDataFrame(rows, NODE), kinds=KINDS))).collect()}
     same = [{"p1", "p2", "p3", "p4", "p5"}, {"o1", "o2"}, {"q1", "q2"}]
     assert got == {p for s in same for p in itertools.combinations(sorted(s), 2)}
     assert entity_pairs(entities(name_forms(spark.createDataFrame([], NODE)))).count() == 0
