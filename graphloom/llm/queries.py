@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.encode import Ranks, decode_ids, encode_corpus
 from graphloom.llm.leaks import leaked_items
 from graphloom.llm.names import entities, entity_pairs, name_forms
-from graphloom.llm.split import split_oversized
+from graphloom.llm.split import joined_pieces, split_oversized
 from graphloom.llm.subjects import subject_shares, train_rules
 from graphloom.llm.survivors import COPY_PRIOR, COPY_RATE, DIGITS, FALSE_VALUES, ROUNDS, STAND_INS, by_posterior, by_trust, candidates, surviving_records
 
@@ -30,6 +30,12 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p1_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Every oversized text put together again from its pieces, and whether all of them are within the limit."""
+    whole = joined_pieces(_pieces(spark, d), ["source_file", "chunk_index"])
+    return whole.select("source_file", "chunk_index", "text", (F.col("longest") <= 500).alias("within"))
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark.read.parquet(f"{d}/nodes.parquet"))
 
@@ -99,7 +105,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("n").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_fused, p3_records, p5_found, p5_entities, p6_ids, p6_decoded, p7_found, p7_items, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_joined, p3_found, p3_fused, p3_records, p5_found, p5_entities, p6_ids, p6_decoded, p7_found, p7_items, p8_found, p8_composition)}
 
 _VALID = "CASE WHEN {0} IS NULL OR isnan({0}) OR {0} < 0 OR {0} > 1 THEN -1 ELSE {0} END"
 _BEST = f"""WITH c AS (
@@ -151,6 +157,7 @@ SELECT id, attr, value, round(p, 6) AS posterior, n_sources, node_key FROM pos{l
 SQL = {
     "p3_fused": _fused(),
     "p1_found": r"SELECT DISTINCT source_file, chunk_index FROM chunks WHERE len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^ \t\n\r0-9A-Za-z_]')) > 500",
+    "p1_joined": r"SELECT DISTINCT source_file, chunk_index, text, true AS within FROM chunks WHERE len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^ \t\n\r0-9A-Za-z_]')) > 500",
     "p3_found": _BEST + "SELECT id, attr, node_key FROM best",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_records": _BEST + "SELECT id, string_agg(attr || '=' || value, '; ' ORDER BY attr) AS attributes FROM best GROUP BY id",

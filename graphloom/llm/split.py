@@ -142,3 +142,15 @@ def split_oversized(rows: DataFrame, keys: list[str], limit: int = 500, overlap:
                 lo = hi
 
     return big.mapInArrow(run, schema)
+
+
+def joined_pieces(pieces: DataFrame, keys: list[str], overlap: int = 50) -> DataFrame:
+    """keys, text, longest: the text that the pieces of split_oversized() were cut from, put together without the tokens they share, and the tokens of its longest piece.
+
+    Repeated pieces count once; the pieces of a row are a bounded group, since they make one text.
+    """
+    shared = r"\A(?:(?:[0-9A-Za-z_]++|[^ \t\n\r0-9A-Za-z_])[ \t\n\r]*+){%d}" % overlap
+    rest = F.when(F.col("piece") == 0, F.col("text")).otherwise(F.regexp_replace("text", shared, ""))
+    one = pieces.select(*keys, "piece", "text").distinct().select(*keys, "piece", rest.alias("rest"), F.regexp_count("text", F.lit(TOKEN)).alias("n"))
+    parts = F.array_sort(F.collect_list(F.struct("piece", "rest")))
+    return one.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x.rest), "").alias("text"), F.max("n").alias("longest"))

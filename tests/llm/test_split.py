@@ -62,6 +62,18 @@ def test_cuts_at_pauses(spark):
     assert [g[1:] for g in got] == [(10, 15, "given"), (13, 21, "given"), (19, 24, "given")]
 
 
+def test_pieces_join_to_their_text(spark):
+    from graphloom.llm.split import joined_pieces
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["word", "x_1", ".", "\n", " ", "\t", "漢", "é", "😀", "  "]) for _ in range(rng.randint(40, 400))) for _ in range(30)]
+    rows = [("f", i, t, None, None) for i, t in enumerate(texts)] + [("f", 0, texts[0], 1, 2)]
+    df = spark.createDataFrame(rows, "source_file string, chunk_index int, text string, token_start int, token_end int")
+    got = joined_pieces(split_oversized(df, ["source_file", "chunk_index"], 20, 6), ["source_file", "chunk_index"], 6).collect()
+    assert {r.chunk_index: r.text for r in got} == {i: t for i, t in enumerate(texts) if len(re.findall(TOKEN, t)) > 20}
+    assert max(r.longest for r in got) <= 20 and len(got) > 20
+
+
 def test_dirty_rows(spark):
     long = "w " * 30
     schema = "source_file string, chunk_index int, text string, token_start int, token_end int, offsets string"
