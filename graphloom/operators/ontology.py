@@ -32,19 +32,24 @@ def flatten(concepts: DataFrame) -> DataFrame:
 
 
 def closure(links: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """type, ancestor of all (type, parent) rows: reflexive and transitive, by squaring until nothing is new. A type may have several parents; loops do no harm. by: columns, such as session_id, that links don't lead across."""
-    pairs = cut(links.select(*by, F.col("type").alias("type"), F.col("type").alias("ancestor")).unionByName(links.where("parent is not null").select(*by, "type", F.col("parent").alias("ancestor"))).distinct(), "closure")
-    n = pairs.count()
+    """type, ancestor of all (type, parent) rows: reflexive and transitive. A type may have several parents; loops do no harm. by: columns, such as session_id, that links don't lead across.
+
+    Each round joins the pairs that the last one found to all known ones, on either side, so that ways double in length and no two old pairs meet again.
+    """
+    own = links.select(*by, F.col("type").alias("type"), F.col("type").alias("ancestor"))
+    up = links.where("parent is not null").select(*by, "type", F.col("parent").alias("ancestor"))
+    pairs = cut(own.unionByName(up).distinct(), "closure")
+    fresh = pairs.where("type <> ancestor")
+    known = pairs
+    above = lambda d: d.select(*by, F.col("type").alias("ancestor"), F.col("ancestor").alias("next"))
     while True:
-        step = pairs.join(pairs.select(*by, F.col("type").alias("ancestor"), F.col("ancestor").alias("next")), [*by, "ancestor"]).select(*by, "type", F.col("next").alias("ancestor"))
-        more = cut(pairs.unionByName(step).distinct(), "closure")
-        m = more.count()
-        drop(pairs)
-        pairs = more
-        if m == n:
-            known = links.select(*by, "type").distinct()
-            return pairs.join(known, [*by, "type"], "left_semi")
-        n = m
+        proper = known.where("type <> ancestor")
+        step = fresh.join(above(proper), [*by, "ancestor"]).unionByName(proper.join(above(fresh), [*by, "ancestor"])).select(*by, "type", F.col("next").alias("ancestor")).distinct()
+        fresh = cut(step.join(known, [*by, "type", "ancestor"], "left_anti"), "closure")
+        if fresh.isEmpty():
+            drop(fresh)
+            return known.join(links.select(*by, "type").distinct(), [*by, "type"], "left_semi")
+        known = known.unionByName(fresh)
 
 
 def compatible(anc: DataFrame, properties: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
