@@ -61,7 +61,7 @@ def hierarchy(rows: DataFrame, space: str = "session_id", name: str = "type", pa
         finished = moved.where("_root is not null").select(*key, "_name", "_root", "_dist", "_seg")
         rest = moved.where("_root is null")
         drop(old)
-        any_finished, any_left = not finished.isEmpty(), not rest.isEmpty()
+        any_finished, any_left = (n > 0 for n in moved.agg(F.count("_root"), F.count_if(F.col("_root").isNull())).first())
         done.append(finished)
         if not any_finished or not any_left:
             break
