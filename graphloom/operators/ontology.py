@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import snake, without_fence
+from graphloom.operators.components import connected_components
 from graphloom.operators.hierarchy import walks
-from graphloom.shared import cut, drop
+from graphloom.shared import cut, drop, salted_lookup
+
+SLOT = 64
 
 
 def ancestors(concepts: DataFrame) -> DataFrame:
@@ -32,24 +35,119 @@ def flatten(concepts: DataFrame) -> DataFrame:
 
 
 def closure(links: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """type, ancestor of all (type, parent) rows: reflexive and transitive. A type may have several parents; loops do no harm. by: columns, such as session_id, that links don't lead across.
+    """type, ancestor of all (type, parent) rows: reflexive and transitive. A type may have several parents; loops do no harm. by: columns, such as session_id, that links don't lead across; rows without them are left out.
 
-    Each round joins the pairs that the last one found to all known ones, on either side, so that ways double in length and no two old pairs meet again.
+    Names are numbered, names that lead to each other folded to one, and only what then lies above what is doubled (ways()). Folded names
+    are written out at the end, by slots of SLOT of them on either side, so that no task gets all pairs of a large loop.
+    """
+    for c in by:
+        links = links.where(F.col(c).isNotNull())
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))  # noqa: E731  a type may be null
+    rows = cut(links.select(*by, "type", "parent").distinct(), "links")
+    own = rows.select(*by, F.col("type").alias("name"), F.lit(True).alias("own"))
+    up = rows.where("parent is not null").select(*by, F.col("parent").alias("name"), F.lit(False).alias("own"))
+    names = cut(own.unionByName(up).groupBy(*by, "name").agg(F.max("own").alias("own")).withColumn("id", F.monotonically_increasing_id()), "names")
+    ids = names.select(*by, key("name").alias("_key"), "id")
+    steps = salted_lookup(rows.where("parent is not null").withColumn("_key", key("type")), ids, [*by, "_key"], "inner").select(*by, "parent", F.col("id").alias("a"))
+    steps = salted_lookup(steps.withColumn("_key", key("parent")), ids, [*by, "_key"], "inner").select("a", F.col("id").alias("b"))
+    roots, pairs = ways(names.select("id"), steps)
+    drop(rows)
+    slot = F.pmod(F.xxhash64("id"), F.lit(max(1, names.count() // SLOT)))
+    slots = cut(names.join(roots, "id").groupBy(*by, "root", slot.alias("slot")).agg(F.collect_list(F.when(F.col("own"), F.struct("name"))).alias("types"), F.collect_list(F.struct("name")).alias("names")), "slots")
+    drop(names)
+    pairs = pairs.unionByName(slots.select(F.col("root").alias("a"), F.col("root").alias("b")).distinct())
+    types = slots.where(F.size("types") > 0).select(*by, F.col("root").alias("a"), "types")
+    x = pairs.join(slots.select(F.col("root").alias("b"), "slot"), "b").join(types, "a")
+    x = x.repartition(max(8, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "b", "slot")  # a number, as what goes in tells nothing of what comes out
+    x = x.join(slots.select(F.col("root").alias("b"), "slot", "names"), ["b", "slot"]).select(*by, F.explode("types").alias("t"), "names")
+    return x.select(*by, F.col("t.name").alias("type"), F.explode("names").alias("n")).select(*by, "type", F.col("n.name").alias("ancestor"))
+
+
+def ways(ids: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """roots (id, root) and pairs (a, b): steps (a, b) lead from root to root by pairs, each once, and ids of the same root lead to each other.
+
+    far holds the ways of 2^k steps, known all shorter than 2^(k+1), so every length is made up in one way only and rounds are the
+    logarithm of the longest way. Pairs known in both directions are folded and their ways found anew. The n-th folding waits for k >= n,
+    so there are no more foldings than rounds. Ways back to their own start are dropped: any two vertices on a way have one without them.
     """
-    own = links.select(*by, F.col("type").alias("type"), F.col("type").alias("ancestor"))
-    up = links.where("parent is not null").select(*by, "type", F.col("parent").alias("ancestor"))
-    pairs = cut(own.unionByName(up).distinct(), "closure")
-    fresh = pairs.where("type <> ancestor")
-    known = pairs
-    above = lambda d: d.select(*by, F.col("type").alias("ancestor"), F.col("ancestor").alias("next"))
+    roots, steps, folds = ids.select("id", F.col("id").alias("root")), cut(steps.where("a <> b").distinct(), "steps"), 1
+    hub = _around_hub(steps)
+    if hub is not None:
+        roots, steps = _folded(roots, steps, hub)
     while True:
-        proper = known.where("type <> ancestor")
-        step = fresh.join(above(proper), [*by, "ancestor"]).unionByName(proper.join(above(fresh), [*by, "ancestor"])).select(*by, "type", F.col("next").alias("ancestor")).distinct()
-        fresh = cut(step.join(known, [*by, "type", "ancestor"], "left_anti"), "closure")
-        if fresh.isEmpty():
-            drop(fresh)
-            return known.join(links.select(*by, "type").distinct(), [*by, "type"], "left_semi")
-        known = known.unionByName(fresh)
+        far, known, k = steps, cut(_both(steps), "known"), 0
+        while True:
+            loops = known.where("way = 3")
+            if k >= folds and not loops.isEmpty():
+                break
+            ahead = cut(_composed(far, far), "far")
+            if far is not steps:
+                drop(far)
+            far = ahead
+            if far.isEmpty():
+                if k >= folds or loops.isEmpty():
+                    drop(far)
+                    drop(steps)
+                    return roots, known.select(F.when(F.col("way") == 1, F.col("lo")).otherwise(F.col("hi")).alias("a"), F.when(F.col("way") == 1, F.col("hi")).otherwise(F.col("lo")).alias("b"))
+                break
+            old = known.where("way in (1, 3)").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(known.where("way in (2, 3)").select(F.col("hi").alias("a"), F.col("lo").alias("b")))
+            more = cut(_both(old.unionByName(far).unionByName(_composed(old, far))), "known")
+            drop(known)
+            known, k = more, k + 1
+        root = connected_components(loops, "lo", "hi").withColumnRenamed("component", "to")
+        if far is not steps:
+            drop(far)
+        old = roots
+        roots, steps = _folded(roots, steps, root)
+        drop(old)
+        drop(known)
+        folds += 1
+
+
+def _folded(roots: DataFrame, steps: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """roots and steps with every vertex of root (vertex, to) put in its place; the steps given are deleted."""
+    after = cut(salted_lookup(roots, root.withColumnRenamed("vertex", "root"), ["root"]).select("id", F.coalesce("to", "root").alias("root")), "roots")
+    moved = steps
+    for c in ("a", "b"):
+        moved = salted_lookup(moved, root.withColumnRenamed("vertex", c), [c]).withColumn(c, F.coalesce("to", c)).drop("to")
+    moved = cut(moved.select("a", "b").where("a <> b").distinct(), "steps")
+    drop(steps)
+    return after, moved
+
+
+def _around_hub(steps: DataFrame) -> DataFrame | None:
+    """vertex, to: what eight steps or fewer lead to and back from the vertex with most ways through it, and that vertex; None if these ways are fewer than the steps are.
+
+    Without it the pairs of a large knot would be found one by one before it is folded; what is farther off is left to ways().
+    """
+    ends = steps.select(F.col("b").alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(steps.select(F.col("a").alias("v"), F.lit(0).alias("x"), F.lit(1).alias("y")))
+    top, total = ends.groupBy("v").agg((F.sum("x") * F.sum("y")).alias("n"), F.sum("x").alias("x")).agg(F.max(F.struct("n", "v")), F.sum("x")).first()
+    if top is None or top.n <= total:
+        return None
+    way = F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(True).alias("up"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.lit(False).alias("up"), F.col("a").alias("w")))).alias("s")
+    both = steps.select(way).select("s.*")
+    seen = steps.sparkSession.createDataFrame([(top.v, True), (top.v, False)], "v long, up boolean")
+    new = seen
+    for _ in range(8):
+        met = both.join(new, ["v", "up"], "left_semi").select(F.col("w").alias("v"), "up").distinct()
+        new = cut(met.join(seen, ["v", "up"], "left_anti"), "met")
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+    return cut(seen.groupBy("v").count().where("count = 2").select(F.col("v").alias("vertex"), F.lit(top.v).alias("to")), "hub")
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    """lo, hi, way of (a, b) rows: 1 from the lower to the higher, 2 the other way, 3 both."""
+    return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.when(F.col("a") < F.col("b"), 1).otherwise(2).alias("way")).groupBy("lo", "hi").agg(F.bit_or("way").alias("way"))
+
+
+def _composed(first: DataFrame, then: DataFrame) -> DataFrame:
+    """a, b of the ways (a, m) of first and (m, b) of then, each once, none back to its start. What leads to a vertex m is dealt to slots of about 1,000, for each of which the rows of then are repeated."""
+    many = F.broadcast(first.groupBy(F.col("b").alias("m")).count().where("count > 1000").select("m", F.ceil(F.col("count") / 1000).alias("n")))  # a thousandth of first at most
+    left = first.withColumnRenamed("b", "m").join(many, "m", "left").select("m", "a", F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("a"), F.col("n"))).otherwise(F.lit(0)).alias("slot"))
+    right = then.withColumnRenamed("a", "m").join(many, "m", "left").select("m", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n", F.lit(1)) - 1)).alias("slot"))
+    return left.join(right, ["m", "slot"]).where("a <> b").select("a", "b").distinct()
 
 
 def compatible(anc: DataFrame, properties: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
